@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import bpe
+from lodestrata.llm import bpe, lines, mixing
 
 QUERIES = {
+    "op3_pivotal_mix": mixing.op3_pivotal_mix,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL can't express op3 (drawn by hashes in a tree) and op10 (merges of byte pairs).
+ORACLES = {
+    "op7_line_dedup": lines.OP7_SQL,
+}
