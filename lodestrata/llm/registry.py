@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import bpe, lines, mixing
+from lodestrata.llm import bpe, language, lines, mixing, toxicity
 
 QUERIES = {
     "op3_pivotal_mix": mixing.op3_pivotal_mix,
+    "op4_language": language.op4_language,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
 }
 
