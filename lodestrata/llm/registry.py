@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import bpe, language, lines, mixing, toxicity
+from lodestrata.llm import bitsliced, bpe, language, lines, mixing, neighbours, toxicity
 
 QUERIES = {
+    "op1_nearest": neighbours.op1_nearest,
     "op3_pivotal_mix": mixing.op3_pivotal_mix,
     "op4_language": language.op4_language,
+    "op6_bit_sliced_top": bitsliced.op6_bit_sliced_top,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
@@ -14,5 +16,6 @@ QUERIES = {
 
 #: SQL can't express op3 (drawn by hashes in a tree) and op10 (merges of byte pairs).
 ORACLES = {
+    "op6_bit_sliced_top": bitsliced.OP6_SQL,
     "op7_line_dedup": lines.OP7_SQL,
 }
