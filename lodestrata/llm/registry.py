@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import bitsliced, bpe, language, lines, mixing, neighbours, toxicity
+from lodestrata.llm import bitsliced, bpe, jaccard, language, lines, mixing, neighbours, toxicity
 
 QUERIES = {
     "op1_nearest": neighbours.op1_nearest,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_bit_sliced_top": bitsliced.op6_bit_sliced_top,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
 }
 
