@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,21 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir. Only where that is unset
     (tests on one machine) a temporary folder is taken.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
-    return df.checkpoint(eager=True)
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def bucket(column: Column, n: int) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lodestrata.llm import bitsliced, bpe, jaccard, language, lines, mixing, neighbours, toxicity
+from lodestrata.llm import bitsliced, bpe, chat, jaccard, language, licences, lines, mixing, neighbours, toxicity
 
 QUERIES = {
     "op1_nearest": neighbours.op1_nearest,
+    "op2_chat_format": chat.op2_chat_format,
     "op3_pivotal_mix": mixing.op3_pivotal_mix,
     "op4_language": language.op4_language,
+    "op5_licences": licences.op5_licences,
     "op6_bit_sliced_top": bitsliced.op6_bit_sliced_top,
     "op7_line_dedup": lines.op7_line_dedup,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -17,6 +19,8 @@ QUERIES = {
 
 #: SQL can't express op3 (drawn by hashes in a tree) and op10 (merges of byte pairs).
 ORACLES = {
+    "op2_chat_format": chat.OP2_SQL,
+    "op5_licences": licences.OP5_SQL,
     "op6_bit_sliced_top": bitsliced.OP6_SQL,
     "op7_line_dedup": lines.OP7_SQL,
 }
