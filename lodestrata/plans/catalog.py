@@ -1,6 +1,499 @@
-"""The engine's registered queries over the driver's tables, and their SQL."""
+"""The engine's registered queries over the driver's tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import binary, text
+from lodestrata.operators import changes, kv, metrics, raftlog, ring, validate
+from lodestrata.plans import adapt
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: The SQL views that stand for `adapt`.
+LOG = "log AS (SELECT event_id AS \"offset\", CAST(user_id AS VARCHAR) AS source, props AS payload, ts AS received_at FROM events)"
+COMMANDS = "commands AS (SELECT event_id + 1 AS idx, CASE WHEN event_type = 'error' THEN 'del' ELSE 'set' END AS op, CAST(user_id AS VARCHAR) AS key, props AS value FROM events)"
+LATENCIES = "lat AS (SELECT event_type AS phase, CAST(floor(value * 1000) AS BIGINT) AS us, value / 1000 AS seconds, CASE WHEN event_type = 'error' THEN CASE event_id % 3 WHEN 0 THEN 503 WHEN 1 THEN 429 ELSE 0 END ELSE 202 END AS status, event_id FROM events)"
+RECORDS = "records AS (SELECT event_id // 500 AS log, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 2 ELSE 1 END AS rec_type, event_id % 500 - 25 * ((event_id % 500) // 97) AS idx, 1 + (event_id % 500) // 97 AS term, CASE WHEN event_id % 97 = 0 THEN event_id % 500 - 25 * ((event_id % 500) // 97) - 20 END AS from_index FROM events)"
+ENTRIES = "entries AS (SELECT event_id AS idx, 1 + event_id // 100 AS term FROM events)"
+FOLLOWER = "follower AS (SELECT (event_id // 1000) * 10 + event_id % 10 AS node, (event_id // 10) % 100 AS idx, 1 + (event_id // 100) % 10 AS term, 'follower' AS origin FROM events WHERE (event_id // 10) % 100 < 70)"
+LEADER = "leader AS (SELECT (event_id // 1000) * 10 + event_id % 10 AS node, (event_id // 10) % 100 AS idx, 1 + (event_id // 100) % 10 + CASE WHEN (event_id // 10) % 100 >= 40 + 4 * (event_id % 10) THEN 1 ELSE 0 END AS term, 'leader' AS origin FROM events WHERE (event_id // 10) % 100 >= 30)"
+STATES = """states AS (SELECT event_id AS id,
+  [least(event_id * 1 % 7, 12), least(event_id * 3 % 13, 12), least(event_id * 5 % 11, 12), least(event_id * 2 % 17, 12)] AS matches,
+  [least(event_id * 7 % 13, 12), least(event_id * 1 % 5, 12)] AS new_matches, 12 AS last_index,
+  1 + event_id % 4 AS current_term, event_id % 3 AS commit_index, event_id % 2 = 1 AS joint FROM events)"""
+VOTERS = """v AS (SELECT event_id, ['n' || event_id * 1 % 3, 'n' || event_id * 1 % 5, 'n' || event_id * 3 % 7] AS voters,
+  ['n' || event_id * 1 % 4, 'n' || event_id * 2 % 9] AS new_voters,
+  ['n' || event_id * 1 % 3, 'n' || event_id * 1 % 4, 'n' || event_id * 5 % 6] AS acks, event_id % 2 = 1 AS joint FROM events)"""
+SNAPSHOTS = "snaps AS (SELECT event_id * 100 AS idx, 1 + event_id // 1000 AS term, CAST(floor(value * 10000) AS BIGINT) AS size, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, value / 100 AS seconds FROM events)"
+NODES = "nodes AS (SELECT 'node-' || n_nationkey AS node_id, 'host-' || n_nationkey || ':7000' AS addr, n_nationkey % 5 <> 4 AS healthy FROM nation)"
+SERIES = "series AS (SELECT CAST(user_id AS VARCHAR) AS node_id, event_id AS moment, CASE event_type WHEN 'purchase' THEN 'leader' WHEN 'signup' THEN 'candidate' ELSE 'follower' END AS role, event_type <> 'error' AS healthy, 1 + event_id // 100 AS term FROM events)"
+FNV = "list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: (xor(a, b) * 16777619) & 4294967295)"
+RING = f"""points AS (SELECT point, max(node_id) AS node_id FROM (
+  SELECT node_id, {FNV.format("node_id || '#' || i")} AS point FROM nodes, range(150) r(i)) GROUP BY point),
+owners AS (SELECT source, key_hash, coalesce(
+    (SELECT node_id FROM points WHERE point >= key_hash ORDER BY point LIMIT 1), (SELECT node_id FROM points ORDER BY point LIMIT 1)) AS node_id
+  FROM (SELECT source, {FNV.format('source')} AS key_hash FROM (SELECT DISTINCT source FROM log)))"""
+SIZE = "(24 + strlen(source) + strlen(payload))"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _renamed(df: DataFrame, **names: str) -> DataFrame:
+    return df.withColumnsRenamed(names)
+
+
+# --- the keyed view -------------------------------------------------------------------------------------------------
+
+
+@query("kv_latest", f"WITH {LOG} SELECT source, \"offset\" AS log_offset, payload, received_at FROM log QUALIFY row_number() OVER (PARTITION BY source ORDER BY \"offset\" DESC) = 1")
+def kv_latest(spark, d):
+    return _renamed(kv.latest(adapt.log(spark, d)), offset="log_offset")
+
+
+@query("kv_get", f"WITH {LOG} SELECT source, max(\"offset\") AS log_offset, arg_max(payload, \"offset\") AS payload FROM log WHERE source = '8' GROUP BY source")
+def kv_get(spark, d):
+    return _renamed(kv.get(adapt.log(spark, d), "8", values=("payload",)), offset="log_offset")
+
+
+@query("kv_json", f"WITH {LOG} SELECT source, '{{\"source\":\"' || source || '\",\"payload\":\"' || replace(arg_max(payload, \"offset\"), '\"', '\\\"') || '\",\"received_at_unix_ns\":' || max(\"offset\") * 1000 || '}}' AS json FROM log GROUP BY source")
+def kv_json(spark, d):
+    rows = kv.latest(adapt.log(spark, d), values=("payload",))
+    return rows.select("source", text.event_json(F.col("source"), F.col("payload"), F.col("offset") * 1000).alias("json"))
+
+
+@query("kv_live_count", f"WITH {LOG} SELECT count(DISTINCT source) AS live_keys FROM log")
+def kv_live_count(spark, d):
+    return kv.live_count(adapt.log(spark, d))
+
+
+@query("compacted_log", f"WITH {LOG} SELECT \"offset\" AS log_offset, source, payload FROM log QUALIFY max(\"offset\") OVER (PARTITION BY source) = \"offset\"")
+def compacted_log(spark, d):
+    return _renamed(kv.compacted(adapt.log(spark, d)), offset="log_offset").select("log_offset", "source", "payload")
+
+
+@query("compaction_stats", f"""WITH {LOG}, r AS (SELECT *, {SIZE} AS size, max("offset") OVER (PARTITION BY source) = "offset" AS live FROM log)
+SELECT count(*) AS records, count(*) FILTER (live) AS live_records, count(*) FILTER (NOT live) AS dead_records,
+       sum(size)::BIGINT AS bytes, (sum(size) FILTER (live))::BIGINT AS live_bytes FROM r""")
+def compaction_stats(spark, d):
+    return kv.compaction_stats(adapt.log(spark, d))
+
+
+@query("wal_offsets", f"WITH {LOG} SELECT \"offset\" AS event_id, coalesce(sum({SIZE}) OVER (ORDER BY \"offset\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM log")
+def wal_offsets(spark, d):
+    return kv.offsets(adapt.log(spark, d), "offset").select(F.col("offset").alias("event_id"), "byte_offset")
+
+
+@query("fold_set_del", f"WITH {COMMANDS} SELECT key, value, idx AS log_index FROM commands QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'")
+def fold_set_del(spark, d):
+    return _renamed(kv.fold(adapt.commands(spark, d)), index="log_index")
+
+
+@query("fold_as_of", f"WITH {COMMANDS} SELECT key, value, idx AS log_index FROM commands WHERE idx <= 600 QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'")
+def fold_as_of(spark, d):
+    return _renamed(kv.fold(adapt.commands(spark, d), 600), index="log_index")
+
+
+@query("last_applied", "SELECT arg_max(event_id + 1, event_id) AS last_applied FROM events WHERE event_type = 'view'")
+def last_applied(spark, d):
+    rows = adapt.events(spark, d).filter("event_type = 'view'")
+    return kv.last_applied(rows.select((F.col("event_id") + 1).alias("raft_index"), F.col("event_id").alias("offset")))
+
+
+@query("admission_max_keys", f"WITH {LOG}, f AS (SELECT source, min(\"offset\") AS first_offset FROM log GROUP BY source) SELECT source, first_offset, row_number() OVER (ORDER BY first_offset) <= 100 AS admitted FROM f")
+def admission_max_keys(spark, d):
+    return kv.admitted(adapt.log(spark, d), 100)
+
+
+@query("dedup_apply", f"WITH {COMMANDS} SELECT DISTINCT idx AS log_index, op, key FROM (SELECT * FROM commands UNION ALL SELECT * FROM commands WHERE idx % 3 = 0) WHERE idx > 500")
+def dedup_apply(spark, d):
+    rows = adapt.commands(spark, d)
+    return _renamed(kv.unapplied(rows.unionByName(rows.filter("index % 3 = 0")), 500).select("index", "op", "key"), index="log_index")
+
+
+@query("recover_state", f"""WITH {COMMANDS}, base AS (SELECT key, value FROM commands WHERE idx <= 400 QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'),
+u AS (SELECT 400 AS idx, 'set' AS op, key, value FROM base UNION ALL SELECT idx, op, key, value FROM commands WHERE idx > 400)
+SELECT key, value, idx::BIGINT AS log_index FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'""")
+def recover_state(spark, d):
+    rows = adapt.commands(spark, d)
+    even, odd = rows.filter("index % 2 = 0"), rows.filter("index % 2 = 1")
+    return _renamed(kv.recovered(kv.fold(rows, 400).select("key", "value"), 400, even, odd), index="log_index")
+
+
+@query("user_keys", f"WITH {COMMANDS}, k AS (SELECT CASE WHEN idx % 7 = 0 THEN '__raft_last_applied__' ELSE key END AS key FROM commands) SELECT key, count(*) AS n FROM k WHERE key <> '__raft_last_applied__' GROUP BY key")
+def user_keys(spark, d):
+    key = F.when(F.col("index") % 7 == 0, F.lit("__raft_last_applied__")).otherwise(F.col("key"))
+    return validate.user_keys(adapt.commands(spark, d).select(key.alias("key"))).groupBy("key").agg(F.count("*").alias("n"))
+
+
+# --- codecs and text ------------------------------------------------------------------------------------------------
+
+
+@query("event_codec", f"WITH {LOG} SELECT \"offset\" AS event_id, lower(printf('%04x', strlen(source)) || hex(source::BLOB) || printf('%04x', strlen(payload)) || hex(payload::BLOB)) AS encoded, source, payload FROM log")
+def event_codec(spark, d):
+    rows = adapt.log(spark, d).withColumn("data", binary.encode_event(F.col("source"), F.col("payload")))
+    back = binary.decode_event(F.col("data"))
+    return rows.select(F.col("offset").alias("event_id"), F.lower(F.hex("data")).alias("encoded"), back["source"].alias("source"), back["payload"].alias("payload"))
+
+
+@query("processor_projection", "SELECT CAST(user_id AS VARCHAR) AS source, ts AS received_at, strlen(props)::INTEGER AS payload_length FROM events")
+def processor_projection(spark, d):
+    return adapt.log(spark, d).select("source", "received_at", F.octet_length("payload").alias("payload_length"))
+
+
+@query("duration_text", f"WITH {LATENCIES} SELECT event_id, CASE WHEN us >= 1000 THEN printf('%.2fms', us / 1000.0) ELSE us || 'µs' END AS shown FROM lat")
+def duration_text(spark, d):
+    return adapt.latencies(spark, d).select("event_id", text.duration(F.col("us")).alias("shown"))
+
+
+@query("parse_peers", "SELECT n_nationkey, 'p' || n_nationkey AS id, 'h' || n_regionkey || ':70' AS addr FROM nation UNION ALL SELECT n_nationkey, 'q', '10.0.0.' || n_nationkey FROM nation")
+def parse_peers(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    listed = F.concat(F.lit(" p"), F.col("n_nationkey"), F.lit(":h"), F.col("n_regionkey"), F.lit(":70 ,bad,:x,y:, q:10.0.0."), F.col("n_nationkey"))
+    return n.select("n_nationkey", F.explode(text.peers(listed)).alias("p")).select("n_nationkey", "p.id", "p.addr")
+
+
+@query("parse_url_map", "SELECT n_nationkey, 'p' || n_nationkey AS id, 'http://h/?a=' || n_regionkey AS url FROM nation")
+def parse_url_map(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    listed = F.concat(F.lit("p"), F.col("n_nationkey"), F.lit("=http://h/?a="), F.col("n_regionkey"), F.lit(", bad"))
+    return n.select("n_nationkey", F.explode(text.url_map(listed)).alias("p")).select("n_nationkey", "p.id", "p.url")
+
+
+# --- validation -----------------------------------------------------------------------------------------------------
+
+
+@query("validate_status", "SELECT event_id, CASE WHEN event_id % 10 IN (2, 3, 4) THEN 400 WHEN event_id % 10 IN (1, 7) THEN 422 ELSE 202 END AS status, CASE WHEN event_id % 10 NOT IN (2, 3, 4) THEN CASE WHEN event_id % 10 = 7 THEN '' ELSE CAST(user_id AS VARCHAR) END END AS source FROM events")
+def validate_status(spark, d):
+    return validate.requests(adapt.raw_requests(spark, d)).select("event_id", "status", "source")
+
+
+@query("validate_command", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'set' WHEN event_id % 5 = 1 THEN 'incr' ELSE 'del' END AS effective_op, CASE WHEN event_id % 5 = 1 OR event_id % 7 = 0 THEN 400 ELSE 204 END AS status FROM events")
+def validate_command(spark, d):
+    e = F.col("event_id")
+    rows = adapt.events(spark, d).select("event_id", F.when(e % 5 == 0, "").when(e % 5 == 1, "incr").otherwise("del").alias("op"), F.when(e % 7 == 0, "").otherwise(F.col("user_id").cast("string")).alias("key"))
+    return validate.commands(rows).select("event_id", "effective_op", "status")
+
+
+@query("validate_config_change", "SELECT event_id, CASE WHEN event_id % 3 = 2 OR event_id % 4 = 0 THEN 400 ELSE 200 END AS status FROM events")
+def validate_config_change(spark, d):
+    e = F.col("event_id")
+    action = F.when(e % 3 == 0, "add").when(e % 3 == 1, "remove").otherwise("replace")
+    rows = adapt.events(spark, d).select("event_id", action.alias("action"), F.when(e % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("n"))).alias("nodes"))
+    return validate.config_changes(rows).select("event_id", "status")
+
+
+@query("log_up_to_date", "SELECT event_id, (event_id % 5, event_id % 7) >= (event_id % 3, event_id % 11) AS up_to_date FROM events")
+def log_up_to_date(spark, d):
+    e = F.col("event_id")
+    return adapt.events(spark, d).select("event_id", validate.log_up_to_date(e % 5, e % 7, e % 3, e % 11).alias("up_to_date"))
+
+
+@query("lease_holds", "SELECT event_id, value < 20 AS holds FROM events")
+def lease_holds(spark, d):
+    return adapt.events(spark, d).select("event_id", validate.lease_holds(F.col("value"), F.lit(20)).alias("holds"))
+
+
+@query("magic_check", "SELECT event_id % 4 = 0 AS sound, count(*) AS n FROM events GROUP BY 1")
+def magic_check(spark, d):
+    magic = F.when(F.col("event_id") % 4 == 0, F.lit(0xCAFEBABE)).otherwise(F.col("event_id"))
+    return adapt.events(spark, d).select(validate.magic_ok(magic).alias("sound")).groupBy("sound").agg(F.count("*").alias("n"))
+
+
+# --- routing --------------------------------------------------------------------------------------------------------
+
+
+@query("ring_points", f"WITH {LOG}, {NODES}, {RING} SELECT point, node_id FROM points")
+def ring_points(spark, d):
+    return ring.points(adapt.nodes(spark, d))
+
+
+@query("ring_route", f"WITH {LOG}, {NODES}, {RING} SELECT source, key_hash, node_id FROM owners")
+def ring_route(spark, d):
+    return ring.route(adapt.log(spark, d).select("source").distinct(), ring.points(adapt.nodes(spark, d)))
+
+
+@query("ring_load", f"WITH {LOG}, {NODES}, {RING} SELECT node_id, count(*) AS keys FROM owners GROUP BY node_id")
+def ring_load(spark, d):
+    return ring.load(adapt.log(spark, d), ring.points(adapt.nodes(spark, d)))
+
+
+@query("ring_remove", f"WITH {LOG}, nodes AS (SELECT 'node-' || n_nationkey AS node_id FROM nation WHERE n_nationkey % 2 = 0), {RING} SELECT source, node_id FROM owners")
+def ring_remove(spark, d):
+    nodes = adapt.nodes(spark, d)
+    gone = spark.read.parquet(f"{d}/nation.parquet").filter("n_nationkey % 2 = 1").select(F.concat(F.lit("node-"), F.col("n_nationkey").cast("string")).alias("node_id"))
+    return ring.route(adapt.log(spark, d).select("source").distinct(), ring.points(ring.without(nodes, gone))).select("source", "node_id")
+
+
+@query("ring_size", f"WITH {NODES} SELECT count(DISTINCT node_id) AS ring_size FROM nodes")
+def ring_size(spark, d):
+    return ring.ring_size(adapt.nodes(spark, d))
+
+
+@query("route_decision", f"WITH {LOG}, {NODES}, {RING} SELECT l.\"offset\" AS event_id, o.node_id, CASE WHEN o.node_id = 'node-0' THEN 'local' WHEN n.healthy THEN 'forward' ELSE 'unavailable' END AS route FROM log l JOIN owners o ON o.source = l.source JOIN nodes n ON n.node_id = o.node_id")
+def route_decision(spark, d):
+    nodes = adapt.nodes(spark, d)
+    routed = ring.route(adapt.log(spark, d), ring.points(nodes))
+    return ring.decisions(routed, nodes, "node-0").select(F.col("offset").alias("event_id"), "node_id", "route")
+
+
+@query("route_read", f"""WITH {LOG}, {NODES}, {RING}, wanted AS (SELECT DISTINCT CAST(user_id + 5 AS VARCHAR) AS source FROM events),
+w AS (SELECT source, {FNV.format('source')} AS h FROM wanted),
+o AS (SELECT source, coalesce((SELECT node_id FROM points WHERE point >= h ORDER BY point LIMIT 1), (SELECT node_id FROM points ORDER BY point LIMIT 1)) AS node_id FROM w),
+v AS (SELECT source, arg_max(payload, "offset") AS payload FROM log GROUP BY source)
+SELECT o.source, CASE WHEN o.node_id <> 'node-0' AND NOT n.healthy THEN 503 WHEN v.source IS NULL THEN 404 ELSE 200 END AS status,
+       CASE WHEN o.node_id = 'node-0' OR n.healthy THEN v.payload END AS payload
+FROM o JOIN nodes n ON n.node_id = o.node_id LEFT JOIN v ON v.source = o.source""")
+def route_read(spark, d):
+    nodes = adapt.nodes(spark, d)
+    wanted = adapt.events(spark, d).select((F.col("user_id") + 5).cast("string").alias("source")).distinct()
+    placed = ring.decisions(ring.route(wanted, ring.points(nodes)), nodes, "node-0")
+    view = kv.latest(adapt.log(spark, d), values=("payload",)).select("source", "offset", "payload")
+    down = F.col("route") == "unavailable"
+    out = placed.join(view, "source", "left")
+    return out.select("source", F.when(down, 503).when(F.col("offset").isNull(), 404).otherwise(200).alias("status"), F.when(~down, F.col("payload")).alias("payload"))
+
+
+@query("leader_redirect", "SELECT e.event_id, CASE WHEN n.n_nationkey IS NULL THEN 503 ELSE 307 END AS status, 'http://host-' || n.n_nationkey AS url FROM events e LEFT JOIN nation n ON n.n_nationkey = e.event_id % 30")
+def leader_redirect(spark, d):
+    asked = adapt.events(spark, d).select("event_id", F.concat(F.lit("node-"), (F.col("event_id") % 30).cast("string")).alias("leader_id"))
+    known = spark.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("node-"), F.col("n_nationkey").cast("string")).alias("node_id"), F.concat(F.lit("http://host-"), F.col("n_nationkey").cast("string")).alias("url"))
+    return ring.leader_redirect(asked, known).select("event_id", "status", "url")
+
+
+# --- metrics --------------------------------------------------------------------------------------------------------
+
+
+@query("status_counters", f"WITH {LATENCIES} SELECT status, count(*) AS n, sum(us)::BIGINT AS total FROM lat GROUP BY status")
+def status_counters(spark, d):
+    return metrics.counters(adapt.latencies(spark, d), "status", F.col("us"))
+
+
+_LE = ", ".join(f"({b!r}::DOUBLE)" for b in metrics.LATENCY_BOUNDS)
+
+
+@query("latency_histogram_le", f"WITH {LATENCIES}, b(le) AS (VALUES {_LE}, (NULL)) SELECT phase, le, (count(*) FILTER (le IS NULL OR seconds <= le)) AS n FROM lat, b GROUP BY phase, le")
+def latency_histogram_le(spark, d):
+    return metrics.cumulative(adapt.latencies(spark, d), "phase", F.col("seconds"))
+
+
+_BUCKET = "CASE WHEN us <= 0 THEN 0 ELSE least(31, length(bin(us))) END"
+
+
+@query("log2_histogram", f"WITH {LATENCIES} SELECT ({_BUCKET})::INTEGER AS bucket, count(*) AS cnt FROM lat GROUP BY 1")
+def log2_histogram(spark, d):
+    return metrics.log2_histogram(adapt.latencies(spark, d), "us")
+
+
+@query("log2_percentiles", f"""WITH {LATENCIES}, h AS (SELECT {_BUCKET} AS bucket, count(*) AS cnt FROM lat GROUP BY 1),
+r AS (SELECT bucket, sum(cnt) OVER (ORDER BY bucket) AS cum, sum(cnt) OVER () AS total FROM h), p(pct) AS (VALUES (50.0::DOUBLE), (90.0), (95.0), (99.0))
+SELECT pct, CASE WHEN min(bucket) = 0 THEN 1 ELSE pow(2, min(bucket)) END::BIGINT AS us FROM r, p WHERE cum >= greatest(floor(total * pct / 100), 1) GROUP BY pct""")
+def log2_percentiles(spark, d):
+    return metrics.log2_percentiles(metrics.log2_histogram(adapt.latencies(spark, d), "us"), (50.0, 90.0, 95.0, 99.0))
+
+
+@query("latency_mean", f"WITH {LATENCIES} SELECT (sum(us) // count(*))::BIGINT AS mean_us, count(*) AS n FROM lat")
+def latency_mean(spark, d):
+    return metrics.mean_and_count(adapt.latencies(spark, d), "us")
+
+
+_SUMMARY = """count(*) AS total, count(*) FILTER (status BETWEEN 200 AND 299) AS successes, count(*) FILTER (status NOT BETWEEN 200 AND 299) AS failures,
+  count(*) FILTER (status = 503) AS errors_503, count(*) FILTER (status = 429) AS errors_429, count(*) FILTER (status = 0) AS network_errors, 15.0::DOUBLE AS elapsed_s,
+  count(*) / 15.0::DOUBLE AS rps, (count(*) FILTER (status NOT BETWEEN 200 AND 299)) / count(*)::DOUBLE AS error_rate"""
+
+
+@query("load_summary", f"WITH {LATENCIES} SELECT phase, {_SUMMARY} FROM lat GROUP BY phase")
+def load_summary(spark, d):
+    return metrics.load_summary(adapt.latencies(spark, d), F.lit(15.0), "phase")
+
+
+@query("load_report", f"""WITH {LATENCIES}, s AS (SELECT phase, {_SUMMARY}, sum(us) // count(*) AS mean_us FROM lat GROUP BY phase)
+SELECT phase, printf('%s | %.1f RPS | mean %s | %.2f%% errors', phase, rps, CASE WHEN mean_us >= 1000 THEN printf('%.2fms', mean_us / 1000.0) ELSE mean_us || 'µs' END, error_rate * 100) AS line FROM s""")
+def load_report(spark, d):
+    rows = adapt.latencies(spark, d)
+    means = rows.groupBy("phase").agg(F.expr("sum(us) div count(*)").alias("mean_us"))
+    return metrics.report_lines(metrics.load_summary(rows, F.lit(15.0), "phase").join(means, "phase"), "phase")
+
+
+@query("latest_gauge", "SELECT arg_max(value, event_id) AS value FROM events")
+def latest_gauge(spark, d):
+    return metrics.latest_value(adapt.events(spark, d), "value", "event_id")
+
+
+@query("stats_json", "SELECT '{\"processed\":' || count(*) || ',\"keys\":' || count(DISTINCT user_id) || '}' AS stats FROM events")
+def stats_json(spark, d):
+    return metrics.stats_json(adapt.events(spark, d).agg(F.count("*").alias("processed"), F.count_distinct("user_id").alias("keys")))
+
+
+@query("exposition", f"WITH {LATENCIES} SELECT 'requests_total{{status=\"' || status || '\"}} ' || count(*) AS line FROM lat GROUP BY status")
+def exposition(spark, d):
+    return metrics.exposition(metrics.counters(adapt.latencies(spark, d), "status", F.col("us")).withColumn("status", F.col("status").cast("string")), "requests_total", "status", "n")
+
+
+@query("replication_lag", "SELECT user_id, greatest(max(event_id * 40) - max(event_id * 39 + user_id), 0) AS lag_bytes, count(*) FILTER (event_type = 'error') AS reconnects FROM events GROUP BY user_id")
+def replication_lag(spark, d):
+    e = F.col("event_id")
+    rows = adapt.events(spark, d).select("user_id", (e * 40).alias("primary_offset"), (e * 39 + F.col("user_id")).alias("replica_offset"), (F.col("event_type") == "error").alias("reconnected"))
+    return metrics.replication_lag(rows, "user_id")
+
+
+_SIZES = ", ".join(f"({b!r}::DOUBLE)" for b in metrics.SIZE_BOUNDS)
+
+
+@query("snapshot_sizes", f"WITH {SNAPSHOTS}, b(le) AS (VALUES {_SIZES}, (NULL)) SELECT status, le, (count(*) FILTER (le IS NULL OR size <= le)) AS n FROM snaps, b GROUP BY status, le")
+def snapshot_sizes(spark, d):
+    return metrics.cumulative(adapt.snapshots(spark, d), "status", F.col("size"), metrics.SIZE_BOUNDS)
+
+
+@query("snapshot_gauge", f"WITH {SNAPSHOTS} SELECT coalesce(max(idx), 0) AS snapshot_index FROM snaps")
+def snapshot_gauge(spark, d):
+    return metrics.snapshot_gauge(adapt.snapshots(spark, d))
+
+
+@query("node_gauges", f"WITH {SERIES} SELECT node_id, arg_max(term, moment) AS term, arg_max(CASE WHEN role = 'leader' THEN 1 ELSE 0 END, moment) AS is_leader FROM series GROUP BY node_id")
+def node_gauges(spark, d):
+    return metrics.node_gauges(adapt.series(spark, d), "moment")
+
+
+# --- the replicated log ---------------------------------------------------------------------------------------------
+
+
+_SURVIVES = "NOT EXISTS (SELECT 1 FROM records t WHERE t.log = e.log AND t.rec_type = 2 AND t.seq > e.seq AND t.from_index <= e.idx)"
+
+
+@query("truncate_replay", f"WITH {RECORDS} SELECT log, seq, idx AS log_index, term FROM records e WHERE rec_type = 1 AND {_SURVIVES}")
+def truncate_replay(spark, d):
+    return _renamed(raftlog.truncated(adapt.records(spark, d), "log").select("log", "seq", "index", "term"), index="log_index")
+
+
+@query("log_rewrite", f"WITH {RECORDS} SELECT log, seq, idx AS log_index FROM records e WHERE rec_type = 1 AND idx > 100 AND {_SURVIVES}")
+def log_rewrite(spark, d):
+    return _renamed(raftlog.rewritten(adapt.records(spark, d), 100, "log").select("log", "seq", "index"), index="log_index")
+
+
+@query("prefix_compact", f"WITH {ENTRIES} SELECT idx AS log_index, term FROM entries WHERE idx > 500")
+def prefix_compact(spark, d):
+    return _renamed(raftlog.after(adapt.entries(spark, d), 500).select("index", "term"), index="log_index")
+
+
+@query("log_merge", f"""WITH {FOLLOWER}, {LEADER}, cut AS (SELECT f.node, min(f.idx) AS k FROM follower f JOIN leader l ON l.node = f.node AND l.idx = f.idx WHERE l.term <> f.term GROUP BY f.node)
+SELECT f.node, f.idx AS log_index, f.term, f.origin FROM follower f LEFT JOIN cut c ON c.node = f.node WHERE c.k IS NULL OR f.idx < c.k
+UNION ALL
+SELECT l.node, l.idx, l.term, l.origin FROM leader l LEFT JOIN cut c ON c.node = l.node
+WHERE l.idx >= c.k OR NOT EXISTS (SELECT 1 FROM follower f WHERE f.node = l.node AND f.idx = l.idx)""")
+def log_merge(spark, d):
+    return _renamed(raftlog.merged(adapt.follower(spark, d), adapt.leader(spark, d), "node"), index="log_index")
+
+
+@query("conflict_run_start", f"WITH {LEADER} SELECT node, idx AS log_index, coalesce((SELECT max(b.idx) + 1 FROM leader b WHERE b.node = a.node AND b.idx < a.idx AND b.term <> a.term), first) AS run_start FROM (SELECT *, min(idx) OVER (PARTITION BY node) AS first FROM leader) a")
+def conflict_run_start(spark, d):
+    rows = raftlog.run_starts(adapt.leader(spark, d), "node")
+    return _renamed(rows.select("node", "index", "run_start"), index="log_index")
+
+
+@query("term_last_index", f"WITH {ENTRIES} SELECT term, max(idx) + 1 AS next_index FROM entries GROUP BY term")
+def term_last_index(spark, d):
+    return raftlog.after_terms(adapt.entries(spark, d))
+
+
+@query("next_index_backoff", f"""WITH {ENTRIES}, t AS (SELECT term, max(idx) + 1 AS n FROM entries GROUP BY term), h AS (SELECT event_id, event_id % 13 AS ct, event_id % 10 AS ci FROM events)
+SELECT event_id, CASE WHEN ct = 0 OR ci = 0 THEN greatest(ci, 1) ELSE coalesce(n, ci) END AS next FROM h LEFT JOIN t ON t.term = h.ct""")
+def next_index_backoff(spark, d):
+    e = F.col("event_id")
+    hints = adapt.events(spark, d).select("event_id", (e % 13).alias("conflict_term"), (e % 10).alias("conflict_index"))
+    return raftlog.backed_up(hints, adapt.entries(spark, d)).select("event_id", F.col("next").cast("long").alias("next"))
+
+
+@query("last_entry", f"WITH {ENTRIES} SELECT max(idx) AS last_index, arg_max(term, idx) AS last_term FROM entries")
+def last_entry(spark, d):
+    return _renamed(raftlog.last_entry(adapt.entries(spark, d), 0, 0), index="last_index", term="last_term")
+
+
+@query("term_at", f"WITH {ENTRIES} SELECT e.event_id + 300 AS log_index, CASE WHEN e.event_id = 0 THEN 3 ELSE coalesce(n.term, 0) END AS term FROM events e LEFT JOIN (SELECT * FROM entries WHERE idx > 300) n ON n.idx = e.event_id + 300")
+def term_at(spark, d):
+    asked = adapt.events(spark, d).select((F.col("event_id") + 300).alias("index"))
+    return _renamed(raftlog.terms_at(asked, raftlog.after(adapt.entries(spark, d), 300), 300, 3), index="log_index")
+
+
+_HELD = "list_reverse_sort(list_append({0}, last_index))[(len({0}) + 1) // 2 + 1]"
+
+
+@query("commit_index", f"""WITH {STATES}, lim AS (SELECT *, CASE WHEN joint THEN least({_HELD.format('matches')}, {_HELD.format('new_matches')}) ELSE {_HELD.format('matches')} END AS most FROM states),
+log AS (SELECT id, i AS idx, 1 + i // 4 AS term FROM states, range(1, 13) r(i))
+SELECT lim.id, coalesce(max(log.idx), min(lim.commit_index))::BIGINT AS commit_index FROM lim
+LEFT JOIN log ON log.id = lim.id AND log.term = lim.current_term AND log.idx > lim.commit_index AND log.idx <= lim.most GROUP BY lim.id""")
+def commit_index(spark, d):
+    states = adapt.states(spark, d)
+    return raftlog.committed(states, adapt.state_entries(states), "id")
+
+
+_ACKED = "len(list_filter({0}, lambda x: list_contains(acks, x))) + 1 >= (len({0}) + 1) // 2 + 1"
+
+
+@query("quorum_eval", f"WITH {VOTERS} SELECT event_id, {_ACKED.format('voters')} AND (NOT joint OR {_ACKED.format('new_voters')}) AS quorum FROM v")
+def quorum_eval(spark, d):
+    return adapt.voters(spark, d).select("event_id", raftlog.quorum(F.col("voters"), F.col("new_voters"), F.col("acks"), F.col("joint")).alias("quorum"))
+
+
+@query("voters_union", f"WITH {VOTERS} SELECT event_id, array_to_string(list_sort(list_distinct(list_concat(voters, new_voters))), ',') AS peers FROM v")
+def voters_union(spark, d):
+    return adapt.voters(spark, d).select("event_id", F.array_join(F.array_sort(raftlog.all_peers(F.col("voters"), F.col("new_voters"))), ",").alias("peers"))
+
+
+@query("voters_add", f"WITH {VOTERS} SELECT event_id, array_to_string(list_sort(list_distinct(list_concat(voters, ['n1', 'n99']))), ',') AS voters FROM v")
+def voters_add(spark, d):
+    return adapt.voters(spark, d).select("event_id", F.array_join(F.array_sort(raftlog.voters_with(F.col("voters"), F.array(F.lit("n1"), F.lit("n99")))), ",").alias("voters"))
+
+
+@query("voters_remove", f"WITH {VOTERS} SELECT event_id, array_to_string(list_filter(voters, lambda x: NOT list_contains(new_voters, x)), ',') AS voters FROM v")
+def voters_remove(spark, d):
+    return adapt.voters(spark, d).select("event_id", F.array_join(raftlog.voters_without(F.col("voters"), F.col("new_voters")), ",").alias("voters"))
+
+
+@query("snapshot_latest", f"WITH {SNAPSHOTS} SELECT idx AS log_index, term, size FROM snaps ORDER BY idx DESC LIMIT 1")
+def snapshot_latest(spark, d):
+    return _renamed(raftlog.latest_snapshot(adapt.snapshots(spark, d)).select("index", "term", "size"), index="log_index")
+
+
+@query("snapshot_prune", f"WITH {SNAPSHOTS} SELECT idx AS log_index, term FROM snaps QUALIFY row_number() OVER (ORDER BY idx DESC) <= 2")
+def snapshot_prune(spark, d):
+    return _renamed(raftlog.pruned(adapt.snapshots(spark, d), 2).select("index", "term"), index="log_index")
+
+
+@query("snapshot_boundary", f"""WITH {COMMANDS}, base AS (SELECT key, value FROM commands WHERE idx <= 400 QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set')
+SELECT 400::BIGINT AS log_index, 'set' AS op, key, value FROM base UNION ALL SELECT idx, op, key, value FROM commands WHERE idx > 400""")
+def snapshot_boundary(spark, d):
+    rows = adapt.commands(spark, d)
+    return _renamed(raftlog.after_snapshot(rows, kv.fold(rows, 400), 400), index="log_index")
+
+
+@query("chunk_reassembly", "SELECT event_id // 16 AS transfer, sum(strlen(props))::INTEGER AS size, string_agg(props, '' ORDER BY event_id) AS data FROM events GROUP BY 1")
+def chunk_reassembly(spark, d):
+    chunks = adapt.events(spark, d).select(F.floor(F.col("event_id") / 16).alias("transfer"), F.col("event_id").alias("offset"), F.encode("props", "UTF-8").alias("data"))
+    again = chunks.unionByName(chunks.filter("offset % 5 = 0"))
+    return raftlog.reassembled(again, "transfer").select("transfer", "size", F.decode("data", "UTF-8").alias("data"))
+
+
+# --- changes --------------------------------------------------------------------------------------------------------
+
+
+@query("role_transitions", f"WITH {SERIES} SELECT node_id, moment, previous, role FROM (SELECT *, lag(role) OVER (PARTITION BY node_id ORDER BY moment) AS previous FROM series) WHERE previous <> role")
+def role_transitions(spark, d):
+    return changes.transitions(adapt.series(spark, d), "role", "node_id", "moment").select("node_id", "moment", "previous", "role")
+
+
+@query("health_flips", f"WITH {SERIES} SELECT node_id, moment, healthy FROM (SELECT *, lag(healthy) OVER (PARTITION BY node_id ORDER BY moment) AS previous FROM series) WHERE previous <> healthy")
+def health_flips(spark, d):
+    return changes.transitions(adapt.series(spark, d), "healthy", "node_id", "moment").select("node_id", "moment", "healthy")
