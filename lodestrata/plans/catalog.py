@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import binary, text
 from lodestrata.operators import changes, kv, metrics, raftlog, ring, validate
 from lodestrata.plans import adapt
+from lodestrata.sources import files
+from lodestrata.sources import frames as fr
+from lodestrata.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -497,3 +502,102 @@ def role_transitions(spark, d):
 @query("health_flips", f"WITH {SERIES} SELECT node_id, moment, healthy FROM (SELECT *, lag(healthy) OVER (PARTITION BY node_id ORDER BY moment) AS previous FROM series) WHERE previous <> healthy")
 def health_flips(spark, d):
     return changes.transitions(adapt.series(spark, d), "healthy", "node_id", "moment").select("node_id", "moment", "healthy")
+
+
+# --- byte formats ---------------------------------------------------------------------------------------------------
+
+
+def _segments(spark, d, per: int = 1000) -> DataFrame:
+    """The event log as framed segments; an event's id stands for its time."""
+    rows = adapt.log(spark, d)
+    data = binary.encode_event(F.col("source"), F.col("payload"))
+    return files.framed(rows.select(F.floor(F.col("offset") / per).alias("segment"), F.col("offset").alias("ts_ns"), data.alias("data")), "segment")
+
+
+@query("wal_roundtrip", f"""WITH {LOG} SELECT "offset" AS ts_ns, source, payload,
+  coalesce(sum({SIZE}) OVER (PARTITION BY "offset" // 1000 ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM log""")
+def wal_roundtrip(spark, d):
+    return files.events_in(_segments(spark, d)).select("ts_ns", "source", "payload", F.col("offset").alias("byte_offset"))
+
+
+@query("wal_torn_tail", """SELECT CASE WHEN event_id % 100 = 99 THEN 'truncated' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1""")
+def wal_torn_tail(spark, d):
+    torn = _segments(spark, d, 100).withColumn("content", F.expr("substring(content, 1, length(content) - 10)"))
+    return files.frames_in(torn).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def _mapped(rows: DataFrame, encode, columns: list[str], keep: list[str]) -> DataFrame:
+    """rows with `data`, the bytes that encode(*columns) makes."""
+
+    def run(batches):
+        for batch in batches:
+            made = [encode(*x) for x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(made, pa.binary())], names=[*keep, "data"])
+
+    kept = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keep)
+    return rows.mapInArrow(run, f"{kept}, data binary")
+
+
+@query("raft_log_scan", f"WITH {RECORDS} SELECT log::VARCHAR AS log, idx AS log_index, term FROM records e WHERE rec_type = 1 AND {_SURVIVES}")
+def raft_log_scan(spark, d):
+    def encode(seq, kind, index, term, cut):
+        return fr.truncate_marker(cut) if kind == 2 else fr.log_entry(index, term, 0, b"x" * (seq % 5), version=1 + seq % 3)
+
+    rows = _mapped(adapt.records(spark, d), encode, ["seq", "rec_type", "index", "term", "from_index"], ["log", "seq"])
+    scanned = files.log_in(files.framed(rows.withColumnRenamed("seq", "ts_ns"), "log"))
+    return _renamed(raftlog.truncated(scanned, "file").select("file", "index", "term"), file="log", index="log_index")
+
+
+@query("kv_recover", f"WITH {COMMANDS} SELECT key, value, idx AS log_index FROM commands QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'")
+def kv_recover(spark, d):
+    def encode(index, op, key, value):
+        return fr.kv_record(fr.SET, index, key, value) if op == "set" else fr.kv_record(fr.DEL, index, key)
+
+    rows = _mapped(adapt.commands(spark, d).withColumn("segment", F.floor(F.col("index") / 1000)), encode, ["index", "op", "key", "value"], ["segment", "index"])
+    records = files.kv_in(files.framed(rows.withColumnRenamed("index", "ts_ns"), "segment"))
+    return _renamed(kv.fold(records.withColumnRenamed("raft_index", "index").select("index", "op", "key", "value")), index="log_index")
+
+
+@query("snapshot_roundtrip", f"WITH {COMMANDS} SELECT key, value FROM commands QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'")
+def snapshot_roundtrip(spark, d):
+    def build(group: pa.Table) -> pa.Table:
+        pairs = dict(zip(group["key"].to_pylist(), group["value"].to_pylist(), strict=True))
+        content = fr.snapshot(7, 3, pairs, {"Phase": 0, "Voters": ["a"], "NewVoters": None})
+        return pa.table({"file": pa.array([str(group["part"][0])]), "content": pa.array([content], pa.binary())})
+
+    state = kv.fold(adapt.commands(spark, d)).select("key", "value", F.pmod(F.xxhash64("key"), F.lit(8)).alias("part"))
+    return files.snapshots_in(state.groupBy("part").applyInArrow(build, "file string, content binary")).select("key", "value")
+
+
+@query("meta_roundtrip", "SELECT event_id AS term, CASE WHEN event_id % 4 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS voted_for FROM events")
+def meta_roundtrip(spark, d):
+    vote = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("user_id").cast("string"))
+    rows = adapt.events(spark, d).select("event_id", vote.alias("vote"), F.col("event_id").cast("string").alias("file"))
+    made = _mapped(rows, fr.meta, ["event_id", "vote"], ["file"]).withColumnRenamed("data", "content")
+    return files.meta_in(made).select("term", "voted_for")
+
+
+# --- streams --------------------------------------------------------------------------------------------------------
+
+
+def _followed(spark, d) -> DataFrame:
+    schema = adapt.events(spark, d).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
+
+
+@query("stream_kv_latest", f"WITH {LOG} SELECT source, max(\"offset\") AS log_offset, arg_max(payload, \"offset\") AS payload FROM log GROUP BY source")
+def stream_kv_latest(spark, d):
+    rows = _followed(spark, d).select(F.col("event_id").alias("offset"), F.col("user_id").cast("string").alias("source"), F.col("props").alias("payload"), F.col("ts").alias("received_at"))
+    name = f"latest_{uuid.uuid4().hex}"
+    streams.latest_view(rows, name).awaitTermination()
+    return spark.table(name).select("source", F.col("offset").alias("log_offset"), "payload")
+
+
+@query("stream_apply_state", f"WITH {COMMANDS} SELECT key, value, idx AS log_index FROM commands QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'")
+def stream_apply_state(spark, d):
+    op = F.when(F.col("event_type") == "error", "del").otherwise("set")
+    rows = _followed(spark, d).select((F.col("event_id") + 1).alias("index"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
+    name = f"applied_{uuid.uuid4().hex}"
+    streams.applied(rows).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    last = spark.table(name).groupBy("key").agg(F.max_by(F.struct("value", "live"), "index").alias("s"), F.max("index").alias("log_index"))
+    return last.filter("s.live").select("key", "s.value", "log_index")

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.binary import decode_event
 from lodestrata.sources import frames as fr
 
 _FRAME = "file string, offset long, ts_ns long, data binary, crc long, status string"
@@ -46,6 +47,20 @@ def _unpacked(files: DataFrame, rows, schema: str, mode: str) -> DataFrame:
     return files.mapInArrow(unpack, schema)
 
 
+def framed(events: DataFrame, by: str) -> DataFrame:
+    """(file, content): events (ts_ns, data) as framed logs, a segment for each value of `by`, in order of ts_ns.
+
+    A segment is one value in memory, so `by` is chosen to hold some thousands of events.
+    """
+
+    def build(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("ts_ns")
+        content = b"".join(fr.frame(t, d) for t, d in zip(rows["ts_ns"].to_pylist(), rows["data"].to_pylist(), strict=True))
+        return pa.table({"file": pa.array([str(rows[by][0].as_py())], pa.string()), "content": pa.array([content], pa.binary())})
+
+    return events.select(by, "ts_ns", "data").groupBy(by).applyInArrow(build, "file string, content binary")
+
+
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 
 
@@ -56,40 +71,58 @@ def _sound(parse, data: bytes, width: int):
         return (*[None] * width, str(bad))
 
 
+def frames_in(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """Every frame of framed logs (file, content); a torn tail is no failure."""
+    return _unpacked(files, fr.frames, _FRAME, mode)
+
+
 def read_frames(spark: SparkSession, path: str, mode: str = "PERMISSIVE", glob: str = "*") -> DataFrame:
-    """Every frame of framed logs; a torn tail is no failure."""
-    return _unpacked(_binary(spark, path, glob), fr.frames, _FRAME, mode)
+    return frames_in(_binary(spark, path, glob), mode)
 
 
 def read_events(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str = "*") -> DataFrame:
-    """(file, offset, ts_ns, received_at, source, payload): the events of framed logs, at the time of the frame."""
-    from lodestrata.functions.binary import decode_event
+    return events_in(_binary(spark, path, glob), mode)
+
 
-    rows = read_frames(spark, path, mode, glob).filter(F.col("status") == fr.OK).withColumn("__event", decode_event(F.col("data")))
+def events_in(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    """(file, offset, ts_ns, received_at, source, payload): the events of framed logs, at the time of the frame."""
+    rows = frames_in(files, mode).filter(F.col("status") == fr.OK).withColumn("__event", decode_event(F.col("data")))
     return rows.select("file", "offset", "ts_ns", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("received_at"), "__event.source", "__event.payload")
 
 
 def read_log(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str = "*") -> DataFrame:
+    return log_in(_binary(spark, path, glob), mode)
+
+
+def log_in(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Entries and truncate markers of a replicated log, as written; seq counts records of a file."""
 
     def rows(content: bytes):
         for seq, (_, _, data, _, status) in enumerate(fr.frames(content)):
             yield (seq, *(_sound(fr.parse_log_record, data, 6) if status == fr.OK else (*[None] * 6, status)))
 
-    return _unpacked(_binary(spark, path, glob), rows, _LOG, mode)
+    return _unpacked(files, rows, _LOG, mode)
 
 
 def read_kv(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str = "*") -> DataFrame:
+    return kv_in(_binary(spark, path, glob), mode)
+
+
+def kv_in(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """Set, delete and checkpoint records of a keyed store's log."""
 
     def rows(content: bytes):
         for offset, _, data, _, status in fr.frames(content):
             yield (offset, *(_sound(fr.parse_kv_record, data, 4) if status == fr.OK else (*[None] * 4, status)))
 
-    return _unpacked(_binary(spark, path, glob), rows, _KV, mode)
+    return _unpacked(files, rows, _KV, mode)
 
 
 def read_snapshots(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str = "*.snap") -> DataFrame:
+    return snapshots_in(_binary(spark, path, glob), mode)
+
+
+def snapshots_in(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
     """A row for each pair of each snapshot, with the snapshot's index, term and configuration."""
 
     def rows(content: bytes):
@@ -98,7 +131,7 @@ def read_snapshots(spark: SparkSession, path: str, mode: str = "FAILFAST", glob:
         for key, value in (pairs or {None: None}).items():
             yield index, term, key, value, config.get("Phase"), config.get("Voters"), config.get("NewVoters"), status
 
-    return _unpacked(_binary(spark, path, glob), rows, _SNAPSHOT, mode)
+    return _unpacked(files, rows, _SNAPSHOT, mode)
 
 
 def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -109,4 +142,8 @@ def list_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_meta(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str = "*") -> DataFrame:
-    return _unpacked(_binary(spark, path, glob), lambda content: [_sound(fr.parse_meta, content, 2)], _META, mode)
+    return meta_in(_binary(spark, path, glob), mode)
+
+
+def meta_in(files: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+    return _unpacked(files, lambda content: [_sound(fr.parse_meta, content, 2)], _META, mode)

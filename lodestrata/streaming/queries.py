@@ -73,7 +73,10 @@ def applied(commands: DataFrame) -> DataFrame:
 
 
 def snapshots(commands: DataFrame, path: str, checkpoint: str, threshold: int = 10_000, **trigger) -> StreamingQuery:
-    """A snapshot of the folded state whenever `threshold` more indices were applied; the log is kept beside it."""
+    """A snapshot of the folded state whenever `threshold` more indices were applied; the log is kept beside it.
+
+    Indices are dense from 1. A snapshot waits until none below it is missing.
+    """
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -82,7 +85,7 @@ def snapshots(commands: DataFrame, path: str, checkpoint: str, threshold: int =
         top = log.agg(F.max("index")).first()[0]
         if top is not None:
             kept = top - top % threshold
-            if kept:
+            if kept and log.filter(F.col("index") <= kept).select("index").distinct().count() == kept:
                 kv.fold(log, kept).select("key", "value").write.mode("ignore").parquet(f"{path}/snapshot-{kept}")
 
     return commands.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
