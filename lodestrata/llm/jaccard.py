@@ -7,16 +7,18 @@ prefix, rarest shingles first; lists are ordered by size and carry positions.
 1. Shingles found in one document only can't be shared. They are counted out by
    an exchange of packed hashes, and documents that lose over the permitted part
    of their set are done: they link with nothing.
-2. In short lists all pairs are looked at, in long ones every set against the
-   first set of its run of sizes, the run's leader. Blocks of a list are skipped
-   by size, by position (how much can still follow the shared shingle) and by a
-   histogram of the sets' shingles, which bounds their difference from below.
-3. Pairs that are left are verified on the sets. Connected sets share a label.
-4. The answers of a leader serve for the sets like it: a long list is gone
-   through again, but sets with the same label need no comparison, and two sets
-   whose distances from their common leader differ by more than the permitted
-   distance can't be linked (the triangle inequality of the Jaccard distance).
-   Only what neither settles is compared and verified.
+2. Blocks of a list are skipped by size, by position (how much can still follow
+   the shared shingle) and by a histogram of the sets' shingles, which bounds
+   their difference from below. Of the pairs left, each shard of lists names
+   those that join sets which no pair named before has joined, so fewer than it
+   has sets however many pairs a group of near copies makes.
+3. These are verified on the sets. Connected sets share a label.
+4. The answers found serve for the sets like them: the lists are gone through
+   again, but sets with the same label need no comparison, and two sets whose
+   distances from a common leader (the nearest set each was verified against)
+   differ by more than the permitted distance can't be linked, by the triangle
+   inequality of the Jaccard distance. What neither settles and no block skip
+   rules out is verified, all of it.
 
 No link is lost: a linked pair shares a shingle of both prefixes, its first one
 passes the position bound, and all other bounds hold for every linked pair.
@@ -42,7 +44,7 @@ WORDS, PERCENT = 4, 85
 #: Documents whose shingles make one part of the packed exchange, on average; sets whose prefixes make one shard of the index.
 DOCS_IN_PART, SETS_IN_SHARD = 8192, 4096
 #: Lists up to this length are short.
-SHORT = 24
+SHORT = 6
 BINS = 128
 
 _PACKED = "part int, nodes binary, counts binary, tokens binary"
@@ -89,13 +91,17 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)] if len(x) else np.zeros(1, np.int64)
 
 
-def _low48(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+#: Bytes of a hash that travel; the part it is dealt to stands for the rest.
+SENT = 5
 
 
-def _from48(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def _sent(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
+
+
+def _received(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // SENT, 8), np.uint8)
+    wide[:, :SENT] = np.frombuffer(raw, np.uint8).reshape(-1, SENT)
     return wide.view(np.uint64).ravel()
 
 
@@ -126,13 +132,13 @@ def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     k = order[a:b]
                     rows.append((-1 - int(home[k[0]]), own[k].tobytes(), size[k].tobytes(), wide[k].tobytes()))
-                part = ((tokens >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.uint32)
+                part = ((tokens >> np.uint64(8 * SENT)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.uint32)
                 order = np.argsort(part, kind="stable")
                 part, tokens, of = part[order], tokens[order], np.repeat(np.arange(n), counts)[order]
                 edges = _runs(part)
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     cuts = _runs(of[a:b])
-                    rows.append((int(part[a]), own[of[a:b][cuts[:-1]]].tobytes(), np.diff(cuts).astype(np.int32).tobytes(), _low48(tokens[a:b])))
+                    rows.append((int(part[a]), own[of[a:b][cuts[:-1]]].tobytes(), np.diff(cuts).astype(np.int32).tobytes(), _sent(tokens[a:b])))
                 types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "nodes", "counts", "tokens"])
 
@@ -160,14 +166,14 @@ def _shared(parts: int):
         nodes = _joined(group["nodes"], np.uint64)
         if part < 0:
             return _table([(-1 - part, nodes.tobytes(), b"".join(x.as_py() for x in group["counts"]), b"".join(x.as_py() for x in group["tokens"]), None)], _SHARED_FIELDS)
-        tokens = np.concatenate([_from48(x.as_py()) for x in group["tokens"]])
+        tokens = np.concatenate([_received(x.as_py()) for x in group["tokens"]])
         of = np.repeat(nodes, _joined(group["counts"], np.int32))
         order = np.argsort(tokens, kind="stable")
         edges = _runs(tokens[order])
         df = np.repeat(np.diff(edges), np.diff(edges))
         many = df >= 2
-        order, df = order[many], df[many].astype(np.uint32)
-        tokens, of = tokens[order] | np.uint64((part & 0xFFFF) << 48), of[order]
+        order, df = order[many], np.minimum(df[many], 65535).astype(np.uint16)
+        tokens, of = tokens[order] | np.uint64((part & 0xFFFFFF) << 8 * SENT), of[order]
         home = (of % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((of, home))
         home, of, tokens, df = home[order], of[order], tokens[order], df[order]
@@ -192,7 +198,7 @@ def _gathered(percent: int):
         nodes, sizes, wide = _joined(first["nodes"], np.uint64), _joined(first["counts"], np.int32), _joined(first["tokens"], np.int64).reshape(-1, 3)
         known = sizes >= 0
         sizes = np.where(known, sizes, -1 - sizes).astype(np.int64)
-        tokens, dfs = _joined(rest["tokens"], np.uint64), _joined(rest["dfs"], np.uint32)
+        tokens, dfs = _joined(rest["tokens"], np.uint64), _joined(rest["dfs"], np.uint16)
         of = np.repeat(_joined(rest["nodes"], np.uint64), _joined(rest["counts"], np.int32))
         order = np.lexsort((tokens, dfs, of))
         of, tokens, dfs = of[order], tokens[order], dfs[order]
@@ -281,36 +287,71 @@ class Lists:
             kept[s] = differ <= self.n[i[s]] + self.n[j[s]] - 2 * need[s]
         return i[kept], j[kept]
 
-    def first_pairs(self):
-        """Short lists: all pairs. Long lists: every entry with the leader of its run of sizes."""
+    def short_pairs(self):
+        """All pairs in short lists, those first that stand next to each other."""
         size = np.repeat(np.diff(self.edges), np.diff(self.edges))
         for step in range(1, SHORT):
-            i = np.flatnonzero((self.token[:-step] == self.token[step:]) & (size[:-step] <= SHORT)) if len(self.token) > step else np.empty(0, np.int64)
-            if not len(i):
-                break
-            yield self.likely(i, i + step)
+            if len(self.token) <= step:
+                return
+            i = np.flatnonzero((self.token[:-step] == self.token[step:]) & (size[:-step] <= SHORT))
+            i = i[self.label[i] != self.label[i + step]]
+            yield i, i + step
+
+    def long_lists(self):
+        """(begin, end, the end of the sizes that each entry can be linked with) of each long list."""
         for a, b in zip(self.edges[:-1], self.edges[1:], strict=True):
             if b - a > SHORT:
-                at = a
-                while at < b:  # a leader serves the sizes that its links can have
-                    end = a + int(np.searchsorted(self.n[a:b], self.n[at] * 100 // self.percent, "right"))
-                    if end > at + 1:
-                        yield self.likely(np.full(end - at - 1, at), np.arange(at + 1, end))
-                    at = max(end, at + 1)
-
-    def later_pairs(self):
-        """Long lists: pairs that neither a common label nor a common leader settles."""
+                yield a, b, a + np.searchsorted(self.n[a:b], self.n[a:b] * 100 // self.percent, "right")
+
+    def tree_pairs(self):
+        """Likely pairs that join what no earlier likely pair of this shard has joined: fewer than there are sets."""
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
+
+        for i, j in self.short_pairs():
+            i, j = self.likely(i, j)
+            kept = []
+            for k, (x, y) in enumerate(zip(self.node[i].tolist(), self.node[j].tolist(), strict=True)):
+                if (x := top(x)) != (y := top(y)):
+                    above[y] = x
+                    kept.append(k)
+            yield i[kept], j[kept]
+        for a, b, ends in self.long_lists():
+            tops = np.array([top(x) for x in self.node[a:b].tolist()])
+            for i in range(a, b - 1):
+                j = np.arange(i + 1, ends[i - a])
+                j = j[tops[j - a] != tops[i - a]]
+                if not len(j):
+                    continue
+                _, j = self.likely(np.full(len(j), i), j)
+                if len(j):
+                    other, first = np.unique(tops[j - a], return_index=True)
+                    for y in other.tolist():
+                        above[y] = int(tops[i - a])
+                    tops[np.isin(tops, other)] = tops[i - a]
+                    yield np.full(len(first), i), j[first]
+
+    def open_pairs(self):
+        """All likely pairs that neither a common label nor a common leader settles."""
         limit = 1 - self.percent / 100 + 1e-9
-        for a, b in zip(self.edges[:-1], self.edges[1:], strict=True):
-            if b - a <= SHORT or (self.label[a:b] == self.label[a]).all():
+
+        def unsettled(i, j):
+            same = self.led[i] & self.led[j] & (self.lead[i] == self.lead[j])
+            return (self.label[i] != self.label[j]) & ~(same & (np.abs(self.far[i] - self.far[j]) > limit))
+
+        for i, j in self.short_pairs():
+            kept = unsettled(i, j)
+            yield self.likely(i[kept], j[kept])
+        for a, b, ends in self.long_lists():
+            if (self.label[a:b] == self.label[a]).all():
                 continue
-            ends = a + np.searchsorted(self.n[a:b], self.n[a:b] * 100 // self.percent, "right")
             for i in range(a, b - 1):
                 j = np.arange(i + 1, ends[i - a])
-                open_ = (self.label[j] != self.label[i]) & ~(self.led[j] & (self.lead[j] == self.node[i])) & ~(self.led[i] & (self.lead[i] == self.node[j]))
-                same = self.led[i] & self.led[j] & (self.lead[i] == self.lead[j])
-                open_ &= ~(same & (np.abs(self.far[i] - self.far[j]) > limit))
-                j = j[open_]
+                j = j[unsettled(np.full(len(j), i), j)]
                 if len(j):
                     yield self.likely(np.full(len(j), i), j)
 
@@ -326,7 +367,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, both, n_a, n_b): pairs with the size of their overlap."""
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    joined = pairs.distinct().join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "t_a", "t_b")
+    joined = pairs.join(b, "b").join(a, "a").select("a", "b", "n_a", "n_b", "t_a", "t_b")
 
     def overlap(batches):
         for batch in batches:
@@ -350,25 +391,24 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     sets = cut(plain)
     shards = parts_for(sets.count(), SETS_IN_SHARD)
 
-    def first(group: pa.Table) -> pa.Table:
+    def trees(group: pa.Table) -> pa.Table:
         lists = Lists(group, percent)
-        return lists.found(lists.first_pairs())
+        return lists.found(lists.tree_pairs())
 
-    def later(group: pa.Table) -> pa.Table:
+    def rest(group: pa.Table) -> pa.Table:
         lists = Lists(group, percent)
-        return lists.found(lists.later_pairs())
+        return lists.found(lists.open_pairs())
 
     unled = sets.withColumns({"label": F.col("node"), "lead": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
-    seen = cut(_verified(_entries(unled, shards).groupBy("shard").applyInArrow(first, "a long, b long"), sets))
+    seen = cut(_verified(_entries(unled, shards).groupBy("shard").applyInArrow(trees, "a long, b long").distinct(), sets))
     is_link = F.col("both") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    links = seen.filter(is_link).select("a", "b")
-    labels = components(links)
+    labels = components(seen.filter(is_link).select("a", "b"))
     far = 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
     # each set's nearest verified partner is its leader
     leads = seen.withColumn("far", far).groupBy(F.col("b").alias("node")).agg(F.min(F.struct("far", F.col("a").alias("lead"))).alias("near")).select("node", "near.lead", "near.far")
     led = sets.join(labels, "node", "left").join(leads, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    again = _verified(_entries(led, shards).groupBy("shard").applyInArrow(later, "a long, b long"), sets)
-    more = cut(again.filter(is_link).select("a", "b"))
+    left = _entries(led, shards).groupBy("shard").applyInArrow(rest, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    more = cut(_verified(left, sets).filter(is_link).select("a", "b"))
     final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     labelled = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label"))
     own = cut(able.select("doc_id", "node", "n", "d1", "d2").join(labelled, ["n", "d1", "d2"]).select("doc_id", "node", "n", "label"))
