@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -50,8 +50,3 @@ def oracle():
         return [dict(zip(names, r, strict=True)) for r in found.fetchall()]
 
     return run
-
-
-def comparable(rows: list[dict]) -> list[str]:
-    """Rows as sorted texts, floats to nine places."""
-    return sorted(str(sorted((k, round(v, 9) if isinstance(v, float) else v) for k, v in r.items())) for r in rows)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import comparable
+from _compare import comparable
 
 from lodestrata.plans import catalog
 
