@@ -167,7 +167,7 @@ def fit(docs: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
     both = (F.col("doc_id").cast("long") == F.col("__of")) & (F.col("lang") == F.col("__lang"))
-    rows = docs.join(F.broadcast(chosen), both).select("lang", "text").mapInArrow(made, "lang string, x binary").collect()  # about ROWS rows
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), both).select("lang", "text").mapInArrow(made, "lang string, x binary").collect()  # about ROWS rows
     rows = sorted((r.lang, bytes(r.x)) for r in rows)
     return Model.fit(np.array([np.frombuffer(x, np.float32) for _, x in rows]), [k for k, _ in rows])
 

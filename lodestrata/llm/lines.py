@@ -172,9 +172,10 @@ class LineIndex:
 
     def applied(self, docs: DataFrame) -> DataFrame:
         """docs with their texts cut, and with n_lines and n_dropped."""
-        lost = self.dropped(docs).withColumnRenamed("doc_id", "__of")
+        lost = self.dropped(docs).withColumnsRenamed({"doc_id": "__of", "lost": "__lost"})
+        docs = docs.drop("n_lines", "n_dropped")
         names = docs.columns
-        joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left").select(*names, "lost")
+        joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__of")), "left").select(*names, "__lost")
         min_chars = self.min_chars
 
         def cut_lines(batches):

@@ -156,11 +156,12 @@ def _residuals(level: DataFrame, most: int, seed: int) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """docs with each row as often as the mix takes it."""
-    taken = copies(docs, **how).filter(F.col("copies") > 0).groupBy("uid").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).withColumnRenamed("uid", "__uid")
+    # equal rows share a uid; each gets the same copies, rounded up
+    per_row = F.ceil(F.sum("copies") / F.count("*")).cast("int")
+    taken = copies(docs, **how).groupBy(F.col("uid").alias("__uid")).agg(per_row.alias("__copies")).filter("__copies > 0")
     names = docs.columns
     keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    # equal rows share a uid; each gets the copies of one
-    return keyed.join(taken, "__uid").select(*names, F.explode(F.sequence(F.lit(1), F.ceil(F.col("copies") / F.col("rows")).cast("int")))).select(*names)
+    return keyed.join(taken, "__uid").select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*names)
 
 
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
