@@ -33,6 +33,8 @@ LIKELY = 0.4
 #: ... and in what share of the positives it is at least.
 SUPPORT = 0.01
 MEMBERS, STEPS, RATE, DECAY = 3, 600, 0.1, 1e-4
+#: Times the prior that the share of unlabelled texts found toxic may reach in the sample; else the offset gives way.
+EXCESS = 1.5
 #: Near copies in the sample are told by equal groups of minimal hashes: groups, hashes in each.
 GROUPS, HASHES = 6, 4
 #: Every FOLDS-th hash value is held out.
@@ -132,6 +134,7 @@ def _train(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, fl
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from rows that are not held out: at most POSITIVES toxic and UNLABELLED other texts."""
+    labels = labels.select("doc_id", "toxic")
     learnt = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = learnt.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     if not share:
@@ -151,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 own += [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], schema=_NO_WORDS)
 
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__of")).select("positive", "text").mapInArrow(words, "positive boolean, words binary").collect()  # within POSITIVES + UNLABELLED rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__of")).select("positive", "text").mapInArrow(words, "positive boolean, words binary").collect()  # within POSITIVES + UNLABELLED rows
     rows = sorted((r.positive, bytes(r.words)) for r in rows)
     sample = {kind: _without_copies([np.frombuffer(w, np.uint64) for p, w in rows if p == kind]) for kind in (True, False)}
     if not sample[True] or not sum(map(len, sample[True])):
@@ -163,7 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for member in range(MEMBERS):
         rng = np.random.default_rng(member)
         pick = lambda x: x[np.sort(rng.permutation(len(x))[: max(1, len(x) * 4 // 5)])]
-        made.append(_train(pick(xp), pick(xu), prior))
+        w, b = _train(pick(xp), pick(xu), prior)
+        # a sample too small to learn from must not make most texts toxic
+        beyond = float(np.quantile(xu @ w + b, max(0.0, 1 - EXCESS * prior), method="higher"))
+        made.append((w, b - beyond - 0.1 if beyond > 0 else b))
     return Model.of(chosen_words, np.array([w for w, _ in made]), np.array([b for _, b in made]))
 
 
