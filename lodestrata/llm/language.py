@@ -116,7 +116,7 @@ class Model:
                 a, b = languages[f][i], languages[f][j]
                 rows = (lang_of == a) | (lang_of == b)
                 own.append(machine(x[rows], np.where(lang_of[rows] == a, 1.0, -1.0)))
-            pairs[f] = (two, np.array([w for w, _ in own]).reshape(len(two), -1), np.array([b for _, b in own]))
+            pairs[f] = (two, np.array([w for w, _ in own]).reshape(len(two), x.shape[1]), np.array([b for _, b in own]))
         return cls(families, languages, np.array([w for w, _ in made]).astype(np.float32), np.array([b for _, b in made]), {f: (t, w.astype(np.float32), b) for f, (t, w, b) in pairs.items()})
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
