@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: The six ASCII white-space bytes: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text scanned at once; temporaries take about 60 times as much.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -91,6 +91,8 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)] if len(x) else np.zeros(1, np.int64)
 
 
+#: Turns in which a part is sorted; a power of two.
+PASSES = 8
 #: Bytes of a hash that travel; the part it is dealt to stands for the rest.
 SENT = 5
 
@@ -166,14 +168,20 @@ def _shared(parts: int):
         nodes = _joined(group["nodes"], np.uint64)
         if part < 0:
             return _table([(-1 - part, nodes.tobytes(), b"".join(x.as_py() for x in group["counts"]), b"".join(x.as_py() for x in group["tokens"]), None)], _SHARED_FIELDS)
-        tokens = np.concatenate([_received(x.as_py()) for x in group["tokens"]])
-        of = np.repeat(nodes, _joined(group["counts"], np.int32))
-        order = np.argsort(tokens, kind="stable")
-        edges = _runs(tokens[order])
-        df = np.repeat(np.diff(edges), np.diff(edges))
-        many = df >= 2
-        order, df = order[many], np.minimum(df[many], 65535).astype(np.uint16)
-        tokens, of = tokens[order] | np.uint64((part & 0xFFFFFF) << 8 * SENT), of[order]
+        raw = b"".join(x.as_py() for x in group["tokens"])
+        tokens = _received(raw)
+        del raw
+        of = np.repeat(np.arange(len(nodes), dtype=np.int32), _joined(group["counts"], np.int32))
+        kept = []
+        for turn in range(PASSES):  # a share of the hashes at a time, to sort little at once
+            own = np.flatnonzero((tokens & np.uint64(PASSES - 1)) == turn)
+            own = own[np.argsort(tokens[own], kind="stable")]
+            edges = _runs(tokens[own])
+            df = np.repeat(np.diff(edges), np.diff(edges))
+            many = df >= 2
+            kept.append((own[many], np.minimum(df[many], 65535).astype(np.uint16)))
+        own, df = (np.concatenate(x) for x in zip(*kept, strict=True))
+        tokens, of = tokens[own] | np.uint64((part & 0xFFFFFF) << 8 * SENT), nodes[of[own]]
         home = (of % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((of, home))
         home, of, tokens, df = home[order], of[order], tokens[order], df[order]
