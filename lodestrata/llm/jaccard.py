@@ -20,6 +20,8 @@ prefix, rarest shingles first; lists are ordered by size and carry positions.
    inequality of the Jaccard distance. What neither settles and no block skip
    rules out is verified, all of it.
 
+A list that is too long for one task is cut into blocks (`_in_blocks`).
+
 No link is lost: a linked pair shares a shingle of both prefixes, its first one
 passes the position bound, and all other bounds hold for every linked pair.
 Pairs of one component need not all be listed.
@@ -46,8 +48,12 @@ DOCS_IN_PART, SETS_IN_SHARD = 8192, 4096
 #: Lists up to this length are short.
 SHORT = 6
 BINS = 128
+#: Lists beyond this length are cut into blocks of about so many entries, each for a task of its own.
+LONG = 1 << 13
+#: Tables of long lists go to every task up to so many of them.
+FEW_LISTS = 1 << 16
 
-_PACKED = "part int, nodes binary, counts binary, tokens binary"
+_PACKED = "part int, frequent boolean, nodes binary, counts binary, tokens binary"
 _SHARED = "home int, nodes binary, counts binary, tokens binary, dfs binary"
 _ROWS = "doc_id long, node long, n long, d1 long, d2 long, lone long, prefix binary, tokens binary"
 _ENTRY = "shard int, token long, node long, n long, pos long, lone long, label long, lead long, far double, bins binary"
@@ -91,6 +97,8 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, x[1:] != x[:-1]]), len(x)] if len(x) else np.zeros(1, np.int64)
 
 
+#: Shingles in OFTEN or more of about SAMPLE documents don't go through the counts (see `frequent_shingles`), FREQUENT of them at most.
+SAMPLE, OFTEN, FREQUENT = 1 << 13, 8, 1 << 16
 #: Turns in which a part is sorted; a power of two.
 PASSES = 8
 #: Bytes of a hash that travel; the part it is dealt to stands for the rest.
@@ -107,10 +115,45 @@ def _received(raw: bytes) -> np.ndarray:
     return wide.view(np.uint64).ravel()
 
 
-def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
-    """Shingle hashes dealt by their high bits, and each document's set size and digest by its node."""
+def frequent_shingles(docs: DataFrame, rows: int, words: int) -> np.ndarray:
+    """The sorted hashes of shingles that are frequent in a bounded sample of documents.
+
+    They are taken as shared and as the most frequent, without being counted, so
+    that a passage of very many documents doesn't meet in one task. Which ones
+    are found changes the work, not the result: a shingle that is held to be
+    shared wrongly only lets a document pass to the next step.
+    """
+    share = min(1.0, SAMPLE / max(1, rows))
+    picked = docs.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))).select("text")
+
+    def hashes(batches):
+        for batch in batches:
+            for _, data, offsets in text_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(data, offsets, words)[0].view(np.int64))], names=["token"])
+
+    counts = picked.mapInArrow(hashes, "token long").groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    found = counts.orderBy(F.col("n").desc(), "token").limit(FREQUENT).select("token").toArrow()["token"].to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _token_id(tokens: np.ndarray, part) -> np.ndarray:
+    """What stands for a shingle from the first exchange on: the bytes sent, and the part."""
+    return (tokens & np.uint64((1 << 8 * SENT) - 1)) | (part & np.uint64(0xFFFFFF)) << np.uint64(8 * SENT)
+
+
+def _packed(docs: DataFrame, parts: int, words: int, frequent: np.ndarray) -> DataFrame:
+    """Shingle hashes dealt by their high bits; by home, each document's set size and digest, and its frequent shingles."""
+    low = np.uint64(0xFFFF)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(frequent & low).astype(np.int64)] = True
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, maybe))
+
+    def by_document(own, of, tokens, pack):
+        cuts = _runs(of)
+        return own[of[cuts[:-1]]].tobytes(), np.diff(cuts).astype(np.int32).tobytes(), pack(tokens)
 
     def pack(batches):
+        frequent, maybe = sent.value
         for batch in batches:
             ids = batch.column(0)
             known = np.asarray(ids.is_valid())
@@ -133,16 +176,28 @@ def _packed(docs: DataFrame, parts: int, words: int) -> DataFrame:
                 edges = _runs(home[order])
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     k = order[a:b]
-                    rows.append((-1 - int(home[k[0]]), own[k].tobytes(), size[k].tobytes(), wide[k].tobytes()))
-                part = ((tokens >> np.uint64(8 * SENT)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.uint32)
+                    rows.append((-1 - int(home[k[0]]), False, own[k].tobytes(), size[k].tobytes(), wide[k].tobytes()))
+                of = np.repeat(np.arange(n), counts)
+                part = (tokens >> np.uint64(8 * SENT)) % np.uint64(parts)
+                if len(frequent) and len(tokens):
+                    often = np.flatnonzero(maybe[(tokens & low).astype(np.int64)])
+                    often = often[frequent[np.minimum(np.searchsorted(frequent, tokens[often]), len(frequent) - 1)] == tokens[often]]
+                    often = often[np.argsort(home[of[often]], kind="stable")]
+                    edges = _runs(home[of[often]])
+                    for a, b in zip(edges[:-1], edges[1:], strict=True):
+                        k = often[a:b]
+                        rows.append((-1 - int(home[of[k[0]]]), True, *by_document(own, of[k], _token_id(tokens[k], part[k]), np.ndarray.tobytes)))
+                    rest = np.ones(len(tokens), bool)
+                    rest[often] = False
+                    part, tokens, of = part[rest], tokens[rest], of[rest]
+                part = part.astype(np.uint16 if parts <= 65536 else np.uint32)
                 order = np.argsort(part, kind="stable")
-                part, tokens, of = part[order], tokens[order], np.repeat(np.arange(n), counts)[order]
+                part, tokens, of = part[order], tokens[order], of[order]
                 edges = _runs(part)
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    cuts = _runs(of[a:b])
-                    rows.append((int(part[a]), own[of[a:b][cuts[:-1]]].tobytes(), np.diff(cuts).astype(np.int32).tobytes(), _sent(tokens[a:b])))
-                types = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "nodes", "counts", "tokens"])
+                    rows.append((int(part[a]), False, *by_document(own, of[a:b], tokens[a:b], _sent)))
+                types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "frequent", "nodes", "counts", "tokens"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("node"), "text")
     return keyed.mapInArrow(pack, _PACKED)
@@ -165,9 +220,15 @@ def _shared(parts: int):
 
     def share(group: pa.Table) -> pa.Table:
         part = group["part"][0].as_py()
-        nodes = _joined(group["nodes"], np.uint64)
         if part < 0:
-            return _table([(-1 - part, nodes.tobytes(), b"".join(x.as_py() for x in group["counts"]), b"".join(x.as_py() for x in group["tokens"]), None)], _SHARED_FIELDS)
+            often = np.asarray(group["frequent"])
+            rows = []
+            for kind in np.unique(often):
+                own = group.filter(pa.array(often == kind))
+                nodes, counts, tokens = (b"".join(x.as_py() for x in own[c]) for c in ("nodes", "counts", "tokens"))
+                rows.append((-1 - part, nodes, counts, tokens, np.full(len(tokens) // 8, 65535, np.uint16).tobytes() if kind else None))
+            return _table(rows, _SHARED_FIELDS)
+        nodes = _joined(group["nodes"], np.uint64)
         raw = b"".join(x.as_py() for x in group["tokens"])
         tokens = _received(raw)
         del raw
@@ -181,7 +242,7 @@ def _shared(parts: int):
             many = df >= 2
             kept.append((own[many], np.minimum(df[many], 65535).astype(np.uint16)))
         own, df = (np.concatenate(x) for x in zip(*kept, strict=True))
-        tokens, of = tokens[own] | np.uint64((part & 0xFFFFFF) << 8 * SENT), nodes[of[own]]
+        tokens, of = _token_id(tokens[own], np.uint64(part)), nodes[of[own]]
         home = (of % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((of, home))
         home, of, tokens, df = home[order], of[order], tokens[order], df[order]
@@ -235,8 +296,9 @@ def _gathered(percent: int):
 
 def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """A row for each row of docs: set size, digest, and for those that can be linked what they share."""
-    parts = parts_for(docs.count(), DOCS_IN_PART)
-    shared = _packed(docs, parts, words).groupBy("part").applyInArrow(_shared(parts), _SHARED)
+    rows = docs.count()
+    parts = parts_for(rows, DOCS_IN_PART)
+    shared = _packed(docs, parts, words, frequent_shingles(docs, rows, words)).groupBy("part").applyInArrow(_shared(parts), _SHARED)
     return cut(shared.groupBy("home").applyInArrow(_gathered(percent), _ROWS))
 
 
@@ -267,6 +329,36 @@ def _entries(sets: DataFrame, shards: int) -> DataFrame:
     return sets.select("node", "n", "lone", "prefix", "tokens", "label", "lead", "far").mapInArrow(spread, _ENTRY)
 
 
+def _in_blocks(entries: DataFrame, shards: int, settled: bool, long: int = LONG) -> DataFrame:
+    """entries with the lists beyond `long` cut into blocks, which count as lists and lie in shards of their own.
+
+    Before anything is known of the sets, an entry goes to one block, by a hash
+    of its node: pairs across blocks wait. Once labels are there (`settled`),
+    entries of a list's most frequent label go to one block and need no pairs
+    among them; all others go to every block, so that each pair of two labels
+    meets in one.
+    """
+    lengths = cut(entries.groupBy("token").agg(F.count("*").alias("entries")).filter(F.col("entries") > long))
+    lists = lengths.count()
+    if not lists:
+        return entries
+    send = F.broadcast if lists <= FEW_LISTS else lambda df: df
+    blocks = lengths.select(F.col("token").alias("__token"), F.ceil(F.col("entries") / long).alias("__blocks"))
+    marked = entries.join(send(blocks), F.col("token") == F.col("__token"), "left")
+    own = F.pmod(F.xxhash64("node", "token"), "__blocks")
+    place = F.array(own)
+    if settled:
+        labels = marked.filter(F.col("__blocks").isNotNull()).groupBy("token", "label").agg(F.count("*").alias("n"))
+        common = labels.groupBy(F.col("token").alias("__of")).agg(F.max(F.struct("n", "label")).alias("__most")).select("__of", F.col("__most.label").alias("__common"))
+        marked = marked.join(send(common), F.col("token") == F.col("__of"), "left")
+        place = F.when(F.col("label") == F.col("__common"), place).otherwise(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))
+    dealt = marked.withColumn("__block", F.explode(F.when(F.col("__blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(place)))
+    inside = F.col("__block") >= 0
+    token = F.when(inside, F.xxhash64("token", "__block")).otherwise(F.col("token"))
+    shard = F.when(inside, (F.lit(shards) + F.pmod(F.xxhash64("token", "__block", F.lit(1)), F.lit(1 << 30))).cast("int")).otherwise(F.col("shard"))
+    return dealt.withColumns({"token": token, "shard": shard}).select(*entries.columns)
+
+
 class Lists:
     """The index lists of one shard, each ordered by size."""
 
@@ -389,7 +481,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(overlap, "a long, b long, n_a long, n_b long, both long")
 
 
-def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, long: int = LONG) -> DataFrame:
     """(doc_id, node, n_shingles, component_id): a row for each row of docs; node is a hash of doc_id and text."""
     rows = document_sets(docs, words, percent)
     able = rows.filter(F.col("tokens").isNotNull())
@@ -408,14 +500,14 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         return lists.found(lists.open_pairs())
 
     unled = sets.withColumns({"label": F.col("node"), "lead": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
-    seen = cut(_verified(_entries(unled, shards).groupBy("shard").applyInArrow(trees, "a long, b long").distinct(), sets))
+    seen = cut(_verified(_in_blocks(_entries(unled, shards), shards, False, long).groupBy("shard").applyInArrow(trees, "a long, b long").distinct(), sets))
     is_link = F.col("both") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     labels = components(seen.filter(is_link).select("a", "b"))
     far = 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
     # each set's nearest verified partner is its leader
     leads = seen.withColumn("far", far).groupBy(F.col("b").alias("node")).agg(F.min(F.struct("far", F.col("a").alias("lead"))).alias("near")).select("node", "near.lead", "near.far")
     led = sets.join(labels, "node", "left").join(leads, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = _entries(led, shards).groupBy("shard").applyInArrow(rest, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    left = _in_blocks(_entries(led, shards), shards, True, long).groupBy("shard").applyInArrow(rest, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
     more = cut(_verified(left, sets).filter(is_link).select("a", "b"))
     final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     labelled = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label"))

@@ -64,7 +64,9 @@ def test_like_all_pairs(spark, seed):
         rows.append((k, " ".join(copy)))
         k += 1
     rng.shuffle(rows)
-    assert found(spark, rows) == plain(rows)
+    want = plain(rows)
+    assert found(spark, rows) == want
+    assert found(spark, rows, long=20) == want  # lists cut into blocks
 
 
 def test_odd(spark, odd_docs, no_docs):
