@@ -1,10 +1,12 @@
 """Byte-pair encoding through a table of distinct words.
 
-Texts are split at ASCII white space, which no token of the vocabulary and no
-rule of its normaliser crosses. Spark counts every distinct word over all texts
-and encodes each frequent one once; tasks join the words of their texts to that
-table by position. Words beyond the table's bound (rare ones) are encoded once
-by each task that meets them. Decoding joins ids to the vocabulary's pieces.
+Texts are split at ASCII white space and between an ASCII letter or digit and a
+punctuation mark, which no token of the vocabulary and no rule of its normaliser
+crosses; A-Z are lower-cased, as the normaliser would do. Spark counts every
+distinct word over all texts and encodes each frequent one once, and joins its
+ids to the vocabulary's pieces; tasks join the words of their texts to that table
+by position. Words beyond the table's bound (rare ones) are encoded once by each
+Python process that meets them.
 
 Nulls and empty texts have no tokens. Repeated rows are encoded alike, and other
 columns of the input pass by unused.
@@ -15,10 +17,11 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
+from array import array
 from collections import Counter
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +32,21 @@ from lodestrata.llm.common import table
 TABLE_WORDS = 1 << 18
 WORD_BYTES = 64
 #: A task counts at most so many distinct words before it hands them on.
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
 #: Count classes in each doubling of the count.
 CLASSES = 8
 
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-_TABLE = pa.schema([("word", pa.binary()), ("ids", pa.binary())])
+_TABLE = pa.schema([("word", pa.binary()), ("ids", pa.binary()), ("pieces", pa.string())])
+#: Between a letter or digit and one of these, a token always ends.
+_EDGE = re.compile(rb"([.,;:!?])(?<=[A-Za-z0-9].)")
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text; case stays where a special token might stand."""
+    if b"<|" not in text:
+        text = text.lower()
+    return _EDGE.sub(rb" \1", text).split()
 
 
 def _counted(batches):
@@ -48,7 +60,7 @@ def _counted(batches):
     for batch in batches:
         for text in batch.column(0):
             if text.is_valid:
-                held.update(text.as_buffer().to_pybytes().split())
+                held.update(words_of(text.as_buffer().to_pybytes()))
                 if len(held) >= HELD_WORDS:
                     yield rows()
     yield rows()
@@ -71,6 +83,8 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        #: Words beyond the table that this process has met, at most about HELD_WORDS.
+        self.rare: dict[bytes, tuple[bytes, str]] = {}
         self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
 
     @classmethod
@@ -80,14 +94,16 @@ class Vocabulary:
             cls._made[key] = cls(source)
         return cls._made[key]
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit integers."""
+    def encode(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+        """For each word its ids, as little-endian unsigned 32-bit integers, and their pieces, parted by blanks."""
         found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+        pieces = self.pieces.__getitem__
+        return [(array("I", e.ids).tobytes(), " ".join(map(pieces, e.ids))) for e in found]
+
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The pieces of the ids; a vocabulary without a decoder parts them by blanks."""
-        return " ".join(map(self.pieces.__getitem__, ids.tolist()))
+#: The normaliser and the split by which texts may be cut into words as `words_of` does.
+_NORMALISERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def tokenizer_source(path: str) -> str:
@@ -96,11 +112,14 @@ def tokenizer_source(path: str) -> str:
     parsed = json.loads(source)
     if parsed["model"]["type"] != "BPE" or parsed["model"]["dropout"] or parsed["post_processor"] or parsed["decoder"]:
         raise ValueError("only plain BPE vocabularies without a decoder can be split by words")
+    steps = [n["type"] for n in parsed["normalizer"]["normalizers"]]
+    if steps != _NORMALISERS or parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": _SPLIT} or not all(t["content"].startswith("<|") for t in parsed["added_tokens"]):
+        raise ValueError("this vocabulary's rules aren't those by which texts are cut into words")
     return source
 
 
 def word_table(docs: DataFrame, source: str, most: int = TABLE_WORDS) -> DataFrame:
-    """(word, ids): the most frequent words, each encoded once.
+    """(word, ids, pieces): the most frequent words, each encoded once.
 
     Words enter by classes of equal log-scaled count, from the most frequent
     class on, as long as the table stays within `most` words.
@@ -117,11 +136,11 @@ def word_table(docs: DataFrame, source: str, most: int = TABLE_WORDS) -> DataFra
     def encoded(batches):
         vocabulary = Vocabulary.of(source)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vocabulary.encode(words), pa.binary())], schema=_TABLE)
+            made = vocabulary.encode(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i for i, _ in made], pa.binary()), pa.array([t for _, t in made], pa.string())], schema=_TABLE)
 
     chosen = counts.filter(F.col("class") >= F.lit(least)) if sizes and least < math.inf else counts.limit(0)
-    out = chosen.select("word").mapInArrow(encoded, "word binary, ids binary")
+    out = chosen.select("word").mapInArrow(encoded, "word binary, ids binary, pieces string")
     out.held = counts
     return out
 
@@ -143,34 +162,35 @@ def digests(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
 def _through(docs: DataFrame, path: str, most: int, added: str, made, types: list) -> DataFrame:
     source = tokenizer_source(path)
     words = word_table(docs, source, most)
-    joined = docs.sparkSession.sparkContext.broadcast({bytes(r["word"]): bytes(r["ids"]) for r in words.toLocalIterator()})  # within `most` words of WORD_BYTES
+    rows = words.toArrow()  # within `most` words of WORD_BYTES
+    joined = docs.sparkSession.sparkContext.broadcast(dict(zip(rows["word"].to_pylist(), zip(rows["ids"].to_pylist(), rows["pieces"].to_pylist(), strict=True), strict=True)))
+    del rows
     words.held.unpersist()
     names = [f.split()[0] for f in added.split(", ")]
     kept = [c for c in docs.columns if c not in names]
 
-    def rows(batches):
+    def through(batches):
         vocabulary, known = Vocabulary.of(source), joined.value
-        rare: dict[bytes, bytes] = {}
+        rare = vocabulary.rare
         for batch in batches:
             found = []
             for text in batch.column(batch.num_columns - 1):
-                parts = text.as_buffer().to_pybytes().split() if text.is_valid else []
-                ids = list(map(known.get, parts))
-                if None in ids:
-                    new = list({w for w, i in zip(parts, ids, strict=True) if i is None and w not in rare})
+                parts = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
+                pairs = list(map(known.get, parts))
+                if None in pairs:
+                    new = list({w for w, i in zip(parts, pairs, strict=True) if i is None and w not in rare})
                     if new:
                         if len(rare) > HELD_WORDS:
                             rare.clear()
-                            new = list({w for w, i in zip(parts, ids, strict=True) if i is None})
+                            new = list({w for w, i in zip(parts, pairs, strict=True) if i is None})
                         rare.update(zip(new, vocabulary.encode(new), strict=True))
-                    ids = [rare[w] if i is None else i for w, i in zip(parts, ids, strict=True)]
-                packed = b"".join(ids)
-                found.append(made(packed, vocabulary.decode(np.frombuffer(packed, "<u4"))))
+                    pairs = [rare[w] if i is None else i for w, i in zip(parts, pairs, strict=True)]
+                found.append(made(b"".join([i for i, _ in pairs]), " ".join([t for _, t in pairs if t])))
             columns = [pa.array([x[k] for x in found], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*kept, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(rows, f"{fields}, {added}")
+    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(through, f"{fields}, {added}")
 
 
 def public_path() -> str:
