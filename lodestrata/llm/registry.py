@@ -17,10 +17,11 @@ QUERIES = {
     "op10_bpe_round_trip": bpe.op10_bpe_round_trip,
 }
 
-#: SQL can't express op3 (drawn by hashes in a tree) and op10 (merges of byte pairs).
+#: SQL can express neither what is trained (op4, op8) or approximate (op1), nor draws by hashes in a tree (op3), nor merges of byte pairs (op10).
 ORACLES = {
     "op2_chat_format": chat.OP2_SQL,
     "op5_licences": licences.OP5_SQL,
     "op6_bit_sliced_top": bitsliced.OP6_SQL,
     "op7_line_dedup": lines.OP7_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
 }
