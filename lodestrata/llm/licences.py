@@ -5,7 +5,8 @@ Every line of a text, and every paragraph of more than one line, is normalised
 its word bigrams. It matches a template where twice the number of common bigrams
 is at least `least` of the sum of both sets' sizes. That bounds the size of one
 set by the other's, so templates of other sizes are pruned before any bigram is
-compared, and units too short for the shortest template before they have any.
+compared, and units too short for the shortest template, or of too many distinct
+words for the longest, before they have any.
 
 Templates are a parameter, of at most MOST: they are constants of the plan.
 Bigrams are compared by 64-bit hashes. Everything is DataFrame expressions.
@@ -88,6 +89,9 @@ def scanned(docs: DataFrame, templates: dict[str, list[str]] | None = None, leas
     low = least / (2 - least)
     unit = docs.select("doc_id", F.explode(units(F.col("text"))).alias("unit"))
     words = unit.select("doc_id", F.split(normalised(F.col("unit")), " ").alias("words")).filter(F.size("words") - 1 >= F.lit(low * shortest))
+    # all distinct words but one end a bigram of their own
+    longest = max(len(b) for _, b in known) / low
+    words = words.filter((F.size("words") - 1 <= longest) | (F.size(F.array_distinct("words")) - 1 <= longest))
     sets = words.select("doc_id", bigrams(F.col("words")).alias("own"))
 
     def score(name: str, own: list[int]) -> Column:
@@ -96,7 +100,6 @@ def scanned(docs: DataFrame, templates: dict[str, list[str]] | None = None, leas
         common = F.size(F.array_intersect("own", F.lit(own).cast("array<long>")))
         return F.when(fits, F.struct(F.lit(name).alias("licence"), (2.0 * common / (n + len(own))).alias("score")))
 
-    longest = max(len(b) for _, b in known) / low
     near = sets.filter(F.size("own") <= longest)
     found = near.select("doc_id", F.explode(F.filter(F.array(*(score(*x) for x in known)), lambda m: m["score"] >= least)).alias("m"))
     best = F.round(F.max("m.score"), 6).alias("score")
