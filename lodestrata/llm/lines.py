@@ -15,7 +15,6 @@ document, which keeps a line only where no other document holds it.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

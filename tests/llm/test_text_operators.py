@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestrata.llm import bpe, chat, language, licences, lines, mixing, toxicity
-from lodestrata.llm.common import ALNUM, WHITE, hashed_words
+from lodestrata.llm.common import WHITE, hashed_words
 from lodestrata.llm.cuckoo import CuckooFilter, Full
 
 
