@@ -9,6 +9,8 @@ from lodestrata.llm import bpe, jaccard, lines, mixing, toxicity
 from lodestrata.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this percentage of their shingles of so many words; op9's own contract (4, 85) binds that query only.
+COPY_WORDS, COPY_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the least doc_id."""
-    linked = jaccard.linked_rows(docs.select("doc_id", "text"))
+    linked = jaccard.linked_rows(docs.select("doc_id", "text"), COPY_WORDS, COPY_PERCENT)
     gone = linked.filter(F.col("doc_id") != F.col("component_id")).select("node").distinct()
     node = F.xxhash64("doc_id", "text")
     return docs.select(*COLUMNS).join(gone, node == F.col("node"), "left_anti")

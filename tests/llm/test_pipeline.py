@@ -65,3 +65,18 @@ def test_stages_on_empty_and_odd_tables(spark, data, odd_docs):
 
 def test_run(spark, data):
     assert p.run(spark, data).count() > 0
+
+
+def test_near_copies_at_five_words_and_four_fifths(spark, data):
+    word = lambda n, own: [f"{own}{k}" for k in range(n)]
+    base = word(204, "a")  # 200 shingles of five words
+    texts = [base, base + word(44, "b"), base + word(51, "c"), word(60, "d")]  # 200 / 244 = 0.82 at five words; 201 / 245 at four; 200 / 251 is below 0.8
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    got = {r.doc_id for r in dict(p.STAGES)["n-gram Jaccard join"](spark, docs, data).collect()}
+    assert got == {0, 2, 3} == {c for _, _, c in plain(rows, 5, 80)}
+
+    table = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    got = {r.doc_id for r in dict(p.STAGES)["n-gram Jaccard join"](spark, table, data).collect()}
+    assert got == {c for _, _, c in plain(rows, 5, 80)}
