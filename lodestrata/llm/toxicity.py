@@ -1,7 +1,9 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic texts are the positives; all other texts are unlabelled, though
-some are toxic. With the class prior p, the risk of a classifier is
+some are toxic. Near copies are taken out of the samples of both, and the class
+prior p is the toxic share of the labelled rows that this leaves of a draw from
+all rows. With it, the risk of a classifier is
 p * E_pos[l(z)] + max(0, E_unl[l(-z)] - p * E_pos[l(-z)]): what the positives
 among the unlabelled add is taken out again, and where the difference turns
 negative (overfitting), the step goes the other way. Small numpy classifiers
@@ -33,13 +35,15 @@ LIKELY = 0.4
 #: ... and in what share of the positives it is at least.
 SUPPORT = 0.01
 MEMBERS, STEPS, RATE, DECAY = 3, 600, 0.1, 1e-4
-#: Times the prior that the share of unlabelled texts found toxic may reach in the sample; else the offset gives way.
-EXCESS = 1.5
+#: Samples of fewer positives are too small to learn from: there the offset gives way where the share of the unlabelled found toxic is over so many times the prior.
+FEW, EXCESS = 100, 1.5
+#: Where fewer of the unlabelled sample's rows have labels, the prior is taken from a sample of the labelled rows, without near copies too.
+LABELLED = 300
 #: Near copies in the sample are told by equal groups of minimal hashes: groups, hashes in each.
 GROUPS, HASHES = 6, 4
 #: Every FOLDS-th hash value is held out.
 FOLDS = 5
-_NO_WORDS = pa.schema([("positive", pa.bool_()), ("words", pa.binary())])
+_NO_WORDS = pa.schema([("drawn", pa.bool_()), ("known", pa.bool_()), ("toxic", pa.int32()), ("at", pa.int64()), ("words", pa.binary())])
 
 
 def fold(doc_id, n: int):
@@ -77,15 +81,15 @@ class Model:
         return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).mean(0)
 
 
-def _without_copies(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """One of each group of near copies, so that their words don't count as many texts' words."""
+def _without_copies(rows: list[np.ndarray]) -> list[int]:
+    """Numbers of the rows with one of each group of near copies, so that their words don't count as many texts' words."""
     seen, kept = set(), []
     turns = mixed(np.arange(1, GROUPS * HASHES + 1, dtype=np.uint64))[:, None]
-    for own in rows:
+    for number, own in enumerate(rows):
         least = mixed(own[None, :] ^ turns).min(1).reshape(GROUPS, HASHES) if len(own) else np.zeros((GROUPS, HASHES), np.uint64)
         groups = {(k, g.tobytes()) for k, g in enumerate(least)}
         if seen.isdisjoint(groups):
-            kept.append(own)
+            kept.append(number)
         seen |= groups
     return kept
 
@@ -114,17 +118,18 @@ def _distinct_words(positives: list, unlabelled: list, prior: float) -> np.ndarr
     return np.sort(hashes[order[: max(8, int((strength[order] >= DISTINCT).sum()))]])
 
 
-def _train(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk with the logistic loss."""
+def _train(xp: np.ndarray, xu: np.ndarray, prior: float, left: float) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative risk with the logistic loss; left: the toxic share of the unlabelled."""
     w = np.zeros(xp.shape[1] + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     xp, xu = np.c_[xp, np.ones(len(xp), np.float32)], np.c_[xu, np.ones(len(xu), np.float32)]
     w[-1] = np.log(prior / (1 - prior))
+    clean = (1 - prior) / (1 - left)  # the unlabelled's clean texts stand for all clean ones
     for step in range(1, STEPS + 1):
         zp, zu = xp @ w.astype(np.float32), xu @ w.astype(np.float32)
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        away = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        grad_away = su @ xu / len(xu) - prior * (sp @ xp) / len(xp)
+        away = np.logaddexp(0, zu).mean() - left * np.logaddexp(0, zp).mean()
+        grad_away = clean * (su @ xu / len(xu) - left * (sp @ xp) / len(xp))
         grad = (-grad_away if away < 0 else prior * ((sp - 1) @ xp) / len(xp) + grad_away).astype(np.float64)
         grad[:-1] += DECAY * w[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
@@ -136,27 +141,41 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from rows that are not held out: at most POSITIVES toxic and UNLABELLED other texts."""
     labels = labels.select("doc_id", "toxic")
     learnt = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = learnt.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    if not share:
+    if not learnt.filter("toxic = 1").limit(1).count():
         return Model.of(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
-    prior = min(max(share, 0.01), 0.9)
     order = F.xxhash64("doc_id", F.lit("sample"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
-    toxic = learnt.filter("toxic = 1").orderBy(order, "doc_id").limit(POSITIVES).select("doc_id", F.lit(True).alias("positive"))
-    other = ids.orderBy(order, "doc_id").limit(UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
-    chosen = toxic.unionByName(other).groupBy("doc_id").agg(F.max("positive").alias("positive")).withColumnRenamed("doc_id", "__of")
+    toxic = learnt.filter("toxic = 1").orderBy(order, "doc_id").limit(POSITIVES).select("doc_id")
+    other = ids.orderBy(order, "doc_id").limit(UNLABELLED).select("doc_id")
+    enough = other.join(learnt.select("doc_id"), "doc_id", "left_semi").count() >= LABELLED
+    known = learnt.orderBy(order, "doc_id").limit(0 if enough else UNLABELLED).select("doc_id")
+    kinds = [toxic.selectExpr("doc_id", "false AS drawn", "false AS known"), other.selectExpr("doc_id", "true AS drawn", "false AS known"), known.selectExpr("doc_id", "false AS drawn", "true AS known")]
+    chosen = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("doc_id").agg(F.max("drawn").alias("drawn"), F.max("known").alias("known"))
+    positives = toxic.withColumn("positive", F.lit(2))
+    chosen = chosen.join(learnt, "doc_id", "left").join(positives, "doc_id", "left").select(F.col("doc_id").alias("__of"), "drawn", "known", F.coalesce("positive", "toxic", F.lit(-1)).cast("int").alias("toxic"), order.alias("at"))
 
     def words(batches):
         for batch in batches:
             own = []
-            for _, data, offsets in text_slices(batch.column(1)):
+            for _, data, offsets in text_slices(batch.column(4)):
                 hashes, counts = hashed_words(data, offsets, ALNUM)
                 own += [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], schema=_NO_WORDS)
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__of")).select("positive", "text").mapInArrow(words, "positive boolean, words binary").collect()  # within POSITIVES + UNLABELLED rows
-    rows = sorted((r.positive, bytes(r.words)) for r in rows)
-    sample = {kind: _without_copies([np.frombuffer(w, np.uint64) for p, w in rows if p == kind]) for kind in (True, False)}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.binary())], schema=_NO_WORDS)
+
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__of")).select("drawn", "known", "toxic", "at", "text").mapInArrow(words, "drawn boolean, known boolean, toxic int, at long, words binary").collect()  # within POSITIVES + 2 * UNLABELLED rows
+    rows = sorted((bytes(r.words), r["at"], r.toxic, r.drawn, r.known) for r in rows)  # of equal texts any may be first, labelled or not
+
+    def kept(rows):
+        own = [np.frombuffer(r[0], np.uint64) for r in rows]
+        return [(own[k], rows[k][2]) for k in _without_copies(own)]
+
+    unlabelled = kept([r for r in rows if r[3]])
+    sample = {True: [w for w, _ in kept([r for r in rows if r[2] == 2])], False: [w for w, t in unlabelled if t != 2]}
+    known = [t > 0 for _, t in (unlabelled if enough else kept([r for r in rows if r[4]])) if t >= 0]
+    prior = min(max(float(np.mean(known or [0.0])), 0.01), 0.9)
+    # the positives are no longer among the unlabelled
+    out = len(unlabelled) - len(sample[False])
+    left = min(max((prior * len(unlabelled) - out) / max(1, len(sample[False])), 0.0), prior)
     if not sample[True] or not sum(map(len, sample[True])):
         return Model.of(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
     sample[False] = sample[False] or sample[True]
@@ -166,9 +185,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for member in range(MEMBERS):
         rng = np.random.default_rng(member)
         pick = lambda x: x[np.sort(rng.permutation(len(x))[: max(1, len(x) * 4 // 5)])]
-        w, b = _train(pick(xp), pick(xu), prior)
+        w, b = _train(pick(xp), pick(xu), prior, left)
         # a sample too small to learn from must not make most texts toxic
-        beyond = float(np.quantile(xu @ w + b, max(0.0, 1 - EXCESS * prior), method="higher"))
+        beyond = float(np.quantile(xu @ w + b, max(0.0, 1 - EXCESS * prior), method="higher")) if len(xp) < FEW else 0.0
         made.append((w, b - beyond - 0.1 if beyond > 0 else b))
     return Model.of(chosen_words, np.array([w for w, _ in made]), np.array([b for _, b in made]))
 

@@ -242,6 +242,24 @@ def test_toxicity_learns_from_positives(spark):
     assert right >= 0.97 * len(held)
 
 
+def test_toxicity_among_clean_copies(spark):
+    rng = np.random.default_rng(7)
+    clean, bad = [f"word{k}" for k in range(300)], ["nasty", "vile", "rotten"]
+    copy, rows, toxic = " ".join(rng.choice(clean, 40)), [], set()
+    for k in range(6000):
+        own = list(rng.choice(clean, 40))
+        if rng.random() < 0.3:
+            own += list(rng.choice(bad, 3))
+            toxic |= {k} if k % 2 else set()
+        rows.append((k, " ".join(rng.permutation(own)) if k % 2 else copy))  # half the rows are copies of a clean text
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(k in toxic)) for k in range(6000) if k % 5 < 2], "doc_id long, toxic int")
+    found = {r.doc_id for r in toxicity.scored(docs, toxicity.fit(docs, known)).filter("score >= 0.5").collect()}
+    held = {k for k in range(6000) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert len(found & toxic & held) >= 0.93 * len(toxic & held)
+    assert len(found & held - toxic) <= 0.03 * len(held - toxic)
+
+
 def test_toxicity_odd(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs, labels)
