@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import bpe, jaccard, lines, mixing, toxicity
-from lodestrata.llm.common import stored, table
+from lodestrata.llm.common import cut, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies share this percentage of their shingles of so many words; op9's own contract (4, 85) binds that query only.
@@ -26,11 +26,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the least doc_id."""
+    """One row of each group of linked ones: of the least doc_id, nulls last, and of rows repeated with it any one."""
     linked = jaccard.linked_rows(docs.select("doc_id", "text"), COPY_WORDS, COPY_PERCENT)
-    gone = linked.filter(F.col("doc_id") != F.col("component_id")).select("node").distinct()
-    node = F.xxhash64("doc_id", "text")
-    return docs.select(*COLUMNS).join(gone, node == F.col("node"), "left_anti")
+    gone = linked.filter(F.col("node") != F.col("first")).select("node").distinct()
+    repeated = cut(linked.filter(F.col("node") == F.col("first")).groupBy("node").count().filter("count > 1").select("node"))
+    rows = docs.select(*COLUMNS).withColumn("node", F.xxhash64("doc_id", "text"))
+    if not repeated.count():
+        return rows.join(gone, "node", "left_anti").select(*COLUMNS)
+    one = rows.join(repeated, "node").groupBy("node").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return rows.join(gone.unionByName(repeated), "node", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -482,7 +482,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, long: int = LONG) -> DataFrame:
-    """(doc_id, node, n_shingles, component_id): a row for each row of docs; node is a hash of doc_id and text."""
+    """(doc_id, node, n_shingles, component_id, first): a row for each row of docs; node is a hash of doc_id and text.
+
+    first is the node that stands for the component: of the rows with its least doc_id, nulls last, the one of the least
+    node. It is null for rows that link with nothing.
+    """
     rows = document_sets(docs, words, percent)
     able = rows.filter(F.col("tokens").isNotNull())
     classes = able.groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"))
@@ -512,9 +516,9 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lon
     final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     labelled = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label"))
     own = cut(able.select("doc_id", "node", "n", "d1", "d2").join(labelled, ["n", "d1", "d2"]).select("doc_id", "node", "n", "label"))
-    least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    some = own.join(least, "label").select("doc_id", "node", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.filter(F.col("tokens").isNull()).select("doc_id", "node", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
+    some = own.join(least, "label").select("doc_id", "node", F.col("n").alias("n_shingles"), "component_id", F.col("least.node").alias("first"))
+    none = rows.filter(F.col("tokens").isNull()).select("doc_id", "node", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("first"))
     return some.unionByName(none)
 
 

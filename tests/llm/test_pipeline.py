@@ -80,3 +80,13 @@ def test_near_copies_at_five_words_and_four_fifths(spark, data):
     rows = [(r.doc_id, r.text) for r in table.collect()]
     got = {r.doc_id for r in dict(p.STAGES)["n-gram Jaccard join"](spark, table, data).collect()}
     assert got == {c for _, _, c in plain(rows, 5, 80)}
+
+
+def test_one_row_of_each_group_stays(spark, data):
+    text = lambda own: " ".join(f"{own}{k}" for k in range(300))
+    near = text("c") + " end"
+    rows = [(None, text("a")), (None, text("a")), (None, text("a") + " end"), (1, text("b")), (1, text("b")), (None, text("b")), (2, text("c")), (2, near), (3, None), (None, text("d"))]
+    docs = spark.createDataFrame([(*r, "en", f"s{k}", 1) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in dict(p.STAGES)["n-gram Jaccard join"](spark, docs, data).collect()]
+    assert Counter(d for d, _ in got) == {None: 2, 1: 1, 2: 1, 3: 1}
+    assert Counter((t or " ")[0] for _, t in got) == {"a": 1, "b": 1, "c": 1, "d": 1, " ": 1}
