@@ -8,6 +8,12 @@ set by the other's, so templates of other sizes are pruned before any bigram is
 compared, and units too short for the shortest template, or of too many distinct
 words for the longest, before they have any.
 
+A licence that no unit states may be stated inside one, or by the words of a
+comment block. So windows of a text's words, as long as the template and laid
+over one of its rare bigrams, are compared in the same way; there are so many rare
+ones that no window without any reaches `least`. n_matches then counts windows
+that don't overlap. OP5_SQL knows whole units only.
+
 Templates are a parameter, of at most MOST: they are constants of the plan.
 Bigrams are compared by 64-bit hashes. Everything is DataFrame expressions.
 Null and empty texts match nothing; rows without a doc_id and repeated rows
@@ -76,6 +82,48 @@ def units(text: Column) -> Column:
     return F.concat(F.split(text, "\n"), F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n"))))
 
 
+def _rare(words: list[str], low: float) -> list[tuple[str, str]]:
+    """So many of a template's bigrams, the longest first, that a text without any of them can't match it."""
+    own = sorted(set(zip(words, words[1:], strict=False)), key=lambda b: (-len(b[0]) - len(b[1]), b))
+    return own[: int(len(own) * (1 - low) + 1e-9) + 1]
+
+
+def embedded(docs: DataFrame, pairs: list[tuple[str, list[str]]], least: float) -> DataFrame:
+    """(doc_id, licence, score, n): a row for each row of docs and licence that windows of its words state."""
+    low = least / (2 - least)
+    rare = [_rare(words, low) for _, words in pairs]
+    either = "|".join(sorted({f"{a}[^a-z0-9]+{b}" for own in rare for a, b in own}))
+    gram = lambda ws: F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in ws))
+    spark = docs.sparkSession
+    known = spark.range(1).select(F.explode(F.array(*(
+        F.struct(F.lit(name).alias("licence"), F.lit(len(words) - 1).alias("long"), gram(own).alias("rare"), gram(sorted(set(zip(words, words[1:], strict=False)))).alias("own"))
+        for (name, words), own in zip(pairs, rare, strict=True)
+    ))).alias("t")).select("t.licence", "t.long", "t.own", F.explode("t.rare").alias("gram"))
+    seeds = F.array_distinct(gram([b for own in rare for b in own]))
+    near = docs.filter(F.lower("text").rlike(f"(?<![a-z0-9])(?:{either})(?![a-z0-9])"))
+    words = near.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split(normalised(F.col("text")), " ").alias("w"))
+    n = F.size("w") - 1
+    all_grams = words.select("doc_id", "row", F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.xxhash64(a, b)).alias("all"))
+    places = F.filter(F.transform("all", lambda g, k: F.struct(g.alias("gram"), k.alias("at"))), lambda x: F.array_contains(seeds, x["gram"]))
+    hits = all_grams.select("doc_id", "row", "all", F.explode(places).alias("hit")).select("doc_id", "row", "all", F.col("hit.gram").alias("gram"), F.col("hit.at").alias("at"))
+    first = F.greatest(F.lit(0), F.col("at") - F.col("long") + 1)
+    last = F.greatest(first, F.least(F.col("at"), F.size("all") - F.col("long")))
+    around = hits.join(F.broadcast(known), "gram").select("doc_id", "row", "licence", "long", "own", first.alias("first"), (last - first).alias("more"), F.slice("all", first + 1, 2 * F.col("long")).alias("part"))
+
+    def dice(start):
+        window = F.array_distinct(F.slice("part", start + 1, F.col("long")))
+        return F.struct((2.0 * F.size(F.array_intersect(window, "own")) / (F.size(window) + F.size("own"))).alias("score"), (-start - F.col("first")).alias("back"))
+
+    top = around.select("doc_id", "row", "licence", "long", F.array_max(F.transform(F.sequence(F.lit(0), F.col("more")), dice)).alias("m")).filter(F.col("m.score") >= least)
+    spans = top.select("doc_id", "row", "licence", "m.score", F.struct((-F.col("m.back")).alias("start"), (F.col("long") + 1 - F.col("m.back")).alias("end")).alias("span"))
+    found = spans.groupBy("doc_id", "row", "licence").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("span")).alias("spans"))
+    apart = F.aggregate(
+        "spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
+        lambda a, x: F.when(x["start"] >= a["end"], F.struct((a["n"] + 1).alias("n"), x["end"].alias("end"))).otherwise(a),
+    )["n"]
+    return found.select("doc_id", "licence", "score", apart.cast("long").alias("n"))
+
+
 def scanned(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """(doc_id, licence, score, n_matches): the licences that each document states, with the best score."""
     pairs = [(name, plain(text).split()) for name, texts in sorted((templates or TEMPLATES).items()) for text in texts]
@@ -102,8 +150,13 @@ def scanned(docs: DataFrame, templates: dict[str, list[str]] | None = None, leas
 
     near = sets.filter(F.size("own") <= longest)
     found = near.select("doc_id", F.explode(F.filter(F.array(*(score(*x) for x in known)), lambda m: m["score"] >= least)).alias("m"))
-    best = F.round(F.max("m.score"), 6).alias("score")
-    return found.groupBy("doc_id", F.col("m.licence").alias("licence")).agg(best, F.count("*").alias("n_matches"))
+    # a licence that a unit states counts by units
+    either = found.select("doc_id", "m.licence", F.lit(True).alias("whole"), "m.score", F.lit(1).cast("long").alias("n"))
+    either = either.unionByName(embedded(docs.select("doc_id", "text"), pairs, least).withColumn("whole", F.lit(False)))
+    whole = F.col("whole")
+    own = [F.max(F.when(whole, F.col("score"))), F.sum(F.when(whole, F.col("n")))]
+    inside = [F.max(F.when(~whole, F.col("score"))), F.sum(F.when(~whole, F.col("n")))]
+    return either.groupBy("doc_id", "licence").agg(F.round(F.coalesce(own[0], inside[0]), 6).alias("score"), F.coalesce(own[1], inside[1]).alias("n_matches"))
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,22 @@ def test_licences(spark):
     assert not {k for k in got if k[0] in (3, 4, 5, 7)}
 
 
+def test_licences_inside_other_words(spark):
+    gpl = licences.TEMPLATES["GPL-3.0"][1]
+    at = [gpl.index(x) for x in ("it under", "Foundation", "(at your")]
+    header = "/*\n * Copyright (C) 2020 Jane Roe\n *\n * " + "\n * ".join(gpl[a:b] for a, b in zip([0, *at], [*at, None], strict=True)) + "\n *\n * This program is distributed in the hope that it will be useful, but without any warranty.\n */\nint x;"
+    long = "some words of prose " * 200
+    rows = [
+        (1, "Copyright (c) 2020 Jane Roe. Released under the MIT License."), (2, "This project is licensed under the MIT License."),
+        (3, header), (4, header.replace(" *", "#")), (5, long + "Licensed under CC BY 4.0. " + long + "Licensed under CC BY 4.0. " + long),
+        (6, "under the mit license"), (7, long + "released under the moon license " + long),
+    ]
+    got = {(r.doc_id, r.licence): (r.score, r.n_matches) for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(1, "MIT"): 1, (2, "MIT"): 1, (3, "GPL-3.0"): 1, (4, "GPL-3.0"): 1, (5, "CC-BY-4.0"): 2}
+    assert {k: n for k, (s, n) in got.items() if k != (6, "MIT")} == want
+    assert all(got[k][0] == 1.0 for k in want)
+
+
 # --- lines ----------------------------------------------------------------------------------------------------------
 
 
