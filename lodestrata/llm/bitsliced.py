@@ -106,7 +106,8 @@ class SlicedBlock:
                 equal, value = one, value | 1 << level
             else:
                 above, equal = above + n, equal & ~slices[level]
-        least = value - int(np.abs(query).sum()) * ((1 << self.skipped) - 1)
+        # partial sums are in units of 1 << skipped
+        least = value - (int(np.abs(query).sum()) * ((1 << self.skipped) - 1) + (1 << self.skipped) - 1 >> self.skipped)
         if least <= 0:
             return np.arange(len(self.values))
         equal, more = self.all, np.zeros(self.words, np.uint64)

@@ -44,6 +44,20 @@ def test_slices_hold_any_numbers():
             assert [(-int(s), int(r)) for r, s in zip(rows, scores, strict=True)] == want
 
 
+def test_few_rows_are_at_the_boundary(data):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{data}/embeddings.parquet", columns=["embedding"])["embedding"].to_pylist()
+    values = np.floor(1024 * np.array([r for r in rows if r and len(r) == 64 and None not in r], np.float64)).astype(np.int64)
+    block = bitsliced.SlicedBlock(values)
+    shares = []
+    for query in values[::50]:
+        at = block.boundary(query, 11)
+        shares.append(len(at) / len(values))
+        assert set(np.lexsort((np.arange(len(values)), -(values @ query)))[:11]) <= set(at.tolist())
+    assert block.skipped and np.mean(shares) < 0.25, np.mean(shares)
+
+
 def test_nearest_recall_and_order(spark):
     rows = _odd(spark)
     df = _vectors(spark, rows)
