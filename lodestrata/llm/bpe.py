@@ -2,73 +2,77 @@
 
 Texts are split at ASCII white space and between an ASCII letter or digit and a
 punctuation mark, which no token of the vocabulary and no rule of its normaliser
-crosses; A-Z are lower-cased, as the normaliser would do. Spark counts every
-distinct word over all texts and encodes each frequent one once, and joins its
-ids to the vocabulary's pieces; tasks join the words of their texts to that table
-by position. Words beyond the table's bound (rare ones) are encoded once by each
-Python process that meets them.
-
-Nulls and empty texts have no tokens. Repeated rows are encoded alike, and other
-columns of the input pass by unused.
+crosses; A-Z are lower-cased, as the normaliser would do.
+
+1. Tasks split the texts and number the words of every CHUNK_BYTES of text. A
+   chunk becomes a row: its texts as numbers, and its distinct words, dealt to
+   parts by a hash of the word. So a word travels once for each chunk, not once
+   for each place.
+2. A part's task has all requests for its words. Its table of distinct words is
+   encoded, each word once over all texts, and joined to the requests.
+3. The ids go back to the chunks and are joined to the texts by position.
+4. Decoding takes ids alone and joins them to the vocabulary's pieces.
+
+There are as many parts as the texts' bytes ask for, so a part's requests are
+bounded by the distinct words of chunks; a word that all texts share has one
+request from each chunk. The vocabulary's id-to-piece table is all that goes to
+every task: it is the vocabulary file's, whatever the texts.
+
+Nulls and empty texts have no tokens. Very long texts are split in pieces of a
+megabyte, though a text and a word must fit a task. Repeated rows are encoded
+alike, an empty table gives an empty one, nothing depends on an order of words
+with equal counts, and other columns of the input pass by unused (those with the
+names of the results are replaced).
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import math
-import re
-from array import array
-from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType
 
-from lodestrata.llm.common import table
+from lodestrata.llm.common import SLICE_BYTES, WHITE, cut, long_pieces, packed, parts_for, released, table, text_slices, unpacked, with_fields
 
-#: Bounds of the table that every task holds: words, and bytes of a word.
-TABLE_WORDS = 1 << 18
-WORD_BYTES = 64
-#: A task counts at most so many distinct words before it hands them on.
-HELD_WORDS = 200_000
-#: Count classes in each doubling of the count.
-CLASSES = 8
+#: Bytes of text whose words are numbered together, and for which there is one part of the words.
+CHUNK_BYTES, PART_BYTES = 16 << 20, 32 << 20
 
-_COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-_TABLE = pa.schema([("word", pa.binary()), ("ids", pa.binary()), ("pieces", pa.string())])
 #: Between a letter or digit and one of these, a token always ends.
-_EDGE = re.compile(rb"([.,;:!?])(?<=[A-Za-z0-9].)")
-
-
-def words_of(text: bytes) -> list[bytes]:
-    """The words of a text; case stays where a special token might stand."""
-    if b"<|" not in text:
-        text = text.lower()
-    return _EDGE.sub(rb" \1", text).split()
-
-
-def _counted(batches):
-    held: Counter = Counter()
-
-    def rows():
-        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], schema=_COUNTS)
-        held.clear()
-        return out
-
-    for batch in batches:
-        for text in batch.column(0):
-            if text.is_valid:
-                held.update(words_of(text.as_buffer().to_pybytes()))
-                if len(held) >= HELD_WORDS:
-                    yield rows()
-    yield rows()
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """Every distinct word of all texts with the number of its occurrences."""
-    return docs.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b".,;:!?")] = True
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+_CHUNKS = "chunk long, texts binary, rows binary, parts binary, words array<struct<part int, words binary>>"
+_REPLIES = "chunk long, part int, ids binary"
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a run of texts, one after another, and the number of words in each text."""
+    n = len(offsets) - 1
+    if not len(data):
+        return pa.array([], pa.large_binary()), np.zeros(n, np.int64)
+    if n == 1 and len(data) > 2 * SLICE_BYTES:
+        found = [words_of(x, np.array([0, len(x)]))[0] for x in long_pieces(data)]
+        return pa.concat_arrays(found), np.array([sum(map(len, found))])
+    inside = WHITE[data] != 0
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1] | (_MARKS[data[1:]] & _ALNUM[data[:-1]])
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    starts[edges] = inside[edges]
+    first = np.flatnonzero(starts)
+    # case stays where a special token might stand
+    body = data[inside] if b"<|" in data.tobytes() else _LOWER[data[inside]]
+    at = np.append(np.cumsum(inside)[first] - 1, len(body)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(body)])
+    return words, np.bincount(np.searchsorted(offsets, first, "right") - 1, minlength=n)
 
 
 class Vocabulary:
@@ -83,9 +87,9 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        #: Words beyond the table that this process has met, at most about HELD_WORDS.
-        self.rare: dict[bytes, tuple[bytes, str]] = {}
-        self.pieces = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        pieces = [self.tokenizer.id_to_token(i) for i in range(size)]
+        #: The id-to-piece table, each piece with the blank that parts it from the next.
+        self.pieces = pa.array([b"" if p is None else p.encode() + b" " for p in pieces], pa.large_binary())
 
     @classmethod
     def of(cls, source: str) -> Vocabulary:
@@ -94,11 +98,25 @@ class Vocabulary:
             cls._made[key] = cls(source)
         return cls._made[key]
 
-    def encode(self, words: list[bytes]) -> list[tuple[bytes, str]]:
-        """For each word its ids, as little-endian unsigned 32-bit integers, and their pieces, parted by blanks."""
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        pieces = self.pieces.__getitem__
-        return [(array("I", e.ids).tobytes(), " ".join(map(pieces, e.ids))) for e in found]
+    def encode(self, words: pa.Array) -> pa.Array:
+        """For each word its ids, as little-endian unsigned 32-bit integers."""
+        out = []
+        for at in range(0, len(words), 1 << 14):
+            found = self.tokenizer.encode_batch([w.decode() for w in words.slice(at, 1 << 14).to_pylist()], add_special_tokens=False)
+            out += [np.array(e.ids, "<u4").tobytes() for e in found]
+        return pa.array(out, pa.large_binary())
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts of runs of `counts` ids each, by a join of ids to pieces."""
+        return [t[:-1] for t in _cut_up(self.pieces.take(pa.array(ids)), counts)]
+
+
+def _cut_up(joined: pa.Array, counts: np.ndarray) -> list[bytes]:
+    """The values of runs of `counts` entries, each run as one."""
+    edges = np.append(0, np.cumsum(counts))
+    at = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][edges] if len(joined) else np.zeros(len(edges), np.int64)
+    data = memoryview(joined.buffers()[2] or b"")
+    return [bytes(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 #: The normaliser and the split by which texts may be cut into words as `words_of` does.
@@ -118,79 +136,150 @@ def tokenizer_source(path: str) -> str:
     return source
 
 
-def word_table(docs: DataFrame, source: str, most: int = TABLE_WORDS) -> DataFrame:
-    """(word, ids, pieces): the most frequent words, each encoded once.
+def _planes(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Whole numbers as planes of bytes, which compress well."""
+    wide = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return {f"p{k}": wide[k] for k in range(4)}
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    batch = unpacked(raw)
+    return np.ascontiguousarray(np.stack([np.asarray(c) for c in batch.columns]).T).view("<u4").ravel().astype(np.int64)
+
+
+def numbered(docs: DataFrame, parts: int) -> DataFrame:
+    """Chunks of docs, whose last column is the text: texts as numbers of words, and the words by part."""
+
+    def chunk_row(number: int, rows: list, words: list) -> pa.RecordBatch:
+        every = pa.concat_arrays(words).dictionary_encode()
+        of, n = np.asarray(every.indices), len(every.dictionary)
+        # numbers by falling count are small where they are many
+        order = np.argsort(-np.bincount(of, minlength=n), kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        distinct = every.dictionary.take(pa.array(order))
+        part = np.array([xxhash.xxh3_64_intdigest(w) % parts for w in distinct.to_pylist()], np.int64)
+        by_part = np.argsort(part, kind="stable")
+        edges = np.searchsorted(part[by_part], np.arange(parts + 1)) if parts < n else np.append(np.flatnonzero(np.diff(part[by_part], prepend=-1)), n)
+        asked = [{"part": int(part[by_part[a]]), "words": packed(w=distinct.take(pa.array(by_part[a:b])))} for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+        sink = pa.BufferOutputStream()
+        kept = pa.Table.from_batches(rows).combine_chunks()
+        with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(kept)
+        row = {"chunk": number, "texts": packed(**_planes(rank[of])), "rows": sink.getvalue().to_pybytes(), "parts": packed(**_planes(part)), "words": asked}
+        types = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("rows", pa.binary()), ("parts", pa.binary()), ("words", pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))])
+        return pa.RecordBatch.from_pylist([row], schema=types)
+
+    def split(batches):
+        base, made, held = TaskContext.get().partitionId() << 32, 0, 0
+        rows, words = [], []
+        for batch in batches:
+            for first, data, offsets in text_slices(batch.column(batch.num_columns - 1)):
+                own, n = words_of(data, offsets)
+                part = batch.slice(first, len(n))
+                rows.append(pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n, pa.int64())], names=[*part.schema.names[:-1], "__n"]))
+                words.append(own)
+                held += len(data) + 64 * len(n)
+                if held >= CHUNK_BYTES:
+                    yield chunk_row(base + made, rows, words)
+                    rows, words, held, made = [], [], 0, made + 1
+        if rows:
+            yield chunk_row(base + made, rows, words)
+        released()
+
+    return docs.mapInArrow(split, _CHUNKS)
+
+
+def word_ids(requests: DataFrame, source: str) -> DataFrame:
+    """(chunk, part, ids) for requests (chunk, part, words): the table of a part's distinct words, joined to each request."""
+
+    def encoded(group: pa.Table) -> pa.Table:
+        asked = [unpacked(x.as_py()).column(0) for x in group["words"]]
+        every = pa.concat_arrays(asked).dictionary_encode()
+        ids = Vocabulary.of(source).encode(every.dictionary)
+        of, at, out = every.indices, 0, []
+        for own in asked:
+            out.append(packed(ids=ids.take(of.slice(at, len(own)))))
+            at += len(own)
+        made = pa.table({"chunk": group["chunk"], "part": group["part"], "ids": pa.array(out, pa.binary())})
+        released()
+        return made
+
+    return requests.groupBy("part").applyInArrow(encoded, _REPLIES)
+
+
+def _through(docs: DataFrame, path: str, names: list[str], types: list, made) -> DataFrame:
+    """docs with the columns that made(ids of each text, decoded texts) gives."""
+    source = tokenizer_source(path)
+    kept = [c for c in docs.columns if c not in names]
+    schema = with_fields(docs.schema, names, *zip(names, types, strict=True))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = cut(numbered(docs.select(*kept, F.col("text").alias("__text")), parts_for(size, PART_BYTES)))
+    requests = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.part", "w.words")
+    replies = word_ids(requests, source)
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        chunk = left.slice(0, 1).to_pylist()[0]
+        rows = pa.ipc.open_stream(chunk["rows"]).read_all()
+        part, text = _from_planes(chunk["parts"]), _from_planes(chunk["texts"])
+        found = sorted(zip(right["part"].to_pylist(), right["ids"], strict=True), key=lambda x: x[0])
+        # words were asked for by part, and in the order of their numbers within one
+        ids = pa.concat_arrays([unpacked(x.as_py()).column(0) for _, x in found] or [pa.array([], pa.large_binary())])
+        place = np.empty(len(part), np.int64)
+        place[np.argsort(part, kind="stable")] = np.arange(len(part))
+        own = _cut_up(ids.take(pa.array(place[text])), np.asarray(rows["__n"]))
+        del text, ids
+        vocabulary = Vocabulary.of(source)
+        columns = made(own, vocabulary)
+        out = rows.drop_columns(["__n"])
+        for name, column in zip(names, columns, strict=True):
+            out = out.append_column(name, column)
+        released()
+        return out
 
-    Words enter by classes of equal log-scaled count, from the most frequent
-    class on, as long as the table stays within `most` words.
-    """
-    counts = word_counts(docs).filter(F.length("word") <= WORD_BYTES).withColumn("class", F.floor(F.log2("n") * CLASSES).cast("int"))
-    counts = counts.persist()
-    sizes = {r["class"]: r["words"] for r in counts.groupBy("class").agg(F.count("*").alias("words")).collect()}  # at most 63 * CLASSES rows
-    total, least = 0, math.inf
-    for level in sorted(sizes, reverse=True):
-        if (total := total + sizes[level]) > most:
-            break
-        least = level
+    return chunks.select("chunk", "texts", "rows", "parts").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(joined, schema)
 
-    def encoded(batches):
-        vocabulary = Vocabulary.of(source)
-        for batch in batches:
-            made = vocabulary.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([i for i, _ in made], pa.binary()), pa.array([t for _, t in made], pa.string())], schema=_TABLE)
 
-    chosen = counts.filter(F.col("class") >= F.lit(least)) if sizes and least < math.inf else counts.limit(0)
-    out = chosen.select("word").mapInArrow(encoded, "word binary, ids binary, pieces string")
-    out.held = counts
+def _decoded(own: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
+    """Each text of ids, decoded; some texts at a time."""
+    out, at = [], 0
+    while at < len(own):
+        end, size = at, 0
+        while end < len(own) and size < SLICE_BYTES:
+            size += len(own[end])
+            end += 1
+        ids = np.frombuffer(b"".join(own[at:end]), "<u4")
+        out += vocabulary.decode(ids, np.array([len(x) // 4 for x in own[at:end]]))
+        at = end
     return out
 
 
-def encode_documents(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
-    """docs with two more columns: token_ids (little-endian u32, binary) and decoded (string)."""
-    return _through(docs, path, most, "token_ids binary, decoded string", lambda ids, text: (ids, text), [pa.binary(), pa.string()])
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """docs with one more column, token_ids (little-endian u32, binary)."""
+    return _through(docs, path, ["token_ids"], [BinaryType()], lambda own, _: [pa.array(own, pa.binary())])
 
 
-def digests(docs: DataFrame, path: str, most: int = TABLE_WORDS) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 instead of the ids and the text."""
+def decode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """docs (with token_ids) with one more column, decoded: the ids joined to the vocabulary's pieces. Null ids decode to an empty text."""
+    source, kept = tokenizer_source(path), [c for c in docs.columns if c != "decoded"]
 
-    def digest(ids: bytes, text: str):
-        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    def decode(batches):
+        vocabulary = Vocabulary.of(source)
+        for batch in batches:
+            texts = _decoded([x or b"" for x in batch.column(kept.index("token_ids")).to_pylist()], vocabulary)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode() for t in texts], pa.string())], names=[*kept, "decoded"])
 
-    return _through(docs, path, most, "n_tokens long, ids_sha256 string, decoded_sha256 string", digest, [pa.int64(), pa.string(), pa.string()])
+    return docs.select(*kept).mapInArrow(decode, with_fields(docs.schema, ["decoded"], ("decoded", StringType())))
 
 
-def _through(docs: DataFrame, path: str, most: int, added: str, made, types: list) -> DataFrame:
-    source = tokenizer_source(path)
-    words = word_table(docs, source, most)
-    rows = words.toArrow()  # within `most` words of WORD_BYTES
-    joined = docs.sparkSession.sparkContext.broadcast(dict(zip(rows["word"].to_pylist(), zip(rows["ids"].to_pylist(), rows["pieces"].to_pylist(), strict=True), strict=True)))
-    del rows
-    words.held.unpersist()
-    names = [f.split()[0] for f in added.split(", ")]
-    kept = [c for c in docs.columns if c not in names]
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 (of the ids, decoded again) instead of the ids and the text."""
 
-    def through(batches):
-        vocabulary, known = Vocabulary.of(source), joined.value
-        rare = vocabulary.rare
-        for batch in batches:
-            found = []
-            for text in batch.column(batch.num_columns - 1):
-                parts = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
-                pairs = list(map(known.get, parts))
-                if None in pairs:
-                    new = list({w for w, i in zip(parts, pairs, strict=True) if i is None and w not in rare})
-                    if new:
-                        if len(rare) > HELD_WORDS:
-                            rare.clear()
-                            new = list({w for w, i in zip(parts, pairs, strict=True) if i is None})
-                        rare.update(zip(new, vocabulary.encode(new), strict=True))
-                    pairs = [rare[w] if i is None else i for w, i in zip(parts, pairs, strict=True)]
-                found.append(made(b"".join([i for i, _ in pairs]), " ".join([t for _, t in pairs if t])))
-            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*kept, *names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept)
-    return docs.select(*kept, F.col("text").alias("__text")).mapInArrow(through, f"{fields}, {added}")
+    def digest(own: list[bytes], vocabulary: Vocabulary):
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        return [pa.array([len(x) // 4 for x in own], pa.int64()), pa.array(list(map(sha, own)), pa.string()), pa.array(list(map(sha, _decoded(own, vocabulary))), pa.string())]
+
+    return _through(docs, path, ["n_tokens", "ids_sha256", "decoded_sha256"], [LongType(), StringType(), StringType()], digest)
 
 
 def public_path() -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: The six ASCII white-space bytes: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
@@ -21,19 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it from there.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset
-    (tests on one machine) a temporary folder is taken.
-    """
+    """Write df to the cluster's shared checkpoint folder and read it from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder if all of Spark is one process; a cluster must name one."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="lodestrata-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -105,11 +111,63 @@ ALNUM = fold_table(letters_only=True)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = WHITE):
-    """Hash every word of a run of texts without a Python loop.
+def released() -> None:
+    """Hand memory that a finished group held back to the system, as a worker lives on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+def packed(**columns) -> bytes:
+    """Equally long arrays as one compressed binary; `unpacked` gives them back as a table."""
+    batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(raw) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()
+
 
-    Returns the words' hashes in order and the number of words in each text.
+def with_fields(schema: StructType, dropped: list[str], *added: tuple) -> StructType:
+    """A schema without the dropped names and with (name, type) fields at its end."""
+    return StructType([f for f in schema.fields if f.name not in dropped] + [StructField(n, t) for n, t in added])
+
+
+def long_pieces(data: np.ndarray, most: int = SLICE_BYTES):
+    """A text's bytes in pieces of about `most`, each of which ends after white space (or is one long word's end)."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + most)
+        while end < len(data):
+            blank = np.flatnonzero(WHITE[data[end : end + most]] == 0)
+            if len(blank):
+                end += int(blank[0]) + 1
+                break
+            end = min(len(data), end + most)
+        yield data[at:end]
+        at = end
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray = None):
+    """Hash every word of a run of texts without a Python loop over words.
+
+    Returns the words' hashes in order and the number of words in each text. A
+    text that is longer than a run should be (it makes a run of its own) is
+    scanned in pieces, so temporaries stay bounded by its longest word.
     """
+    fold = WHITE if fold is None else fold
+    if len(data) > 2 * SLICE_BYTES and len(offsets) == 2:
+        found = [_hashed(x, np.array([0, len(x)]), fold)[0] for x in long_pieces(data)]
+        return np.concatenate(found), np.array([sum(map(len, found))])
+    return _hashed(data, offsets, fold)
+
+
+def _hashed(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray):
     docs = len(offsets) - 1
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(docs, np.int64)

@@ -12,13 +12,22 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestrata.llm import bpe, chat, language, licences, lines, mixing, toxicity
-from lodestrata.llm.common import WHITE, hashed_words
+from lodestrata.llm.common import WHITE, hashed_words, unpacked
 from lodestrata.llm.cuckoo import CuckooFilter, Full
 
 
 # --- scanning -------------------------------------------------------------------------------------------------------
 
 
+def test_long_texts_are_scanned_in_pieces():
+    text = b"one two  three " * 300_000 + b"w" * 3_000_000 + b" end"
+    data = np.frombuffer(text, np.uint8)
+    hashes, counts = hashed_words(data, np.array([0, len(data)]), WHITE)
+    assert counts.tolist() == [len(text.split())] == [len(hashes)]
+    one = hashed_words(np.frombuffer(b"one two three end", np.uint8), np.array([0, 17]), WHITE)[0]
+    assert (hashes[:3] == one[:3]).all() and hashes[-1] == one[3]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab \n\tÉéx\x00", max_size=30), min_size=1, max_size=8))
 def test_hashed_words(texts):
@@ -289,22 +298,46 @@ def test_toxicity_odd(odd_docs, no_docs, spark):
 # --- encoding -------------------------------------------------------------------------------------------------------
 
 
-def test_encoding_is_the_library_s(spark, data):
+def test_encoding_is_the_library_s(spark, data, monkeypatch):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 1 << 18)  # many chunks and parts
+    monkeypatch.setattr(bpe, "PART_BYTES", 1 << 17)
     tokenizer = Tokenizer.from_file(bpe.public_path())
     odd = ["".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) + " x" for a in range(0, 0x3100, 64)]
-    odd += ["ΟΔΟΣ ΟΔΟΣ, İ <|endoftext|>a<|startoftext|> é ́a \x1ca\x85b\xa0c don't 'S", None, "", "  \n", "w" * 50_000]
+    odd += ["ΟΔΟΣ ΟΔΟΣ, İ <|endoftext|>a<|startoftext|> é ́a \x1ca\x85b\xa0c don't 'S", None, "", "  \n", "w" * 50_000, "one, two.Three " * 400_000]
     rows = list(enumerate(odd)) + [(r.doc_id + 10_000, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "'x' AS word")
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, bpe.public_path(), most=500).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens", "'x' AS word", "map('k', doc_id) AS m")
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, bpe.public_path()).collect()}
+    assert len(got) == len(rows)
     for k, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
         packed = np.asarray(ids, "<u4").tobytes()
         assert got[k] == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest())
 
 
+def test_each_distinct_word_is_encoded_once(spark):
+    docs = spark.createDataFrame([(k, f"the same words, and number{k % 7} <|x|> The") for k in range(400)], "doc_id long, text string").repartition(4)
+    chunks = bpe.numbered(docs.select("doc_id", "text"), 5)
+    requests = chunks.selectExpr("chunk", "explode(words) AS w").selectExpr("chunk", "w.part", "w.words").collect()
+    by_part = {}
+    for r in requests:
+        own = unpacked(bytes(r.words)).column(0).to_pylist()
+        assert len(own) == len(set(own))  # a word is asked for once by a chunk
+        by_part.setdefault(r.part, set()).update(own)
+    words = [w for own in by_part.values() for w in own]
+    assert len(words) == len(set(words)) and {b"the", b"same", b"words", b",", b"number3"} <= set(words)  # and lies in one part
+
+
+def test_decoding_takes_ids_alone(spark):
+    docs = spark.createDataFrame([(1, "Some words, twice: some WORDS."), (2, None), (3, "")], "doc_id long, text string")
+    ids = bpe.encode_documents(docs, bpe.public_path()).select("doc_id", "token_ids")
+    got = {r.doc_id: r.decoded for r in bpe.decode_documents(ids.selectExpr("*", "'x' AS decoded"), bpe.public_path()).collect()}
+    assert got[1].replace("</w>", "").split() == "some words , twice : some words .".split() and got[2] == got[3] == ""
+
+
 def test_encoding_odd(odd_docs, no_docs):
     out = bpe.encode_documents(odd_docs, bpe.public_path())
-    assert out.count() == odd_docs.count() and {"token_ids", "decoded"} <= set(out.columns)
+    assert out.count() == odd_docs.count() and "token_ids" in out.columns
     assert bpe.digests(no_docs, bpe.public_path()).count() == 0
+    assert bpe.digests(odd_docs.select("text"), bpe.public_path()).count() == odd_docs.count()
