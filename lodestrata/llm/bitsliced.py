@@ -4,34 +4,39 @@ A block of vectors is kept as bitmaps: slice b of attribute d has a bit for each
 row, set where bit b of the row's quantised attribute is set. A query's scores
 are a weighted sum of attributes, so their slices come from the attributes'
 slices by bitmap addition (carry-save adders over all rows at once); a weight's
-digits are recoded to be few, and a negative digit adds the complement. The
-lowest slices of the attributes are left out of that sum, which bounds how far a
-row's score can be from it. Going down from the score's most significant slice
-gives the k-th highest value; rows that could still reach it, given the bound,
-are the boundary and are resolved by their exact integer scores. Ties go to the
-smaller vec_id.
-
-An attribute is floor(1024 * x). Attributes must be within 2 ** 26 either way,
-so that scores fit 64 bits; vectors beyond take no part, like those that are
-null, empty or hold null or non-finite components. Vectors of another length
-than the query's are no candidates. Of rows that share a vec_id one takes part.
+digits are recoded to be few, and a negative digit adds the complement. Each
+attribute's lowest slices are left out of that sum, which bounds how far a row's
+score can be from it. Going down from the score's most significant slice gives
+the k-th highest value; rows that could still reach it, given the bound, are the
+boundary and are resolved by their exact integer scores. Ties go to the smaller
+vec_id.
+
+An attribute is floor(1024 * x), of any size: rows that lie far outside an
+attribute's usual range (they would make its kept slices coarse for all others),
+or beyond 31 bits, stand apart from the slices and are always resolved exactly,
+with whole numbers of any length where 64 bits could overflow. A score beyond a
+long counts as the nearest long.
+
+Vectors that are null, empty or hold null or non-finite components take no part.
+Vectors of another length than the query's are no candidates. Of rows that share
+a vec_id one takes part. An empty table gives an empty result, and other columns
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestrata.llm.common import table
-from lodestrata.llm.vectors import FOUND, best, in_blocks, usable
+from lodestrata.llm.vectors import best, blocks_for, streamed, usable
 
 SCALE = 1024
-LARGEST = 1 << 26
-ROWS_IN_BLOCK, QUERIES_IN_GROUP = 1 << 14, 1 << 8
-#: Slices of an attribute that a block's first sum takes at most.
-TOP_SLICES = 6
+#: Slices of an attribute that a block's sum takes.
+KEPT = 6
+#: Attributes from here on never go into slices.
+WIDE = float(1 << 31)
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def _digits(values: np.ndarray) -> np.ndarray:
@@ -45,23 +50,41 @@ def _digits(values: np.ndarray) -> np.ndarray:
 
 
 class SlicedBlock:
-    def __init__(self, values: np.ndarray):
-        self.values = values
-        rows, dims = values.shape
-        self.low = values.min(0)
-        lifted = values - self.low
-        self.bits = max(1, int(lifted.max()).bit_length())
-        self.skipped = max(0, self.bits - TOP_SLICES)
+    """values: whole numbers as doubles, a row for each id."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, k: int):
+        self.ids, self.values, self.k = ids, values, k
+        inside = self._usual(values)
+        if inside.sum() <= k:  # nothing to choose by slices
+            inside[:] = False
+        self.sliced, self.apart = np.flatnonzero(inside), np.flatnonzero(~inside)
+        rows, self.dims = int(inside.sum()), values.shape[1]
+        if not rows:
+            return
+        whole = values[inside].astype(np.int64)
+        lifted = whole - whole.min(0)
+        bits = np.array([int(m).bit_length() for m in lifted.max(0)])
+        self.skipped = np.maximum(0, bits - KEPT)
+        self.unit = int(self.skipped.min())  # sums are in units of 1 << unit
         self.words = -(-rows // 64)
-        padded = np.zeros((self.words * 64, dims), np.int64)
-        padded[:rows] = lifted
-        slices = np.array([self._bitmap((padded >> b) & 1) for b in range(self.skipped, self.bits)])  # slice, attribute, word
-        self.kept = len(slices)
+        padded = np.zeros((self.words * 64, self.dims), np.int64)
+        padded[:rows] = lifted >> self.skipped
+        slices = np.array([self._bitmap((padded >> b) & 1) for b in range(KEPT)])  # slice, attribute, word
         #: plane [sign, slice, attribute]: the slice, or its complement
         self.planes = np.concatenate([slices, ~slices]).reshape(-1, self.words)
-        self.dims = dims
         self.all = self._bitmap((np.arange(self.words * 64) < rows).astype(np.int64)[:, None])[0]
 
+    @staticmethod
+    def _usual(values: np.ndarray) -> np.ndarray:
+        fits = (np.abs(values) < WIDE).all(1)
+        if not fits.any():
+            return fits
+        low, high = np.quantile(values[fits], [0.01, 0.99], axis=0, method="nearest")
+        span = high - low
+        flat = span == 0
+        low[flat], high[flat] = values[fits].min(0)[flat], values[fits].max(0)[flat]
+        return fits & (values >= low - span).all(1) & (values <= high + span).all(1)
+
     @staticmethod
     def _bitmap(bits: np.ndarray) -> np.ndarray:
         return np.packbits(np.ascontiguousarray(bits.astype(np.uint8).T), axis=1, bitorder="little").view(np.uint64)
@@ -70,9 +93,9 @@ class SlicedBlock:
         """The slices of a query's partial scores, lowest first; digits: (places, attributes)."""
         place, dim = np.nonzero(digits)
         sign = (digits[place, dim] < 0).astype(np.int64)
-        per = np.arange(self.kept)[:, None]
-        plane = (((sign * self.kept) + per) * self.dims + dim).ravel()
-        weight = (per + place).ravel()
+        per = np.arange(KEPT)[:, None]
+        plane = (((sign * KEPT) + per) * self.dims + dim).ravel()
+        weight = (per + place + self.skipped[dim] - self.unit).ravel()
         order = np.argsort(weight, kind="stable")
         plane, counts = plane[order], np.bincount(weight)
         out, carried, at = [], [], 0
@@ -96,8 +119,11 @@ class SlicedBlock:
         return out
 
     def boundary(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Row numbers of all rows that can be among the k highest."""
-        slices = self.sums(_digits(query))
+        """Numbers of all rows that can be among the k highest."""
+        if k >= len(self.sliced) or np.abs(query).max() >= WIDE or not query.any():
+            return np.arange(len(self.values))
+        whole = query.astype(np.int64)
+        slices = self.sums(_digits(whole))
         equal, above, value = self.all, 0, 0
         for level in range(len(slices) - 1, -1, -1):  # the k-th highest partial sum, from the top
             one = equal & slices[level]
@@ -106,8 +132,9 @@ class SlicedBlock:
                 equal, value = one, value | 1 << level
             else:
                 above, equal = above + n, equal & ~slices[level]
-        # partial sums are in units of 1 << skipped
-        least = value - (int(np.abs(query).sum()) * ((1 << self.skipped) - 1) + (1 << self.skipped) - 1 >> self.skipped)
+        # what the slices left out add to a score differs between rows by this much at most
+        left_out = sum(abs(q) * ((1 << s) - 1) for q, s in zip(whole.tolist(), self.skipped.tolist(), strict=True))
+        least = value - (left_out >> self.unit)
         if least <= 0:
             return np.arange(len(self.values))
         equal, more = self.all, np.zeros(self.words, np.uint64)
@@ -117,32 +144,44 @@ class SlicedBlock:
                 equal = equal & own
             else:
                 more, equal = more | (equal & own), equal & ~own
-        return np.flatnonzero(np.unpackbits((more | equal).view(np.uint8), bitorder="little")[: len(self.values)])
+        reached = np.flatnonzero(np.unpackbits((more | equal).view(np.uint8), bitorder="little")[: len(self.sliced)])
+        return np.concatenate([self.sliced[reached], self.apart])
+
+    def exact(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """The integer scores of rows."""
+        own = self.values[rows]
+        if not len(own) or float(np.abs(own).max()) * float(np.abs(query).max()) * self.dims < 2.0**62:
+            return own.astype(np.int64) @ query.astype(np.int64)
+        whole = list(map(int, query))
+        return np.array([min(MOST, max(LEAST, sum(int(a) * b for a, b in zip(row, whole, strict=True)))) for row in own.tolist()], np.int64)
 
     def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and scores of the k highest, ties to the smaller row number."""
-        rows = self.boundary(query, k) if k < len(self.values) else np.arange(len(self.values))
-        scores = self.values[rows] @ query
-        order = np.lexsort((rows, -scores))[:k]
+        """Row numbers and scores of the k highest, ties to the smaller id."""
+        rows = self.boundary(query, k)
+        scores = self.exact(rows, query)
+        order = np.lexsort((self.ids[rows], ~scores))[:k]  # ~x falls as x grows, without overflow
         return rows[order], scores[order]
 
+    def answer(self, query_ids: np.ndarray, queries: np.ndarray):
+        out = [(np.empty(0, np.int64),) * 3]
+        with np.errstate(over="ignore"):
+            quantised = np.floor(SCALE * queries)
+        for own, query in zip(query_ids, quantised, strict=True):
+            rows, scores = self.top(query, self.k + 1)
+            other = self.ids[rows] != own
+            rows, scores = rows[other][: self.k], scores[other][: self.k]
+            out.append((np.full(len(rows), own), self.ids[rows], scores))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
 
-def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest integer inner products of each query, but for its own row."""
+    index, asked = usable(vectors, zeros=True), usable(queries, zeros=True)
+
+    def make(ids, x):
+        return SlicedBlock(ids, np.floor(SCALE * x), k)
 
-    def one(ids, x, query_ids, q):
-        block = SlicedBlock(np.floor(SCALE * x).astype(np.int64))
-        rows = []
-        for own, vector in zip(query_ids, np.floor(SCALE * q).astype(np.int64), strict=True):
-            at, scores = block.top(vector, k + 1)
-            other = ids[at] != own
-            rows.append((np.full(other.sum(), own), ids[at][other], scores[other]))
-        cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        return pa.table(cols, names=["query_id", "vec_id", "score"])
-
-    fits = F.forall("embedding", lambda v: F.abs(v) * SCALE < LARGEST)
-    index, asked = usable(vectors, zeros=True).filter(fits), usable(queries, zeros=True).filter(fits)
-    return best(in_blocks(index, asked, one, FOUND.format(score="long"), ROWS_IN_BLOCK, QUERIES_IN_GROUP), k)
+    return best(streamed(index, asked, make, "long", blocks or blocks_for(index)), k)
 
 
 def op6_bit_sliced_top(spark: SparkSession, sf_dir: str) -> DataFrame:

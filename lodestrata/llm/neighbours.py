@@ -2,144 +2,131 @@
 
 Inner products become Euclidean distances: all vectors are scaled by the largest
 length, and rows get one more component that makes their length 1. Hash values
-are floor((a . v + b) / w) with Gaussian a, grouped K to a table. A query visits
-the buckets around its own in the order in which they are likely to hold near
-rows: each perturbation of its K values has the sum of its squared distances to
-the sides that it crosses, and the least sums come first, over all tables. The
-visited buckets' rows are merged and ranked by their exact inner products.
-
-How far to go is fitted: on a sample of at most SAMPLE rows, the share of
-visited entries at which TARGET of the sample's true neighbours are found. All
-rows are indexed, in blocks; equal vectors spread over the blocks by their ids.
-
-Vectors that are null, empty, zero or hold null or non-finite components take no
-part. Of rows that share a vec_id one takes part. Vectors of another length than
-the query's are no candidates.
+are floor((a . v + b) / w) with Gaussian a, VALUES of them to a table's bucket.
+A query visits the buckets around its own in the order in which they are likely
+to hold near rows: a bucket whose cell lies at an expected squared distance d
+from the query's place has a success probability that falls with d, so the least
+d come first, over all tables. Only buckets that hold rows are visited. The
+candidates that the tables give are merged and ranked by their exact inner
+products.
+
+How far to go is fitted: on a sample of at most SAMPLE rows and SAMPLE_BYTES, the
+share of distinct rows to visit at which TARGET of the sample's true neighbours
+are found. All rows are indexed, in blocks; equal vectors spread over the blocks
+by their ids. Each block gives at least k rows, if it has them, so small tables
+are ranked whole.
+
+Lengths are taken after division by the largest component, so tiny and huge
+vectors neither vanish nor overflow. Scores are sums of doubles as they come: a
+sum that overflows is infinite, and one of no value counts as the least. Vectors
+that are null, empty, zero or hold null or non-finite components take no part. Of
+rows that share a vec_id one takes part. Vectors of another length than the
+query's are no candidates. Ties go to the smaller vec_id; an empty table gives
+an empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import table
-from lodestrata.llm.vectors import FOUND, best, in_blocks, usable
+from lodestrata.llm.vectors import best, blocks_for, streamed, usable
+
+TABLES, VALUES, WIDTH = 2, 48, 0.5
+SAMPLE, SAMPLE_BYTES, SAMPLE_QUERIES, TARGET = 1 << 13, 8 << 20, 128, 0.94
+
 
-TABLES, VALUES, WIDTH = 16, 4, 0.8
-SAMPLE, SAMPLE_QUERIES, TARGET = 1 << 13, 64, 0.96
-ROWS_IN_BLOCK, QUERIES_IN_GROUP = 1 << 14, 1 << 8
-_MOVES = np.array(list(product((-1, 0, 1), repeat=VALUES)), np.int64)
+def _units(v: np.ndarray) -> np.ndarray:
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.sqrt((v**2).sum(1, keepdims=True))
 
 
 class Tables:
-    """All hash tables of a block of rows."""
+    """All hash tables of a block of rows; scale and longest: of all rows, the largest component and then the largest length."""
 
-    def __init__(self, rows: np.ndarray, longest: float, seed: int = 1):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, scale: float, longest: float, share: float, k: int, seed: int = 1):
         rng = np.random.default_rng(seed)
-        self.longest = longest
         self.a = rng.normal(size=(rows.shape[1] + 1, TABLES * VALUES))
         self.b = rng.uniform(0, 1, TABLES * VALUES)
-        self.rows = rows
-        scaled = rows / longest
-        rest = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))
-        own = np.floor(self._places(np.c_[scaled, rest])).astype(np.int64).reshape(-1, TABLES, VALUES)
-        keys = self._keys(own)
-        self.order = np.argsort(keys, 0, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, 0)
+        self.ids, self.rows, self.k = ids, rows, k
+        self.visits = min(len(rows), max(k + 1, int(np.ceil(share * len(rows)))))
+        scaled = rows / scale / longest
+        values = np.floor(self._places(np.c_[scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(1)))])).astype(np.float32)
+        #: for each table, its buckets' centres and the bucket of each row
+        self.tables = []
+        for t in range(TABLES):
+            buckets, of = np.unique(values[:, t * VALUES : (t + 1) * VALUES], axis=0, return_inverse=True)
+            self.tables.append((buckets + np.float32(0.5), of.ravel()))
 
     def _places(self, v: np.ndarray) -> np.ndarray:
         return v @ self.a / WIDTH + self.b
 
-    @staticmethod
-    def _keys(values: np.ndarray) -> np.ndarray:
-        return ((values + (1 << 11)) << (np.arange(VALUES) * 12)).sum(-1)
-
-    def probes(self, queries: np.ndarray):
-        """For each query, its buckets in order of their likelihood: starts in a table's order, sizes, tables."""
-        unit = queries / np.sqrt((queries**2).sum(1, keepdims=True))
-        place = self._places(np.c_[unit, np.zeros(len(unit))]).reshape(-1, TABLES, VALUES)
-        base = np.floor(place).astype(np.int64)
-        inside = place - base
-        cost = ((1 - inside) ** 2) @ (_MOVES == 1).T.astype(float) + (inside**2) @ (_MOVES == -1).T.astype(float)  # query, table, move
-        keys = self._keys(base[:, :, None, :] + _MOVES)
-        starts, ends = np.empty(keys.shape, np.int64), np.empty(keys.shape, np.int64)
-        for t in range(TABLES):
-            starts[:, t] = np.searchsorted(self.keys[:, t], keys[:, t])
-            ends[:, t] = np.searchsorted(self.keys[:, t], keys[:, t], "right")
-        flat = cost.reshape(len(queries), -1)
-        order = np.argsort(flat, 1, kind="stable")
-        take = lambda x: np.take_along_axis(x.reshape(len(queries), -1), order, 1)
-        return take(starts), take(ends - starts), order // len(_MOVES)
-
-    def entries(self, starts: np.ndarray, sizes: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Row numbers in the given buckets of one query, in order, with repeats."""
-        full = sizes > 0
-        starts, sizes, tables = starts[full], sizes[full], tables[full]
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        return self.order[np.repeat(starts, sizes) + within, np.repeat(tables, sizes)]
-
-    def top(self, ids: np.ndarray, own: int, query: np.ndarray, k: int, probes, share: float):
-        starts, sizes, tables = probes
-        # buckets up to the one that reaches the share
-        last = int(np.searchsorted(np.cumsum(sizes), share * len(self.rows))) + 1
-        seen = np.zeros(len(self.rows), bool)
-        seen[self.entries(starts[:last], sizes[:last], tables[:last])] = True
-        rows = np.flatnonzero(seen & (ids != own))
-        scores = (self.rows[rows] * query).sum(1)
-        if len(rows) > k:
-            least = np.partition(scores, len(rows) - k)[len(rows) - k]
-            rows, scores = rows[scores >= least], scores[scores >= least]
-        order = np.lexsort((ids[rows], -scores))[:k]
-        return ids[rows][order], scores[order]
-
-
-def fitted_share(sample: np.ndarray, k: int, longest: float) -> float:
-    """Visited entries, as a share of the rows, at which TARGET of the sample's neighbours are found."""
-    if len(sample) < 2:
-        return float(TABLES)
-    tables = Tables(sample, longest)
-    asked = sample[:: max(1, len(sample) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
+    def costs(self, queries: np.ndarray) -> np.ndarray:
+        """For each query and row, the expected squared distance of the row's likeliest bucket."""
+        unit = _units(queries)
+        place = self._places(np.c_[unit, np.zeros(len(unit))]).astype(np.float32)
+        least = np.full((len(queries), len(self.rows)), np.inf, np.float32)
+        for t, (centres, of) in enumerate(self.tables):
+            own = place[:, t * VALUES : (t + 1) * VALUES]
+            cost = (centres**2).sum(1) - 2 * (own @ centres.T) + (own**2).sum(1)[:, None]
+            np.minimum(least, cost[:, of], out=least)
+        return least
+
+    def answer(self, query_ids: np.ndarray, queries: np.ndarray):
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        at = max(1, (4 << 20) // len(self.rows))  # costs of about 16 MB at once
+        for first in range(0, len(queries), at):
+            costs = self.costs(queries[first : first + at])
+            for own, query, cost in zip(query_ids[first : first + at], queries[first : first + at], costs, strict=True):
+                rows = np.argpartition(cost, self.visits - 1)[: self.visits] if self.visits < len(cost) else np.arange(len(cost))
+                rows = rows[self.ids[rows] != own]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = (self.rows[rows] * query).sum(1)
+                scores[np.isnan(scores)] = -np.inf
+                if len(rows) > self.k:
+                    least = np.partition(scores, len(rows) - self.k)[len(rows) - self.k]
+                    rows, scores = rows[scores >= least], scores[scores >= least]
+                order = np.lexsort((self.ids[rows], -scores))[: self.k]
+                out.append((np.full(len(order), own), self.ids[rows][order], scores[order]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def fitted_share(sample: np.ndarray, k: int, scale: float, longest: float) -> float:
+    """The share of distinct rows to visit at which TARGET of the sample's neighbours are found."""
+    if len(sample) <= k + 1:
+        return 1.0
+    tables = Tables(np.arange(len(sample)), sample, scale, longest, 1.0, k)
     at = np.arange(0, len(sample), max(1, len(sample) // SAMPLE_QUERIES))[:SAMPLE_QUERIES]
-    starts, sizes, of = tables.probes(asked)
     needed = []
-    for j, query in enumerate(asked):
-        scores = sample @ query
-        scores[at[j]] = -np.inf
-        near = np.argsort(-scores, kind="stable")[: min(k, len(sample) - 1)]
-        visited = tables.entries(starts[j], sizes[j], of[j])
-        first = np.full(len(sample), np.inf)
-        np.minimum.at(first, visited, np.arange(1, len(visited) + 1))
-        needed.append(first[near] / len(sample))
-    return float(min(TABLES, np.quantile(np.concatenate(needed), TARGET, method="higher")))
-
-
-def search(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    for j, cost in zip(at, tables.costs(sample[at]), strict=True):
+        scores = (sample / scale) @ (sample[j] / np.abs(sample[j]).max())
+        scores[j] = -np.inf
+        near = np.argsort(-scores, kind="stable")[:k]
+        place = np.empty(len(cost))
+        place[np.argsort(cost, kind="stable")] = np.arange(1, len(cost) + 1)
+        needed.append(place[near] / len(sample))
+    return float(min(1.0, np.quantile(np.concatenate(needed), TARGET, method="higher")))
+
+
+def search(queries: DataFrame, vectors: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, but for its own row."""
     index, asked = usable(vectors, zeros=False), usable(queries, zeros=False)
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
+    size = index.agg(F.max(F.array_max(F.transform("embedding", F.abs))), F.max("dim")).first()
+    scale, longest_dim = size[0] or 1.0, size[1] or 1
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + (v / scale) * (v / scale))
     longest = float(np.sqrt(index.agg(F.max(squares)).first()[0] or 1.0)) * (1 + 1e-9)
-    by_hash = index.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(SAMPLE).select("dim", "embedding").collect()
+    rows = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * longest_dim)))
     sample: dict[int, list] = {}
-    for r in by_hash:
+    for r in index.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(rows).select("dim", "embedding").collect():  # SAMPLE_BYTES at most, or one row
         sample.setdefault(r.dim, []).append(r.embedding)
-    shares = {dim: fitted_share(np.array(rows), k, longest) for dim, rows in sample.items()}
-
-    def one(ids, x, query_ids, q):
-        tables = Tables(x, longest)
-        share = shares.get(x.shape[1], float(TABLES))
-        probes = tables.probes(q)
-        rows = []
-        for j, own in enumerate(query_ids):
-            found, scores = tables.top(ids, own, q[j], k, [p[j] for p in probes], share)
-            rows.append((np.full(len(found), own), found, scores))
-        cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
-        return pa.table(cols, names=["query_id", "vec_id", "score"])
-
-    return best(in_blocks(index, asked, one, FOUND.format(score="double"), ROWS_IN_BLOCK, QUERIES_IN_GROUP), k)
+    shares = {dim: fitted_share(np.array(x), k, scale, longest) for dim, x in sample.items()}
+
+    def make(ids, x):
+        return Tables(ids, x, scale, longest, shares.get(x.shape[1], 1.0), k)
+
+    return best(streamed(index, asked, make, "double", blocks or blocks_for(index)), k)
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

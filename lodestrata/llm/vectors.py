@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.llm.common import bucket, parts_for
+from lodestrata.llm.common import bucket, parts_for, released
 
-FOUND = "query_id long, vec_id long, score {score}"
+#: Bytes of vectors in a block; small tables are cut finer, into FEW blocks of at least LEAST_BYTES.
+BLOCK_BYTES, FEW, LEAST_BYTES = 32 << 20, 8, 1 << 20
+#: Queries answered at once.
+GROUP = 1 << 8
 
 
 def usable(df: DataFrame, zeros: bool) -> DataFrame:
@@ -29,33 +32,50 @@ def usable(df: DataFrame, zeros: bool) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
 
 
-def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    chunks = [np.asarray(c.flatten()) for c in column.chunks]
-    return (np.concatenate(chunks) if chunks else np.empty(0)).reshape(-1, dim)
+def blocks_for(index: DataFrame) -> int:
+    size = 8 * (index.agg(F.sum("dim")).first()[0] or 0)
+    return max(parts_for(size, BLOCK_BYTES), min(FEW, parts_for(size, LEAST_BYTES)))
 
 
-def in_blocks(index: DataFrame, queries: DataFrame, search, schema: str, per_block: int, per_group: int) -> DataFrame:
-    """search(ids, vectors, query ids, query vectors) -> pa.Table for each block of rows and group of queries.
+def streamed(index: DataFrame, queries: DataFrame, make, score: str, blocks: int) -> DataFrame:
+    """(query_id, vec_id, score) of every query in every block of rows.
 
-    Rows fall into blocks by a hash of their id, so equal vectors spread over
-    all blocks; each pair of a block and a group is a task of bounded size.
-    Only vectors of the same length meet.
+    make(ids, vectors) builds a block's index, once; its answer(query ids,
+    queries) gives arrays (query_id, vec_id, score). Rows fall into blocks by a
+    hash of their id, so equal vectors spread over all blocks. A block is a
+    partition: its rows come first, and the queries stream past them. Rows move
+    once; queries are copied once for each block, which is one vector's bytes
+    against the thousands of rows that a query is compared with there. Only
+    vectors of the same length meet.
     """
-    blocks, groups = parts_for(index.count(), per_block), parts_for(queries.count(), per_group)
-    left = index.withColumn("block", bucket(F.col("vec_id"), blocks)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = queries.withColumn("part", bucket(F.col("vec_id"), groups)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    empty = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if "score long" in schema else pa.float64())]).empty_table()
-
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        if not len(rows) or not len(asked):
-            return empty
-        dim = rows["dim"][0].as_py()
-        order = np.argsort(rows["vec_id"].to_numpy(), kind="stable")
-        found = search(rows["vec_id"].to_numpy()[order], matrix(rows["embedding"], dim)[order], asked["vec_id"].to_numpy(), matrix(asked["embedding"], dim))
-        return found.cast(empty.schema)
-
-    keys = ["dim", "block", "part"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+    rows = index.select("dim", bucket(F.col("vec_id"), blocks).alias("block"), F.lit(0).alias("kind"), "vec_id", "embedding")
+    asked = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    met = rows.unionByName(asked).repartitionById(blocks, "block").sortWithinPartitions("dim", "kind", "vec_id")
+    names, kind_of = ["query_id", "vec_id", "score"], pa.int64() if score == "long" else pa.float64()
+
+    def run(batches):
+        held, built, length = [], None, None
+        for batch in batches:
+            dim, kind = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edges = np.flatnonzero(np.r_[True, (dim[1:] != dim[:-1]) | (kind[1:] != kind[:-1])]) if len(dim) else []
+            for a, b in zip(edges, [*edges[1:], len(dim)], strict=True):
+                if dim[a] != length:
+                    held, built, length = [], None, dim[a]
+                ids = np.asarray(batch.column(2))[a:b]
+                x = np.asarray(batch.column(3).slice(a, b - a).flatten()).reshape(-1, int(length))
+                if kind[a] == 0:
+                    held.append((ids, x))
+                    continue
+                if built is None:
+                    if not held:
+                        continue
+                    built, held = make(*(np.concatenate(c) for c in zip(*held, strict=True))), []
+                for at in range(0, len(ids), GROUP):
+                    found = built.answer(ids[at : at + GROUP], x[at : at + GROUP])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), kind_of), strict=True)], names=names)
+        released()
+
+    return met.select("dim", "kind", "vec_id", "embedding").mapInArrow(run, f"query_id long, vec_id long, score {score}")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

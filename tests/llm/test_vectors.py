@@ -35,27 +35,91 @@ def test_bit_sliced_is_exact(spark):
 
 def test_slices_hold_any_numbers():
     rng = np.random.default_rng(2)
-    for size, high in ((1, 3), (70, 1 << 20), (1000, 5), (130, 1)):
+    for size, high in ((1, 3), (70, 1 << 20), (1000, 5), (130, 1), (300, 1 << 40), (200, 1 << 31)):
         values = rng.integers(-high, high + 1, (size, 6))
-        block = bitsliced.SlicedBlock(values)
+        values[: size // 20] *= 1000  # some rows far outside
+        block = bitsliced.SlicedBlock(np.arange(size), values.astype(float), 7)
         for query in (rng.integers(-high, high + 1, 6), np.zeros(6, int)):
-            rows, scores = block.top(query, 7)
-            want = sorted((-int(s), k) for k, s in enumerate(values @ query))[:7]
-            assert [(-int(s), int(r)) for r, s in zip(rows, scores, strict=True)] == want
+            rows, scores = block.top(query.astype(float), 7)
+            exact = [min(2**63 - 1, max(-(2**63), sum(a * b for a, b in zip(v, query.tolist(), strict=True)))) for v in values.tolist()]
+            assert [(-int(s), int(r)) for r, s in zip(rows, scores, strict=True)] == sorted((-s, k) for k, s in enumerate(exact))[:7]
 
 
-def test_few_rows_are_at_the_boundary(data):
+def _table(data):
     import pyarrow.parquet as pq
 
-    rows = pq.read_table(f"{data}/embeddings.parquet", columns=["embedding"])["embedding"].to_pylist()
-    values = np.floor(1024 * np.array([r for r in rows if r and len(r) == 64 and None not in r], np.float64)).astype(np.int64)
-    block = bitsliced.SlicedBlock(values)
-    shares = []
-    for query in values[::50]:
-        at = block.boundary(query, 11)
-        shares.append(len(at) / len(values))
-        assert set(np.lexsort((np.arange(len(values)), -(values @ query)))[:11]) <= set(at.tolist())
-    assert block.skipped and np.mean(shares) < 0.25, np.mean(shares)
+    rows = pq.read_table(data, columns=["embedding"])["embedding"].to_pylist()
+    return np.array([r for r in rows if r and len(r) == 64 and None not in r], np.float64)
+
+
+def test_few_rows_are_at_the_boundary():
+    values = np.floor(1024 * _table("/root/testdata/sf0.1/embeddings.parquet"))
+    for outlier in (False, True):
+        if outlier:  # one huge component must not make the slices coarse for all others
+            values[7, 3] = 70_000 * 1024
+        block = bitsliced.SlicedBlock(np.arange(len(values)), values, 10)
+        shares = []
+        for query in values[::50]:
+            at = block.boundary(query, 11)
+            shares.append(len(at) / len(values))
+            assert set(np.lexsort((np.arange(len(values)), -(values @ query)))[:11]) <= set(at.tolist())
+        assert block.skipped.all() and np.mean(shares) < 0.1, np.mean(shares)
+
+
+def test_large_components_take_part(spark, oracle):
+    import duckdb
+
+    rows = [(1, [70_000.0, 1.0]), (2, [1.0, 2.0]), (3, [-70_000.0, 0.5]), (100, [1.0, 2.0]), (200, [3.0, -65_536.0]), (300, [0.0, 0.0])]
+    got = bitsliced.search(_vectors(spark, [(*r, 1, "") for r in rows]).filter("vec_id % 100 = 0"), _vectors(spark, [(*r, 1, "") for r in rows]), 10).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(bitsliced.OP6_SQL).fetchall())
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got}[(100, 1)] == 1
+
+
+def test_huge_doubles_saturate(spark):
+    rows = [(1, [1e300, 1.0]), (2, [-1e300, 1.0]), (3, [1.0, 1.0]), (100, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(bitsliced.search(df.filter("vec_id = 100"), df, 10).collect(), key=lambda r: r["rank"])]
+    assert got == [(1, 2**63 - 1), (3, 3 * 1024 * 1024), (2, -(2**63))]
+
+
+def test_nearest_of_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(5)
+    for scale in (1e-200, 1e200):
+        rows = [(k, [float(v) for v in rng.normal(size=6) * scale]) for k in range(30)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = {}
+        for r in neighbours.search(df, df, 40, blocks=3).collect():
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        assert all(sorted(own) == [k for k in range(30) if k != q] for q, own in found.items()) and len(found) == 30
+
+
+def test_few_candidates_are_all_found(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(v) for v in rng.normal(size=64)]) for k in range(15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert neighbours.search(df.filter("vec_id < 3"), df, 20).count() == 3 * 14
+
+
+def test_recall_and_visits_over_blocks(spark):
+    x = _table("/root/testdata/sf0.1/embeddings.parquet")
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids = np.array([r.vec_id for r in df.select("vec_id").collect()])
+    got = {}
+    for r in neighbours.search(df.filter("vec_id % 20 = 0"), df, 20, blocks=4).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[at]
+        s[at] = -np.inf
+        hits += len(got[ids[at]] & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
+        total += 20
+    scale = np.abs(x).max()
+    longest = np.sqrt(((x / scale) ** 2).sum(1).max())
+    share = neighbours.fitted_share(x, 20, scale, longest)
+    assert hits / total >= 0.9 and share < 0.35, (hits / total, share)
 
 
 def test_nearest_recall_and_order(spark):
@@ -68,7 +132,7 @@ def test_nearest_recall_and_order(spark):
     hits = total = 0
     for q in [k for k in good if k % 20 == 0 and len(good[k]) == 8]:
         own = sorted(found[q])
-        assert [r for r, _, _ in own] == list(range(1, len(own) + 1))
+        assert [r for r, _, _ in own] == list(range(1, 21))
         assert [(-s, k) for _, k, s in own] == sorted((-s, k) for _, k, s in own)
         assert all(abs(s - float(good[q] @ good[k])) < 1e-9 and k != q for _, k, s in own)
         near = sorted((-float((good[q] * v).sum()), k) for k, v in good.items() if k != q and len(v) == 8)[:20]
