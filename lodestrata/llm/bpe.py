@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
-from lodestrata.llm.common import SLICE_BYTES, WHITE, cut, long_pieces, packed, parts_for, released, table, text_slices, unpacked, with_fields
+from lodestrata.llm.common import SLICE_BYTES, WHITE, binaries, cut, long_pieces, narrow, pack_binary, packed, parts_for, released, table, text_slices, unpack_binary, unpacked, with_fields
 
 #: Bytes of text whose words are numbered together, and for which there is one part of the words.
 CHUNK_BYTES, PART_BYTES = 16 << 20, 32 << 20
@@ -136,15 +136,37 @@ def tokenizer_source(path: str) -> str:
     return source
 
 
-def _planes(x: np.ndarray) -> dict[str, np.ndarray]:
-    """Whole numbers as planes of bytes, which compress well."""
-    wide = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return {f"p{k}": wide[k] for k in range(4)}
+def _in_sevens(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in bytes of seven bits, lowest first; a set eighth bit says that more follow."""
+    size = 1 + (x >= 1 << 7) + (x >= 1 << 14) + (x >= 1 << 21) + (x >= 1 << 28)
+    first = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(int(size.max()) if len(x) else 0):
+        own = np.flatnonzero(size > k)
+        out[first[own] + k] = ((x[own] >> 7 * k) & 127) | (size[own] > k + 1) << 7
+    return out
+
+
+def _from_sevens(data: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(data < 128)
+    first = np.append(0, last[:-1] + 1) if len(last) else last
+    out = np.zeros(len(last), np.int64)
+    for k in range(int((last - first).max()) + 1 if len(last) else 0):
+        own = np.flatnonzero(first + k <= last)
+        out[own] |= (data[first[own] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+def _pack_ids(ids: pa.Array) -> bytes:
+    """Binaries of 32-bit ids, byte by byte, which compresses well."""
+    offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    whole = np.frombuffer(ids.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].reshape(-1, 4)
+    return packed(narrow(np.diff(offsets) // 4), *(whole[:, k] for k in range(4)))
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    batch = unpacked(raw)
-    return np.ascontiguousarray(np.stack([np.asarray(c) for c in batch.columns]).T).view("<u4").ravel().astype(np.int64)
+def _unpack_ids(raw: bytes) -> pa.Array:
+    lengths, *planes = unpacked(raw)
+    return binaries(lengths.astype(np.int64) * 4, np.stack(planes, 1).ravel())
 
 
 def numbered(docs: DataFrame, parts: int) -> DataFrame:
@@ -161,12 +183,12 @@ def numbered(docs: DataFrame, parts: int) -> DataFrame:
         part = np.array([xxhash.xxh3_64_intdigest(w) % parts for w in distinct.to_pylist()], np.int64)
         by_part = np.argsort(part, kind="stable")
         edges = np.searchsorted(part[by_part], np.arange(parts + 1)) if parts < n else np.append(np.flatnonzero(np.diff(part[by_part], prepend=-1)), n)
-        asked = [{"part": int(part[by_part[a]]), "words": packed(w=distinct.take(pa.array(by_part[a:b])))} for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+        asked = [{"part": int(part[by_part[a]]), "words": pack_binary(distinct.take(pa.array(by_part[a:b])))} for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
         sink = pa.BufferOutputStream()
         kept = pa.Table.from_batches(rows).combine_chunks()
         with pa.ipc.new_stream(sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(kept)
-        row = {"chunk": number, "texts": packed(**_planes(rank[of])), "rows": sink.getvalue().to_pybytes(), "parts": packed(**_planes(part)), "words": asked}
+        row = {"chunk": number, "texts": packed(_in_sevens(rank[of])), "rows": sink.getvalue().to_pybytes(), "parts": packed(narrow(part)), "words": asked}
         types = pa.schema([("chunk", pa.int64()), ("texts", pa.binary()), ("rows", pa.binary()), ("parts", pa.binary()), ("words", pa.list_(pa.struct([("part", pa.int32()), ("words", pa.binary())])))])
         return pa.RecordBatch.from_pylist([row], schema=types)
 
@@ -194,12 +216,12 @@ def word_ids(requests: DataFrame, source: str) -> DataFrame:
     """(chunk, part, ids) for requests (chunk, part, words): the table of a part's distinct words, joined to each request."""
 
     def encoded(group: pa.Table) -> pa.Table:
-        asked = [unpacked(x.as_py()).column(0) for x in group["words"]]
+        asked = [unpack_binary(x.as_py()) for x in group["words"]]
         every = pa.concat_arrays(asked).dictionary_encode()
         ids = Vocabulary.of(source).encode(every.dictionary)
         of, at, out = every.indices, 0, []
         for own in asked:
-            out.append(packed(ids=ids.take(of.slice(at, len(own)))))
+            out.append(_pack_ids(ids.take(of.slice(at, len(own)))))
             at += len(own)
         made = pa.table({"chunk": group["chunk"], "part": group["part"], "ids": pa.array(out, pa.binary())})
         released()
@@ -208,23 +230,25 @@ def word_ids(requests: DataFrame, source: str) -> DataFrame:
     return requests.groupBy("part").applyInArrow(encoded, _REPLIES)
 
 
-def _through(docs: DataFrame, path: str, names: list[str], types: list, made) -> DataFrame:
-    """docs with the columns that made(ids of each text, decoded texts) gives."""
+def _through(docs: DataFrame, path: str, names: list[str], types: list, made, dropped: list[str]) -> DataFrame:
+    """docs without the dropped columns, with those that made(ids of each text, vocabulary) gives."""
     source = tokenizer_source(path)
-    kept = [c for c in docs.columns if c not in names]
-    schema = with_fields(docs.schema, names, *zip(names, types, strict=True))
+    kept = [c for c in docs.columns if c not in (*names, *dropped)]
+    schema = with_fields(docs.schema, [*names, *dropped], *zip(names, types, strict=True))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = cut(numbered(docs.select(*kept, F.col("text").alias("__text")), parts_for(size, PART_BYTES)))
-    requests = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.part", "w.words")
-    replies = word_ids(requests, source)
+    parts = parts_for(size, PART_BYTES)
+    chunks = cut(numbered(docs.select(*kept, F.col("text").alias("__text")), parts))
+    number = max(1, chunks.count())
+    requests = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.part", "w.words").repartition(parts, "part")
+    replies = word_ids(requests, source).repartition(number, "chunk")
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = left.slice(0, 1).to_pylist()[0]
         rows = pa.ipc.open_stream(chunk["rows"]).read_all()
-        part, text = _from_planes(chunk["parts"]), _from_planes(chunk["texts"])
+        part, text = unpacked(chunk["parts"])[0], _from_sevens(unpacked(chunk["texts"])[0])
         found = sorted(zip(right["part"].to_pylist(), right["ids"], strict=True), key=lambda x: x[0])
         # words were asked for by part, and in the order of their numbers within one
-        ids = pa.concat_arrays([unpacked(x.as_py()).column(0) for _, x in found] or [pa.array([], pa.large_binary())])
+        ids = pa.concat_arrays([_unpack_ids(x.as_py()) for _, x in found] or [pa.array([], pa.large_binary())])
         place = np.empty(len(part), np.int64)
         place[np.argsort(part, kind="stable")] = np.arange(len(part))
         own = _cut_up(ids.take(pa.array(place[text])), np.asarray(rows["__n"]))
@@ -237,7 +261,7 @@ def _through(docs: DataFrame, path: str, names: list[str], types: list, made) ->
         released()
         return out
 
-    return chunks.select("chunk", "texts", "rows", "parts").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(joined, schema)
+    return chunks.select("chunk", "texts", "rows", "parts").repartition(number, "chunk").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(joined, schema)
 
 
 def _decoded(own: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
@@ -256,7 +280,7 @@ def _decoded(own: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with one more column, token_ids (little-endian u32, binary)."""
-    return _through(docs, path, ["token_ids"], [BinaryType()], lambda own, _: [pa.array(own, pa.binary())])
+    return _through(docs, path, ["token_ids"], [BinaryType()], lambda own, _: [pa.array(own, pa.binary())], [])
 
 
 def decode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -279,7 +303,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         return [pa.array([len(x) // 4 for x in own], pa.int64()), pa.array(list(map(sha, own)), pa.string()), pa.array(list(map(sha, _decoded(own, vocabulary))), pa.string())]
 
-    return _through(docs, path, ["n_tokens", "ids_sha256", "decoded_sha256"], [LongType(), StringType(), StringType()], digest)
+    return _through(docs, path, ["n_tokens", "ids_sha256", "decoded_sha256"], [LongType(), StringType(), StringType()], digest, ["text"])
 
 
 def public_path() -> str:

@@ -58,6 +58,26 @@ def parts_for(rows: int, per_part: int) -> int:
     return max(1, -(-rows // per_part))
 
 
+#: Keys of at least LEAST_HOT rows are hot if they are among so few that all others have less than the FEW_HOT-th part.
+FEW_HOT, LEAST_HOT = 1000, 1000
+
+
+def joined_evenly(rows: DataFrame, known: DataFrame, met: str, key: list[str]) -> DataFrame:
+    """rows joined to known, which has one row for each key and, in `met`, the number of rows with it.
+
+    Keys with the FEW_HOT-th part of all rows or more are at most FEW_HOT, so
+    theirs go to every task, and their rows stay where they are. All others are
+    joined by a shuffle, in which no key is large.
+    """
+    total = known.agg(F.sum(met)).first()[0] or 0
+    hot = known.filter(F.col(met) >= max(LEAST_HOT, -(-total // FEW_HOT)))
+    if not hot.limit(1).count():
+        return rows.join(known.drop(met), key)
+    few = F.broadcast(hot.drop(met))
+    others = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(few, key).unionByName(others.join(known.drop(met), key))
+
+
 def text_slices(column: pa.Array, most: int = SLICE_BYTES):
     """Yield (first row, bytes, offsets) for runs of rows of about `most` bytes.
 
@@ -120,17 +140,44 @@ def released() -> None:
         return
 
 
-def packed(**columns) -> bytes:
-    """Equally long arrays as one compressed binary; `unpacked` gives them back as a table."""
-    batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as the largest needs."""
+    most = int(x.max()) if len(x) else 0
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed binary; `unpacked` gives them back."""
+    codec, parts = pa.Codec("zstd", compression_level=9), []
+    for x in arrays:
+        raw = np.ascontiguousarray(x).tobytes()
+        small = codec.compress(raw, asbytes=True)
+        parts += [x.dtype.str.ljust(4).encode(), len(raw).to_bytes(8, "little"), len(small).to_bytes(8, "little"), small]
+    return b"".join(parts)
+
+
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    codec, out, at = pa.Codec("zstd"), [], 0
+    while at < len(raw):
+        size, small = (int.from_bytes(raw[at + k : at + k + 8], "little") for k in (4, 12))
+        out.append(np.frombuffer(codec.decompress(raw[at + 20 : at + 20 + small], size, asbytes=True), raw[at : at + 4].decode().strip()))
+        at += 20 + small
+    return out
+
+
+def pack_binary(x: pa.Array) -> bytes:
+    """Binaries as their lengths and their bytes."""
+    offsets = np.frombuffer(x.buffers()[1], np.int64)[x.offset : x.offset + len(x) + 1] if len(x) else np.zeros(1, np.int64)
+    return packed(narrow(np.diff(offsets)), np.frombuffer(x.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]])
+
+
+def unpack_binary(raw: bytes) -> pa.Array:
+    return binaries(*unpacked(raw))
 
 
-def unpacked(raw) -> pa.RecordBatch:
-    return pa.ipc.open_stream(raw).read_next_batch()
+def binaries(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
+    offsets = np.append(0, np.cumsum(lengths, dtype=np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def with_fields(schema: StructType, dropped: list[str], *added: tuple) -> StructType:
