@@ -4,23 +4,29 @@ Set-relation skipping. Documents are sets of hashed shingles; rows with equal
 sets form a class. An index list holds the sets that have a shingle in their
 prefix, rarest shingles first; lists are ordered by size and carry positions.
 
-1. Shingles found in one document only can't be shared. They are counted out by
-   an exchange of packed hashes, and documents that lose over the permitted part
-   of their set are done: they link with nothing.
+1. Shingles found in one set only can't be shared. They are counted out by an
+   exchange of packed 64-bit hashes; a task sends equal sets once. Sets that lose
+   over the permitted part are done: they link with nothing.
 2. Blocks of a list are skipped by size, by position (how much can still follow
    the shared shingle) and by a histogram of the sets' shingles, which bounds
    their difference from below. Of the pairs left, each shard of lists names
    those that join sets which no pair named before has joined, so fewer than it
    has sets however many pairs a group of near copies makes.
-3. These are verified on the sets. Connected sets share a label.
-4. The answers found serve for the sets like them: the lists are gone through
+3. These are verified on the sets. Connected sets share a label, and a set's
+   leader is the nearest one that it was verified against.
+4. Answers are derived from those of the leader. The lists are gone through
    again, but sets with the same label need no comparison, and two sets whose
-   distances from a common leader (the nearest set each was verified against)
-   differ by more than the permitted distance can't be linked, by the triangle
-   inequality of the Jaccard distance. What neither settles and no block skip
-   rules out is verified, all of it.
-
-A list that is too long for one task is cut into blocks (`_in_blocks`).
+   distances from a common leader differ by more than the permitted distance
+   can't be linked, by the triangle inequality of the Jaccard distance. Of a pair
+   left, where the leader's overlap with the other set is known, the set's own is
+   that overlap, less at most what the leader has and the set doesn't, and plus
+   at most what the set has and the leader doesn't: mostly that says whether the
+   pair is linked. Only what neither settles is verified on the sets, all of it.
+
+A list that is too long for one task is cut into blocks (`_in_blocks`). Tasks
+grow in number with the documents: one for each part, home or shard. A component
+or a set that very many documents share doesn't meet in one task where its rows
+get their ids (`joined_evenly`).
 
 No link is lost: a linked pair shares a shingle of both prefixes, its first one
 passes the position bound, and all other bounds hold for every linked pair.
@@ -28,18 +34,22 @@ Pairs of one component need not all be listed.
 
 Texts that are null, empty or white space have an empty set and link with
 nothing. Texts of fewer words than a shingle have one shingle, all their words.
-Rows with a null doc_id take part; a component's id is its least doc_id, null if
-it has none. Repeated rows are linked with each other.
+Very long texts are scanned in pieces, though a set must fit a task. Rows with a
+null doc_id take part; a component's id is its least doc_id, null if it has none.
+Repeated rows are linked with each other. An empty table gives an empty one, and
+columns but doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import WHITE, cut, hashed_words, mixed, parts_for, table, text_slices
+from lodestrata.llm.common import WHITE, cut, hashed_words, joined_evenly, mixed, parts_for, released, table, text_slices
 from lodestrata.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -53,9 +63,15 @@ LONG = 1 << 13
 #: Tables of long lists go to every task up to so many of them.
 FEW_LISTS = 1 << 16
 
+#: Distinct sets that a task remembers, so as to send copies once.
+REMEMBERED = 1 << 19
+#: Pairs that a shard hands on at once.
+PAIRS = 1 << 16
+
+_DIGESTS = "doc_id long, uid long, n long, d1 long, d2 long"
 _PACKED = "part int, frequent boolean, nodes binary, counts binary, tokens binary"
 _SHARED = "home int, nodes binary, counts binary, tokens binary, dfs binary"
-_ROWS = "doc_id long, node long, n long, d1 long, d2 long, lone long, prefix binary, tokens binary"
+_SETS = "node long, n long, lone long, prefix binary, tokens binary"
 _ENTRY = "shard int, token long, node long, n long, pos long, lone long, label long, lead long, far double, bins binary"
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -101,18 +117,8 @@ def _runs(x: np.ndarray) -> np.ndarray:
 SAMPLE, OFTEN, FREQUENT = 1 << 13, 8, 1 << 16
 #: Turns in which a part is sorted; a power of two.
 PASSES = 8
-#: Bytes of a hash that travel; the part it is dealt to stands for the rest.
-SENT = 5
-
-
-def _sent(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
-
-
-def _received(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // SENT, 8), np.uint8)
-    wide[:, :SENT] = np.frombuffer(raw, np.uint8).reshape(-1, SENT)
-    return wide.view(np.uint64).ravel()
+#: The document frequency of frequent shingles; others' are cut off there.
+OFTENEST = 255
 
 
 def frequent_shingles(docs: DataFrame, rows: int, words: int) -> np.ndarray:
@@ -124,7 +130,7 @@ def frequent_shingles(docs: DataFrame, rows: int, words: int) -> np.ndarray:
     shared wrongly only lets a document pass to the next step.
     """
     share = min(1.0, SAMPLE / max(1, rows))
-    picked = docs.filter(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))).select("text")
+    picked = docs.filter(F.rand(1) < share).select("text")
 
     def hashes(batches):
         for batch in batches:
@@ -136,71 +142,103 @@ def frequent_shingles(docs: DataFrame, rows: int, words: int) -> np.ndarray:
     return np.sort(found.view(np.uint64))
 
 
-def _token_id(tokens: np.ndarray, part) -> np.ndarray:
-    """What stands for a shingle from the first exchange on: the bytes sent, and the part."""
-    return (tokens & np.uint64((1 << 8 * SENT) - 1)) | (part & np.uint64(0xFFFFFF)) << np.uint64(8 * SENT)
+def _digests(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two digests of each set of a run; 0 for an empty one."""
+    first, second = np.zeros(len(counts), np.uint64), np.zeros(len(counts), np.uint64)
+    full = counts > 0
+    if len(tokens):
+        begin = (np.cumsum(counts) - counts)[full]
+        first[full] = np.add.reduceat(mixed(tokens), begin)
+        second[full] = np.bitwise_xor.reduceat(mixed(tokens * _MULTIPLIER), begin)
+    return first, second
+
+
+def document_digests(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, uid, n, d1, d2): a row for each row of docs, with its set's size and digests; uid is a hash of doc_id and text."""
+
+    def digest(batches):
+        for batch in batches:
+            out = []
+            for _, data, offsets in text_slices(batch.column(2)):
+                tokens, counts = shingle_sets(data, offsets, words)
+                out.append((counts, *_digests(tokens, counts)))
+            n, d1, d2 = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n.astype(np.int64)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], names=["doc_id", "uid", "n", "d1", "d2"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("uid"), "text").mapInArrow(digest, _DIGESTS)
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in two bytes each, or in four if they need them."""
+    return counts.astype(np.uint16 if not len(counts) or counts.max() < 1 << 16 else np.uint32).tobytes()
 
 
-def _packed(docs: DataFrame, parts: int, words: int, frequent: np.ndarray) -> DataFrame:
-    """Shingle hashes dealt by their high bits; by home, each document's set size and digest, and its frequent shingles."""
+def _counts(nodes: pa.ChunkedArray, counts: pa.ChunkedArray) -> np.ndarray:
+    found = [np.frombuffer(c, np.uint16 if len(c) * 4 == len(n) else np.uint32) for n, c in zip((x.as_py() for x in nodes), (x.as_py() for x in counts), strict=True)]
+    return np.concatenate([np.empty(0, np.int64), *found]).astype(np.int64)
+
+
+def _packed(docs: DataFrame, parts: int, words: int, frequent: np.ndarray, clashes: list[int]) -> DataFrame:
+    """Shingle hashes dealt by their high bits; by home, the sizes of sets and their frequent shingles."""
     low = np.uint64(0xFFFF)
     maybe = np.zeros(1 << 16, bool)
     maybe[(frequent & low).astype(np.int64)] = True
     sent = docs.sparkSession.sparkContext.broadcast((frequent, maybe))
+    clashing = np.array(clashes, np.int64).view(np.uint64)
 
-    def by_document(own, of, tokens, pack):
+    def by_set(own, of, tokens):
         cuts = _runs(of)
-        return own[of[cuts[:-1]]].tobytes(), np.diff(cuts).astype(np.int32).tobytes(), pack(tokens)
+        return own[of[cuts[:-1]]].tobytes(), _small(np.diff(cuts)), tokens.tobytes()
 
     def pack(batches):
         frequent, maybe = sent.value
+        known: set = set()
         for batch in batches:
-            ids = batch.column(0)
-            known = np.asarray(ids.is_valid())
-            ids = np.asarray(ids.fill_null(0))
-            nodes = np.asarray(batch.column(1)).astype(np.uint64)
-            for first, data, offsets in text_slices(batch.column(2)):
+            for _, data, offsets in text_slices(batch.column(0)):
                 tokens, counts = shingle_sets(data, offsets, words)
+                d1, d2 = _digests(tokens, counts)
+                new = np.zeros(len(counts), bool)
+                for k, key in enumerate(zip(d1.tolist(), d2.tolist(), strict=True)):
+                    if counts[k] and key not in known:
+                        new[k] = True
+                        known.add(key)
+                if len(known) > REMEMBERED:
+                    known.clear()
+                tokens, counts = tokens[np.repeat(new, counts)], counts[new]
+                own = np.where(np.isin(d1, clashing), d2, d1)[new]
                 n = len(counts)
-                own, own_ids, own_known = nodes[first : first + n], ids[first : first + n], known[first : first + n]
-                begin = np.cumsum(counts) - counts
-                wide, full = np.zeros((n, 3), np.int64), counts > 0
-                if len(tokens):
-                    wide[full, 0] = np.add.reduceat(mixed(tokens), begin[full]).view(np.int64)
-                    wide[full, 1] = np.bitwise_xor.reduceat(mixed(tokens * _MULTIPLIER), begin[full]).view(np.int64)
-                wide[:, 2] = own_ids
+                if not n:
+                    continue
                 rows = []
                 home = (own % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(home, kind="stable")
-                size = np.where(own_known, counts, -1 - counts).astype(np.int32)
                 edges = _runs(home[order])
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
                     k = order[a:b]
-                    rows.append((-1 - int(home[k[0]]), False, own[k].tobytes(), size[k].tobytes(), wide[k].tobytes()))
+                    rows.append((-1 - int(home[k[0]]), False, own[k].tobytes(), counts[k].astype(np.uint32).tobytes(), None))
                 of = np.repeat(np.arange(n), counts)
-                part = (tokens >> np.uint64(8 * SENT)) % np.uint64(parts)
-                if len(frequent) and len(tokens):
+                part = ((tokens >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+                if len(frequent):
                     often = np.flatnonzero(maybe[(tokens & low).astype(np.int64)])
                     often = often[frequent[np.minimum(np.searchsorted(frequent, tokens[often]), len(frequent) - 1)] == tokens[often]]
+                    rest = np.ones(len(tokens), bool)
+                    rest[often] = False
                     often = often[np.argsort(home[of[often]], kind="stable")]
                     edges = _runs(home[of[often]])
                     for a, b in zip(edges[:-1], edges[1:], strict=True):
                         k = often[a:b]
-                        rows.append((-1 - int(home[of[k[0]]]), True, *by_document(own, of[k], _token_id(tokens[k], part[k]), np.ndarray.tobytes)))
-                    rest = np.ones(len(tokens), bool)
-                    rest[often] = False
+                        rows.append((-1 - int(home[of[k[0]]]), True, *by_set(own, of[k], tokens[k])))
                     part, tokens, of = part[rest], tokens[rest], of[rest]
-                part = part.astype(np.uint16 if parts <= 65536 else np.uint32)
-                order = np.argsort(part, kind="stable")
+                order = np.argsort(part.astype(np.uint16) if parts <= 65536 else part, kind="stable")
                 part, tokens, of = part[order], tokens[order], of[order]
                 edges = _runs(part)
                 for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    rows.append((int(part[a]), False, *by_document(own, of[a:b], tokens[a:b], _sent)))
+                    rows.append((int(part[a]), False, *by_set(own, of[a:b], tokens[a:b])))
                 types = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["part", "frequent", "nodes", "counts", "tokens"])
+        released()
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("node"), "text")
-    return keyed.mapInArrow(pack, _PACKED)
+    return docs.select("text").mapInArrow(pack, _PACKED)
 
 
 def _joined(column, kind) -> np.ndarray:
@@ -216,90 +254,84 @@ _SHARED_FIELDS = [("home", pa.int32()), ("nodes", pa.binary()), ("counts", pa.bi
 
 
 def _shared(parts: int):
-    """For one part: the entries whose shingle has two entries or more, dealt by the documents' nodes."""
+    """For one part: the entries whose shingle has two entries or more, dealt by the sets' nodes."""
 
     def share(group: pa.Table) -> pa.Table:
         part = group["part"][0].as_py()
         if part < 0:
-            often = np.asarray(group["frequent"])
-            rows = []
-            for kind in np.unique(often):
-                own = group.filter(pa.array(often == kind))
-                nodes, counts, tokens = (b"".join(x.as_py() for x in own[c]) for c in ("nodes", "counts", "tokens"))
-                rows.append((-1 - part, nodes, counts, tokens, np.full(len(tokens) // 8, 65535, np.uint16).tobytes() if kind else None))
+            often, rows = group["frequent"].to_pylist(), []
+            for k, (nodes, counts, tokens) in enumerate(zip(group["nodes"].to_pylist(), group["counts"].to_pylist(), group["tokens"].to_pylist(), strict=True)):
+                rows.append((-1 - part, nodes, counts, tokens, bytes([OFTENEST]) * (len(tokens) // 8) if often[k] else None))
             return _table(rows, _SHARED_FIELDS)
-        nodes = _joined(group["nodes"], np.uint64)
-        raw = b"".join(x.as_py() for x in group["tokens"])
-        tokens = _received(raw)
-        del raw
-        of = np.repeat(np.arange(len(nodes), dtype=np.int32), _joined(group["counts"], np.int32))
+        nodes, counts = _joined(group["nodes"], np.uint64), _counts(group["nodes"], group["counts"])
+        tokens = _joined(group["tokens"], np.uint64)
+        del group
+        of = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
         kept = []
         for turn in range(PASSES):  # a share of the hashes at a time, to sort little at once
-            own = np.flatnonzero((tokens & np.uint64(PASSES - 1)) == turn)
+            own = np.flatnonzero((tokens & np.uint64(PASSES - 1)) == turn).astype(np.int32)
             own = own[np.argsort(tokens[own], kind="stable")]
             edges = _runs(tokens[own])
             df = np.repeat(np.diff(edges), np.diff(edges))
             many = df >= 2
-            kept.append((own[many], np.minimum(df[many], 65535).astype(np.uint16)))
+            kept.append((own[many], np.minimum(df[many], OFTENEST).astype(np.uint8)))
         own, df = (np.concatenate(x) for x in zip(*kept, strict=True))
-        tokens, of = _token_id(tokens[own], np.uint64(part)), nodes[of[own]]
-        home = (of % np.uint64(parts)).astype(np.int64)
+        tokens, of = tokens[own], nodes[of[own]]
+        home = (of % np.uint64(parts)).astype(np.int32)
         order = np.lexsort((of, home))
         home, of, tokens, df = home[order], of[order], tokens[order], df[order]
         rows, edges = [], _runs(home)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             cuts = _runs(of[a:b])
-            rows.append((int(home[a]), of[a:b][cuts[:-1]].tobytes(), np.diff(cuts).astype(np.int32).tobytes(), tokens[a:b].tobytes(), df[a:b].tobytes()))
+            rows.append((int(home[a]), of[a:b][cuts[:-1]].tobytes(), _small(np.diff(cuts)), tokens[a:b].tobytes(), df[a:b].tobytes()))
+        del kept, home, of, tokens, df, order, own
+        released()
         return _table(rows, _SHARED_FIELDS)
 
     return share
 
 
-_ROW_FIELDS = [("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("lone", pa.int64()), ("prefix", pa.binary()), ("tokens", pa.binary())]
+_SET_FIELDS = [("node", pa.int64()), ("n", pa.int64()), ("lone", pa.int64()), ("prefix", pa.binary()), ("tokens", pa.binary())]
 
 
 def _gathered(percent: int):
-    """For one home: each document row, with its prefix and shared shingles if it can be linked."""
+    """For one home: each set that can be linked, with its prefix and its shared shingles."""
 
     def gather(group: pa.Table) -> pa.Table:
-        meta = [x.as_py() is None for x in group["dfs"]]
-        first, rest = group.filter(pa.array(meta)), group.filter(pa.array([not x for x in meta]))
-        nodes, sizes, wide = _joined(first["nodes"], np.uint64), _joined(first["counts"], np.int32), _joined(first["tokens"], np.int64).reshape(-1, 3)
-        known = sizes >= 0
-        sizes = np.where(known, sizes, -1 - sizes).astype(np.int64)
-        tokens, dfs = _joined(rest["tokens"], np.uint64), _joined(rest["dfs"], np.uint16)
-        of = np.repeat(_joined(rest["nodes"], np.uint64), _joined(rest["counts"], np.int32))
+        meta = pa.array([x.as_py() is None for x in group["dfs"]])
+        first, rest = group.filter(meta), group.filter(pa.compute.invert(meta))
+        nodes, at = np.unique(_joined(first["nodes"], np.uint64), return_index=True)
+        sizes = _joined(first["counts"], np.uint32).astype(np.int64)[at]
+        tokens, dfs = _joined(rest["tokens"], np.uint64), _joined(rest["dfs"], np.uint8)
+        of = np.repeat(_joined(rest["nodes"], np.uint64), _counts(rest["nodes"], rest["counts"]))
+        del group, first, rest
         order = np.lexsort((tokens, dfs, of))
-        of, tokens, dfs = of[order], tokens[order], dfs[order]
-        fresh = np.ones(len(of), bool)
+        of, tokens = of[order], tokens[order]
+        fresh = np.ones(len(of), bool)  # several tasks may have sent a set
         fresh[1:] = (of[1:] != of[:-1]) | (tokens[1:] != tokens[:-1])
         of, tokens = of[fresh], tokens[fresh]
         edges = _runs(of)
-        heads = of[edges[:-1]] if len(of) else of
         rows = []
-        at = np.searchsorted(heads, nodes)
-        for k in range(len(nodes)):
-            n, own = int(sizes[k]), None
-            if at[k] < len(heads) and heads[at[k]] == nodes[k]:
-                own = tokens[edges[at[k]] : edges[at[k] + 1]]
-            row = (int(wide[k, 2]) if known[k] else None, int(nodes[k].astype(np.int64)), n, int(wide[k, 0]), int(wide[k, 1]))
-            if own is None or 100 * len(own) < percent * n:
-                rows.append((*row, None, None, None))
-            else:
+        for node, a, b in zip(of[edges[:-1]].tolist() if len(of) else [], edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            n = int(sizes[np.searchsorted(nodes, np.uint64(node))])
+            own = tokens[a:b]
+            if 100 * len(own) >= percent * n:
                 lone = n - len(own)
                 prefix = n - -(-percent * n // 100) + 1
-                rows.append((*row, lone, own[: prefix - lone].tobytes(), np.sort(own).tobytes()))
-        return _table(rows, _ROW_FIELDS)
+                rows.append((int(np.uint64(node).astype(np.int64)), n, lone, own[: prefix - lone].tobytes(), np.sort(own).tobytes()))
+        del of, tokens, order
+        released()
+        return _table(rows, _SET_FIELDS)
 
     return gather
 
 
-def document_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """A row for each row of docs: set size, digest, and for those that can be linked what they share."""
-    rows = docs.count()
+def linkable_sets(docs: DataFrame, rows: int, words: int, percent: int, clashes: list[int]) -> DataFrame:
+    """(node, n, lone, prefix, tokens): a row for each distinct set that can be linked with another."""
     parts = parts_for(rows, DOCS_IN_PART)
-    shared = _packed(docs, parts, words, frequent_shingles(docs, rows, words)).groupBy("part").applyInArrow(_shared(parts), _SHARED)
-    return cut(shared.groupBy("home").applyInArrow(_gathered(percent), _ROWS))
+    sent = _packed(docs, parts, words, frequent_shingles(docs, rows, words), clashes).repartition(2 * parts, "part")
+    shared = sent.groupBy("part").applyInArrow(_shared(parts), _SHARED).repartition(parts, "home")
+    return cut(shared.groupBy("home").applyInArrow(_gathered(percent), _SETS))
 
 
 def _bins(tokens: np.ndarray) -> bytes:
@@ -313,7 +345,7 @@ def _entries(sets: DataFrame, shards: int) -> DataFrame:
     """The prefixes' index entries of sets (node, n, lone, prefix, tokens, label, lead, far)."""
 
     def spread(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             out: list[list] = [[] for _ in range(10)]
             for r in batch.to_pylist():
                 prefix = np.frombuffer(r["prefix"], np.uint64)
@@ -455,12 +487,23 @@ class Lists:
                 if len(j):
                     yield self.likely(np.full(len(j), i), j)
 
-    def found(self, pairs) -> pa.Table:
-        got = [(self.node[i], self.node[j]) for i, j in pairs if len(i)]
-        if not got:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        both = np.unique(np.stack([np.concatenate(x) for x in zip(*got, strict=True)], 1), axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+    def found(self, pairs) -> Iterator[pa.RecordBatch]:
+        """Pairs (a, b) with a < b, some at a time, so that none but those are held."""
+        held, size = [], 0
+        for i, j in pairs:
+            if len(i):
+                held.append((self.node[i], self.node[j]))
+                size += len(i)
+            if size >= PAIRS:
+                yield self._batch(held)
+                held, size = [], 0
+        if held:
+            yield self._batch(held)
+
+    @staticmethod
+    def _batch(held: list) -> pa.RecordBatch:
+        both = np.unique(np.sort(np.stack([np.concatenate(x) for x in zip(*held, strict=True)], 1), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -481,44 +524,78 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(overlap, "a long, b long, n_a long, n_b long, both long")
 
 
+def settled_by_leaders(pairs: DataFrame, seen: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, linked): pairs (a, b, n_a, n_b) with what the answers of a's or b's leader say; null if they don't.
+
+    seen has verified pairs (a, b, n_a, n_b, both). A set differs from its
+    leader by what the leader has more (`less`) and what it has itself (`more`).
+    """
+    both = seen.select(F.col("a").alias("x"), F.col("b").alias("z"), F.col("n_a").alias("n_x"), F.col("n_b").alias("n_z"), "both")
+    both = both.unionByName(both.select(F.col("z").alias("x"), F.col("x").alias("z"), F.col("n_z").alias("n_x"), F.col("n_x").alias("n_z"), "both"))
+    far = 1 - F.col("both") / (F.col("n_x") + F.col("n_z") - F.col("both"))
+    leads = both.groupBy(F.col("z").alias("of")).agg(F.min(F.struct(far.alias("far"), "x", (F.col("n_x") - F.col("both")).alias("less"), (F.col("n_z") - F.col("both")).alias("more"))).alias("lead")).select("of", F.col("lead.x").alias("lead"), "lead.less", "lead.more")
+    known = both.select("x", F.col("z").alias("other"), F.col("both").alias("common"))
+    need = F.col("n_a") + F.col("n_b")
+    out = pairs.withColumn("linked", F.lit(None).cast("boolean"))
+    for own, other in (("a", "b"), ("b", "a")):
+        led = out.join(leads, F.col(own) == F.col("of"), "left")
+        led = led.join(known, (F.col("lead") == F.col("x")) & (F.col(other) == F.col("other")), "left")
+        sure = (F.col("common") - F.col("less")) * (100 + percent) >= need * percent
+        never = (F.col("common") + F.col("more")) * (100 + percent) < need * percent
+        out = led.select("a", "b", "n_a", "n_b", F.coalesce("linked", F.when(sure, F.lit(True)).when(never, F.lit(False))).alias("linked"))
+    return out
+
+
 def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, long: int = LONG) -> DataFrame:
-    """(doc_id, node, n_shingles, component_id, first): a row for each row of docs; node is a hash of doc_id and text.
+    """(doc_id, uid, n_shingles, component_id, first): a row for each row of docs; uid is a hash of doc_id and text.
 
-    first is the node that stands for the component: of the rows with its least doc_id, nulls last, the one of the least
-    node. It is null for rows that link with nothing.
+    first is the uid that stands for the component: of the rows with its least doc_id, nulls last, the one of the least
+    uid. It is null for rows with an empty set.
     """
-    rows = document_sets(docs, words, percent)
-    able = rows.filter(F.col("tokens").isNotNull())
-    classes = able.groupBy("n", "d1", "d2").agg(F.min("node").alias("rep"))
-    reps = classes.select(F.col("rep").alias("node"))
-    plain = able.join(reps, "node", "left_semi").dropDuplicates(["node"]).select("node", "n", "lone", "prefix", "tokens")
-    sets = cut(plain)
+    digests = cut(document_digests(docs, words))
+    # a set's node is its first digest; of sets that share one by chance it is the second
+    same = digests.filter("n > 0").groupBy("d1").agg(F.min(F.struct("d2", "n")).alias("least"), F.max(F.struct("d2", "n")).alias("most"))
+    clashes = [r.d1 for r in same.filter("least <> most").select("d1").collect()]  # about rows ** 2 / 2 ** 65 of them
+    node = F.when(F.col("d1").isin(clashes), F.col("d2")).otherwise(F.col("d1")) if clashes else F.col("d1")
+    rows = digests.select("doc_id", "uid", "n", node.alias("node"))
+    sets = linkable_sets(docs, digests.count(), words, percent, clashes)
     shards = parts_for(sets.count(), SETS_IN_SHARD)
 
-    def trees(group: pa.Table) -> pa.Table:
-        lists = Lists(group, percent)
-        return lists.found(lists.tree_pairs())
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lists(pa.Table.from_batches(list(batches)), percent)
+        yield from lists.found(lists.tree_pairs())
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = Lists(pa.Table.from_batches(list(batches)), percent)
+        yield from lists.found(lists.open_pairs())
 
-    def rest(group: pa.Table) -> pa.Table:
-        lists = Lists(group, percent)
-        return lists.found(lists.open_pairs())
+    def paired(sets, settled, through):
+        entries = _in_blocks(_entries(sets, shards), shards, settled, long).repartition(2 * shards, "shard")
+        return entries.groupBy("shard").applyInArrow(through, "a long, b long").distinct()
 
     unled = sets.withColumns({"label": F.col("node"), "lead": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
-    seen = cut(_verified(_in_blocks(_entries(unled, shards), shards, False, long).groupBy("shard").applyInArrow(trees, "a long, b long").distinct(), sets))
+    seen = cut(_verified(paired(unled, False, trees), sets))
     is_link = F.col("both") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     labels = components(seen.filter(is_link).select("a", "b"))
     far = 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
     # each set's nearest verified partner is its leader
     leads = seen.withColumn("far", far).groupBy(F.col("b").alias("node")).agg(F.min(F.struct("far", F.col("a").alias("lead"))).alias("near")).select("node", "near.lead", "near.far")
     led = sets.join(labels, "node", "left").join(leads, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = _in_blocks(_entries(led, shards), shards, True, long).groupBy("shard").applyInArrow(rest, "a long, b long").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(_verified(left, sets).filter(is_link).select("a", "b"))
+    sizes = sets.select("node", "n")
+    left = paired(led, True, rest).join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    left = left.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    settled = cut(settled_by_leaders(left, seen, percent))
+    verified = _verified(settled.filter("linked IS NULL").select("a", "b"), sets).filter(is_link).select("a", "b")
+    more = cut(settled.filter("linked").select("a", "b").unionByName(verified))
     final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-    labelled = classes.join(final, F.col("rep") == F.col("node"), "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label"))
-    own = cut(able.select("doc_id", "node", "n", "d1", "d2").join(labelled, ["n", "d1", "d2"]).select("doc_id", "node", "n", "label"))
-    least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
-    some = own.join(least, "label").select("doc_id", "node", F.col("n").alias("n_shingles"), "component_id", F.col("least.node").alias("first"))
-    none = rows.filter(F.col("tokens").isNull()).select("doc_id", "node", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("first"))
+    # sets, not rows, get their components; then rows theirs by sets
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    own = rows.filter("n > 0").groupBy("node").agg(F.count("*").alias("rows"), F.min(order).alias("least"))
+    own = cut(own.join(final, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = own.groupBy("label").agg(F.count("*").alias("met"), F.min("least").alias("of_all")).select("label", "met", F.col("of_all.doc_id").alias("component_id"), F.col("of_all.uid").alias("first"))
+    known = cut(joined_evenly(own.select("node", "rows", "label"), least, "met", ["label"]).select("node", F.col("rows").alias("met"), "component_id", "first"))
+    some = joined_evenly(rows.filter("n > 0"), known, "met", ["node"]).select("doc_id", "uid", F.col("n").alias("n_shingles"), "component_id", "first")
+    none = rows.filter("n = 0").select("doc_id", "uid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("first"))
     return some.unionByName(none)
 
 

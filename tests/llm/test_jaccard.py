@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from lodestrata.llm import jaccard
+from lodestrata.llm.common import joined_evenly
 from lodestrata.llm.components import components
 
 
@@ -102,3 +103,40 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for x in up}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_answers_derived_from_a_leader_are_right(spark):
+    rng = random.Random(4)
+    base = list(range(200))
+    sets = {k: set(rng.sample(base, 200 - k % 20)) | set(range(1000 + 90 * k, 1000 + 90 * k + 3 * (k % 25))) for k in range(40)}
+    pairs = [(a, b, len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a in sets for b in sets if a < b]
+    seen = spark.createDataFrame([p for p in pairs if p[0] in (0, 1)], "a long, b long, n_a long, n_b long, both long")
+    left = spark.createDataFrame([p[:4] for p in pairs if p[0] > 1], "a long, b long, n_a long, n_b long")
+    got = {(r.a, r.b): r.linked for r in jaccard.settled_by_leaders(left, seen, 80).collect()}
+    want = {p[:2]: 100 * p[4] >= 80 * (p[2] + p[3] - p[4]) for p in pairs if p[0] > 1}
+    assert got.keys() == want.keys()
+    assert all(got[k] in (None, want[k]) for k in want)
+    assert sum(x is not None for x in got.values()) > len(got) / 10 and {True, False} <= set(want.values())
+
+
+def test_sets_whose_digests_clash(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{k % 5}_{i}" for i in range(30))) for k in range(12)]
+    real = jaccard._digests
+    monkeypatch.setattr(jaccard, "_digests", lambda t, c: (real(t, c)[0] % 2 + 1 if len(t) else real(t, c)[0], real(t, c)[1]))
+    want = plain(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.linked_rows(df).collect()) == want
+
+
+def test_hot_keys_are_joined_in_place(spark):
+    rows = spark.range(6000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 ELSE id END AS k")
+    known = rows.groupBy("k").count().selectExpr("k", "count AS met", "k * 2 AS v")
+    out = joined_evenly(rows, known, "met", ["k"])
+    assert sorted((r.id, r.v) for r in out.collect()) == sorted((i, -2 if i % 3 == 0 else 2 * i) for i in range(6000))
+    assert joined_evenly(rows.limit(0), known.limit(0), "met", ["k"]).count() == 0
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"word{k % 5000}x{k}" for k in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, "a b c d e"), (4, "x" * 3_000_000)]
+    assert found(spark, rows) == plain(rows)
