@@ -86,11 +86,13 @@ class CuckooFilter:
     def delete(self, hi: np.ndarray, lo: np.ndarray) -> None:
         prints, first = self._places(hi, lo)
         second = self._other(prints, first)
-        for p, a, b in zip(prints.tolist(), first.tolist(), second.tolist(), strict=True):
-            for bucket in (a, b):
-                found = np.flatnonzero(self.slots[bucket] == p)
-                if len(found):
-                    self.slots[bucket, found[0]] = 0
-                    break
-            else:
+        slots, left = self.slots.reshape(-1), np.arange(len(prints))
+        while len(left):
+            found = np.concatenate([self.slots[first[left]], self.slots[second[left]]], 1) == prints[left, None]
+            if not found.any(1).all():
                 raise KeyError("a key that was not inserted can't be deleted")
+            at = found.argmax(1)
+            place = np.where(at < SLOTS, first[left], second[left]) * SLOTS + at % SLOTS
+            _, own = np.unique(place, return_index=True)  # of keys that chose the same entry, one takes it
+            slots[place[own]] = 0
+            left = np.delete(left, own)
