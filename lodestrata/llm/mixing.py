@@ -11,9 +11,14 @@ folded in chunks again, level by level, until a source has one. Within a chunk
 large documents come first, so that what is left over tends to be small.
 
 Draws are hashes of the documents, so reruns agree. Everything is DataFrame
-expressions. A null or empty text has no words: it takes no part in pairs and is
-rounded by itself. A null source is a source, after all others. Rows that are
-equal in doc_id and text draw alike but are rounded each for itself.
+expressions. Texts are read once; from there on only sizes travel. A null or
+empty text has no words: it takes no part in pairs and is rounded by itself. A
+null source is a source, after all others. Rows that are equal in doc_id and text
+draw alike but are rounded each for itself; `mixed_rows` gives them together as
+many copies as they were rounded to. Units of equal size are paired in the order
+of a hash. Very long texts are one number here; an empty table gives an empty
+one, and columns but doc_id, text and source are not looked at, whatever their
+names. The sources' targets are set in one task, a row for each source.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.llm.common import cut, parts_for, table
+from lodestrata.llm.common import cut, joined_evenly, parts_for, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -117,7 +122,7 @@ def copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float =
 
     uid is a hash of doc_id and text, by which a caller joins the copies back.
     """
-    sized = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "source", words_in(F.col("text")).alias("size"))
+    sized = cut(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("uid"), "source", words_in(F.col("text")).alias("size")))
     sources = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, cap))
     size = sources.agg(F.count("*"), F.sum(F.length("source")), F.max("n")).first()
     few = size[0] <= SOURCES and (size[1] or 0) <= SOURCE_BYTES
@@ -155,13 +160,27 @@ def _residuals(level: DataFrame, most: int, seed: int) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """docs with each row as often as the mix takes it."""
-    # equal rows share a uid; each gets the same copies, rounded up
-    per_row = F.ceil(F.sum("copies") / F.count("*")).cast("int")
-    taken = copies(docs, **how).groupBy(F.col("uid").alias("__uid")).agg(per_row.alias("__copies")).filter("__copies > 0")
+    """docs with each row as often as the mix takes it.
+
+    Rows equal in doc_id and text share out the copies that they got together:
+    of r such rows with c copies the first k have floor(c * k / r) of them. Rows
+    that are equal in all columns are counted first, so no group of them meets.
+    """
+    taken = copies(docs, **how).groupBy(F.col("uid").alias("__uid")).agg(F.count("*").alias("__met"), F.sum("copies").alias("__copies"))
+    taken = cut(taken.filter("__copies > 0").withColumn("__rows", F.col("__met")))
     names = docs.columns
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("__copy")
     keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    return keyed.join(taken, "__uid").select(*names, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).select(*names)
+    rows = joined_evenly(keyed, taken, "__met", ["__uid"])
+    once = rows.filter("__rows = 1").select(*names, times(F.col("__copies"))).select(*names)
+    if not taken.filter("__rows > 1").limit(1).count():
+        return once
+    several = rows.filter("__rows > 1").groupBy("__uid", "__rows", "__copies", F.to_json(F.struct(*names)).alias("__whole"))
+    several = several.agg(F.count("*").alias("__n"), F.first(F.struct(*names)).alias("__row"))
+    so_far = F.sum("__n").over(Window.partitionBy("__uid").orderBy("__whole"))
+    share = lambda k: F.floor(F.col("__copies") * k / F.col("__rows")).cast("long")
+    dealt = several.withColumn("__to", so_far).withColumn("__own", share(F.col("__to")) - share(F.col("__to") - F.col("__n")))
+    return once.unionByName(dealt.filter("__own > 0").select("__row.*", times(F.col("__own"))).select(*names))
 
 
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
