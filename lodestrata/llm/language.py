@@ -9,7 +9,12 @@ rows; every whole text is then predicted in vectorised batches.
 
 A text that is null or has no letter is `und`, with score 0. So is every text
 where no row has a language to learn. Rows with a null doc_id are predicted, but
-never learned from.
+never learned from; of rows that share a doc_id and a language one is. Repeated
+rows are predicted alike. Very long texts are scanned in pieces. Ties between
+languages go to the first by name, ties in the sample to the smaller doc_id. Of
+more than ROWS languages the most frequent are learned. An empty table gives an
+empty one; columns named lang_pred and score are replaced, and others pass by
+unused.
 """
 
 from __future__ import annotations
@@ -19,11 +24,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.llm.common import SLICE_BYTES, table, text_slices
+from lodestrata.llm.common import SLICE_BYTES, cut, table, text_slices
 from lodestrata.llm.toxicity import fold
 
 #: Language codes by family. A code that is not here is a family of its own.
@@ -56,10 +62,9 @@ def _lowered(column) -> pa.Array:
     return pa.array([x.lower() if x else "" for x in column.to_pylist()], pa.large_string())
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row of scaled trigram shares for each text of a run; of length 1, or 0 without trigrams."""
+def trigram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each text of a run has trigrams of each slot; a blank stands before and after each text."""
     n = len(offsets) - 1
-    # a blank before and after each text
     wide = np.full(len(data) + 2 * n, 32, np.uint8)
     doc = np.repeat(np.arange(n), np.diff(offsets))
     wide[np.arange(len(data)) + 2 * doc + 1] = _FOLD[data]
@@ -71,11 +76,32 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     inner[starts[1:] - 1] = inner[starts[1:] - 2] = False  # would join two texts
     good &= inner
     slot = (code[good] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-    counts = np.bincount(doc[good] * FEATURES + slot, minlength=n * FEATURES).reshape(n, FEATURES)
+    return np.bincount(doc[good] * FEATURES + slot, minlength=n * FEATURES).reshape(n, FEATURES)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row of scaled trigram shares for each text of a run; of length 1, or 0 without trigrams."""
+    if len(offsets) == 2 and len(data) > 2 * SLICE_BYTES:
+        # pieces are cut at blanks, which stand on both sides of a cut
+        counts = sum(trigram_counts(x, np.array([0, len(x)])) for x in _blank_pieces(data))
+    else:
+        counts = trigram_counts(data, offsets)
     total = counts.sum(1, keepdims=True)
     return np.sqrt(counts / np.maximum(total, 1)).astype(np.float32)
 
 
+def _blank_pieces(data: np.ndarray):
+    """A long text in pieces that end before a byte that is no letter, or after SLICE_BYTES where there is none."""
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + SLICE_BYTES)
+        blank = np.flatnonzero(_FOLD[data[at:end]] == 32)
+        if end < len(data) and len(blank) and blank[-1] > 0:
+            end = at + int(blank[-1])
+        yield data[at:end]
+        at = end
+
+
 def machine(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """A linear support vector machine: squared hinge loss, classes weighed alike, accelerated gradient."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
@@ -149,25 +175,45 @@ class Model:
         return out, score
 
 
-def fit(docs: DataFrame) -> Model | None:
-    """Learn from at most PER_LANGUAGE rows of a language and ROWS in all, those of the least hashes."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
-    languages = ids.groupBy("lang").count().count()
+def sampled(docs: DataFrame) -> DataFrame | None:
+    """(__of, __lang): ids to learn each language from, those of the least hashes; at most PER_LANGUAGE of one, and ROWS.
+
+    Rows are first thinned to about twice what is needed by a bound on their
+    hash, which depends on the language's number of rows, so that no language
+    is large where it is ranked.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.02).alias("n"), F.count("*").alias("rows"))
+    sizes = cut(sizes.orderBy(F.col("rows").desc(), "lang").limit(ROWS))
+    languages = sizes.count()
     if not languages:
         return None
     most = max(1, min(PER_LANGUAGE, ROWS // languages))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id"))
-    chosen = ids.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.col("doc_id").alias("__of"), F.col("lang").alias("__lang")).distinct().limit(ROWS)
+    share = F.least(F.lit(1.0), (2.0 * most + 100) / F.col("n"))
+    hashed = F.xxhash64("doc_id", F.lit("sample"))
+    drawn = F.shiftrightunsigned(hashed, 11) * F.lit(2.0**-53)
+    thinned = rows.join(F.broadcast(sizes.select("lang", share.alias("share"))), "lang").filter(drawn < F.col("share")).select("lang", "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(drawn, "doc_id"))
+    return thinned.withColumn("rank", rank).filter(F.col("rank") <= most).select(F.col("doc_id").alias("__of"), F.col("lang").alias("__lang"))
+
+
+def fit(docs: DataFrame) -> Model | None:
+    """Learn from a bounded sample of rows, whose features are 32 KB each."""
+    chosen = sampled(docs)
+    if chosen is None:
+        return None
 
     def made(batches):
         for batch in batches:
             rows = []
-            for x in _feature_rows(batch.column(1)):
+            for x in _feature_rows(batch.column(2)):
                 rows += [r.tobytes() for r in x]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(rows, pa.binary())], names=["of", "lang", "x"])
 
     both = (F.col("doc_id").cast("long") == F.col("__of")) & (F.col("lang") == F.col("__lang"))
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), both).select("lang", "text").mapInArrow(made, "lang string, x binary").collect()  # about ROWS rows
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), both).select("__of", "__lang", "text")
+    rows = texts.mapInArrow(made, "of long, lang string, x binary").groupBy("of", "lang").agg(F.min("x").alias("x")).collect()  # a row for each chosen id
     rows = sorted((r.lang, bytes(r.x)) for r in rows)
     return Model.fit(np.array([np.frombuffer(x, np.float32) for _, x in rows]), [k for k, _ in rows])
 
@@ -183,23 +229,21 @@ def _feature_rows(column):
 def identified(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with `lang_pred` and `score`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
-    def predict(batches):
-        for batch in batches:
-            column = batch.column(len(names))
-            lang, score = np.full(len(column), "und", object), np.zeros(len(column))
-            if sent.value is not None:
-                at = 0
-                for x in _feature_rows(column):
-                    lang[at : at + len(x)], score[at : at + len(x)] = sent.value.predict(x)
-                    at += len(x)
-            none = np.array([not x or not any(map(str.isalpha, x)) for x in column.to_pylist()], bool)
-            lang[none], score[none] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang.tolist(), pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.select(*names, F.col("text").alias("__text")).mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        lang, score, at = np.full(len(texts), "und", object), np.zeros(len(texts)), 0
+        if sent.value is not None:
+            for x in _feature_rows(texts):
+                lang[at : at + len(x)], score[at : at + len(x)] = sent.value.predict(x)
+                at += len(x)
+        letters = pa.compute.fill_null(pa.compute.match_substring_regex(texts, r"\p{L}"), False)
+        none = ~np.asarray(letters)
+        lang[none], score[none] = "und", 0.0
+        return pa.StructArray.from_arrays([pa.array(lang.tolist(), pa.string()), pa.array(score)], names=["lang_pred", "score"])
+
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, predict(F.col("text")).alias("__found")).select(*kept, "__found.lang_pred", "__found.score")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

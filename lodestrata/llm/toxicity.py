@@ -1,18 +1,25 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other texts are unlabelled, though
-some are toxic. Near copies are taken out of the samples of both, and the class
-prior p is the toxic share of the labelled rows that this leaves of a draw from
-all rows. With it, the risk of a classifier is
+Confirmed toxic texts are the positives. The unlabelled texts are a draw from all
+rows, whatever their labels, so a share p of them, the class prior, is toxic too.
+The prior is the toxic share of the labelled rows. The risk of a classifier is
 p * E_pos[l(z)] + max(0, E_unl[l(-z)] - p * E_pos[l(-z)]): what the positives
 among the unlabelled add is taken out again, and where the difference turns
 negative (overfitting), the step goes the other way. Small numpy classifiers
 over the presence of words are trained so, on a bounded sample, and averaged;
 every whole text is then scored in vectorised batches.
 
+Near copies are taken out of the draw, out of the positives and out of the labelled
+rows that give the prior, all in the same way, or a text copied a thousand times
+would make its words look toxic or clean. Of a sampled text at most HELD_WORDS
+distinct words are learned from, those of the least hashes; scoring takes all.
+
 Null and empty texts hold no word and get the classifiers' offset. Without one
 confirmed toxic text every score is 0. Rows with a null doc_id are scored but
-never learned from. Repeated rows are scored alike.
+never learned from; of rows that share a doc_id one is. Repeated rows are scored
+alike. Very long texts are scanned in pieces. Ties in the sample go to the
+smaller doc_id. An empty table gives an empty one; a column named score is
+replaced, and others pass by unused.
 """
 
 from __future__ import annotations
@@ -35,15 +42,14 @@ LIKELY = 0.4
 #: ... and in what share of the positives it is at least.
 SUPPORT = 0.01
 MEMBERS, STEPS, RATE, DECAY = 3, 600, 0.1, 1e-4
-#: Samples of fewer positives are too small to learn from: there the offset gives way where the share of the unlabelled found toxic is over so many times the prior.
-FEW, EXCESS = 100, 1.5
-#: Where fewer of the unlabelled sample's rows have labels, the prior is taken from a sample of the labelled rows, without near copies too.
-LABELLED = 300
+#: Bound of the labelled rows that the prior is taken from, and of a sampled text's words.
+LABELLED, HELD_WORDS = 9000, 2048
 #: Near copies in the sample are told by equal groups of minimal hashes: groups, hashes in each.
 GROUPS, HASHES = 6, 4
 #: Every FOLDS-th hash value is held out.
 FOLDS = 5
-_NO_WORDS = pa.schema([("drawn", pa.bool_()), ("known", pa.bool_()), ("toxic", pa.int32()), ("at", pa.int64()), ("words", pa.binary())])
+#: What a sampled row is: bits.
+DRAWN, POSITIVE, KNOWN, TOXIC = 1, 2, 4, 8
 
 
 def fold(doc_id, n: int):
@@ -118,94 +124,103 @@ def _distinct_words(positives: list, unlabelled: list, prior: float) -> np.ndarr
     return np.sort(hashes[order[: max(8, int((strength[order] >= DISTINCT).sum()))]])
 
 
-def _train(xp: np.ndarray, xu: np.ndarray, prior: float, left: float) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk with the logistic loss; left: the toxic share of the unlabelled."""
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk, given the margins of positives and unlabelled: what positives cost, and what negatives cost, before it is kept from below 0."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def gradient(xp: np.ndarray, xu: np.ndarray, zp: np.ndarray, zu: np.ndarray, prior: float) -> np.ndarray:
+    """Of the whole risk; of the negative part alone, the other way round, where that is below 0."""
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
+    away = su @ xu / len(xu) - prior * (sp @ xp) / len(xp)
+    if risk(zp, zu, prior)[1] < 0:
+        return -away
+    return prior * ((sp - 1) @ xp) / len(xp) + away
+
+
+def _train(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative risk with the logistic loss."""
     w = np.zeros(xp.shape[1] + 1)
     first, second = np.zeros_like(w), np.zeros_like(w)
     xp, xu = np.c_[xp, np.ones(len(xp), np.float32)], np.c_[xu, np.ones(len(xu), np.float32)]
     w[-1] = np.log(prior / (1 - prior))
-    clean = (1 - prior) / (1 - left)  # the unlabelled's clean texts stand for all clean ones
     for step in range(1, STEPS + 1):
-        zp, zu = xp @ w.astype(np.float32), xu @ w.astype(np.float32)
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -30, 30))), 1 / (1 + np.exp(-np.clip(zu, -30, 30)))
-        away = np.logaddexp(0, zu).mean() - left * np.logaddexp(0, zp).mean()
-        grad_away = clean * (su @ xu / len(xu) - left * (sp @ xp) / len(xp))
-        grad = (-grad_away if away < 0 else prior * ((sp - 1) @ xp) / len(xp) + grad_away).astype(np.float64)
+        grad = gradient(xp, xu, xp @ w.astype(np.float32), xu @ w.astype(np.float32), prior).astype(np.float64)
         grad[:-1] += DECAY * w[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         w = w - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Learn from rows that are not held out: at most POSITIVES toxic and UNLABELLED other texts."""
-    labels = labels.select("doc_id", "toxic")
-    learnt = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    if not learnt.filter("toxic = 1").limit(1).count():
-        return Model.of(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0))
-    toxic = learnt.filter("toxic = 1").orderBy(order, "doc_id").limit(POSITIVES).select("doc_id")
-    other = ids.orderBy(order, "doc_id").limit(UNLABELLED).select("doc_id")
-    enough = other.join(learnt.select("doc_id"), "doc_id", "left_semi").count() >= LABELLED
-    known = learnt.orderBy(order, "doc_id").limit(0 if enough else UNLABELLED).select("doc_id")
-    kinds = [toxic.selectExpr("doc_id", "false AS drawn", "false AS known"), other.selectExpr("doc_id", "true AS drawn", "false AS known"), known.selectExpr("doc_id", "false AS drawn", "true AS known")]
-    chosen = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("doc_id").agg(F.max("drawn").alias("drawn"), F.max("known").alias("known"))
-    positives = toxic.withColumn("positive", F.lit(2))
-    chosen = chosen.join(learnt, "doc_id", "left").join(positives, "doc_id", "left").select(F.col("doc_id").alias("__of"), "drawn", "known", F.coalesce("positive", "toxic", F.lit(-1)).cast("int").alias("toxic"), order.alias("at"))
+def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, what): ids to learn from, of rows that are not held out, by their least hashes; at most POSITIVES + UNLABELLED + LABELLED."""
+    learnable = F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != 0)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(learnable).distinct()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(learnable & F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    least = lambda df, n: df.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(n)
+    parts = [
+        least(ids, UNLABELLED).select("doc_id", F.lit(DRAWN).alias("what")),
+        least(known.filter("toxic"), POSITIVES).select("doc_id", F.lit(POSITIVE).alias("what")),
+        least(known, LABELLED).select("doc_id", F.when(F.col("toxic"), KNOWN | TOXIC).otherwise(KNOWN).alias("what")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("doc_id").agg(F.bit_or("what").alias("what"))
+
+
+def sample_rows(docs: DataFrame, chosen: DataFrame) -> list[tuple[np.ndarray, int]]:
+    """(hashes of distinct words, what) of each chosen id, in a fixed order: of at most as many ids, and HELD_WORDS words each."""
 
     def words(batches):
         for batch in batches:
             own = []
-            for _, data, offsets in text_slices(batch.column(4)):
+            for _, data, offsets in text_slices(batch.column(2)):
                 hashes, counts = hashed_words(data, offsets, ALNUM)
-                own += [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(own, pa.binary())], schema=_NO_WORDS)
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__of")).select("drawn", "known", "toxic", "at", "text").mapInArrow(words, "drawn boolean, known boolean, toxic int, at long, words binary").collect()  # within POSITIVES + 2 * UNLABELLED rows
-    rows = sorted((bytes(r.words), r["at"], r.toxic, r.drawn, r.known) for r in rows)  # of equal texts any may be first, labelled or not
-
-    def kept(rows):
-        own = [np.frombuffer(r[0], np.uint64) for r in rows]
-        return [(own[k], rows[k][2]) for k in _without_copies(own)]
-
-    unlabelled = kept([r for r in rows if r[3]])
-    sample = {True: [w for w, _ in kept([r for r in rows if r[2] == 2])], False: [w for w, t in unlabelled if t != 2]}
-    known = [t > 0 for _, t in (unlabelled if enough else kept([r for r in rows if r[4]])) if t >= 0]
-    prior = min(max(float(np.mean(known or [0.0])), 0.01), 0.9)
-    # the positives are no longer among the unlabelled
-    out = len(unlabelled) - len(sample[False])
-    left = min(max((prior * len(unlabelled) - out) / max(1, len(sample[False])), 0.0), prior)
-    if not sample[True] or not sum(map(len, sample[True])):
-        return Model.of(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
-    sample[False] = sample[False] or sample[True]
-    chosen_words = _distinct_words(sample[True], sample[False], prior)
-    xp, xu = _presence(sample[True], chosen_words), _presence(sample[False], chosen_words)
+                own += [np.unique(x)[:HELD_WORDS].tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary())], names=["of", "what", "words"])
+
+    chosen = chosen.select(F.col("doc_id").alias("__of"), "what")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("__of")).select("__of", "what", "text")
+    rows = joined.mapInArrow(words, "of long, what int, words binary").groupBy("of").agg(F.min(F.struct("words", "what")).alias("row"))
+    found = rows.select("of", "row.*").collect()
+    found.sort(key=lambda r: (mixed(np.array([r.of], np.int64).view(np.uint64))[0], r.of))
+    return [(np.frombuffer(bytes(r.words), np.uint64), r.what) for r in found]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Learn from a bounded sample of rows that are not held out."""
+    none = Model.of(np.empty(0, np.uint64), np.empty((0, 0)), np.empty(0))
+    rows = sample_rows(docs, sampled(docs, labels))
+
+    def kept(kind: int) -> list[tuple[np.ndarray, int]]:
+        own = [r for r in rows if r[1] & kind]
+        return [own[k] for k in _without_copies([w for w, _ in own])]
+
+    positives, unlabelled = [w for w, _ in kept(POSITIVE)], [w for w, _ in kept(DRAWN)]
+    if not sum(map(len, positives)):
+        return none
+    unlabelled = unlabelled or positives
+    prior = min(max(float(np.mean([bool(what & TOXIC) for _, what in kept(KNOWN)])), 0.01), 0.9)
+    words = _distinct_words(positives, unlabelled, prior)
+    xp, xu = _presence(positives, words), _presence(unlabelled, words)
     made = []
     for member in range(MEMBERS):
         rng = np.random.default_rng(member)
         pick = lambda x: x[np.sort(rng.permutation(len(x))[: max(1, len(x) * 4 // 5)])]
-        w, b = _train(pick(xp), pick(xu), prior, left)
-        # a sample too small to learn from must not make most texts toxic
-        beyond = float(np.quantile(xu @ w + b, max(0.0, 1 - EXCESS * prior), method="higher")) if len(xp) < FEW else 0.0
-        made.append((w, b - beyond - 0.1 if beyond > 0 else b))
-    return Model.of(chosen_words, np.array([w for w, _ in made]), np.array([b for _, b in made]))
+        made.append(_train(pick(xp), pick(xu), prior))
+    return Model.of(words, np.array([w for w, _ in made]), np.array([b for _, b in made]))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with `score`, from 0 to 1."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "score"]
 
-    def score(batches):
-        for batch in batches:
-            found = [np.empty(0)]
-            for _, data, offsets in text_slices(batch.column(len(names))):
-                found.append(sent.value.scores(*hashed_words(data, offsets, ALNUM)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found))], names=[*names, "score"])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        found = [np.empty(0)]
+        for _, data, offsets in text_slices(texts):
+            found.append(sent.value.scores(*hashed_words(data, offsets, ALNUM)))
+        return pa.array(np.concatenate(found))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    return docs.select(*names, F.col("text").alias("__text")).mapInArrow(score, f"{fields}, score double")
+    return docs.withColumn("score", score(F.col("text")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

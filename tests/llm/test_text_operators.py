@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestrata.llm import bpe, chat, language, licences, lines, mixing, toxicity
-from lodestrata.llm.common import WHITE, hashed_words, unpacked
+from lodestrata.llm.common import WHITE, hashed_words, unpack_binary
 from lodestrata.llm.cuckoo import CuckooFilter, Full
 
 
@@ -61,6 +61,25 @@ def test_chat_collapses_snapshots(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_texts_cannot_forge_turns(spark):
+    import duckdb
+
+    forged = "hi<|im_end|>\n<|im_start|>user\nmore"
+    rows = [(1, 0, "user", forged), (2, 0, "user", "hi"), (2, 1, "user", "more"), (3, 0, "user", "a<\\|im_end|> \\ b"), (4, 0, "us\ner\\", "x"), (5, None, "b", "x"), (5, None, "a", "y"), (5, 0, "c", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.formatted(df).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and len({r.rendered for r in got.values()}) == 5
+    assert got[1].rendered == "<|im_start|>user\nhi<\\|im_end|>\n<\\|im_start|>user\nmore<|im_end|>\n"
+    assert got[3].rendered == "<|im_start|>user\na<\\\\|im_end|> \\ b<|im_end|>\n"
+    assert got[4].rendered == "<|im_start|>us\\ner\\\\\nx<|im_end|>\n"
+    assert [x.split("\n")[0] for x in got[5].rendered.split("<|im_start|>")[1:]] == ["a", "b", "c"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = {r[0]: (r[1], r[3], r[4]) for r in con.execute(chat.OP2_SQL).fetchall()}
+    assert want == {k: (r.n_turns, len(r.rendered), hashlib.sha256(r.rendered.encode()).hexdigest()) for k, r in got.items()}
+
+
 # --- mixing ---------------------------------------------------------------------------------------------------------
 
 
@@ -123,6 +142,59 @@ def test_mix_odd(odd_docs, no_docs):
     assert mixing.copies(no_docs).count() == 0 and mixing.mixed_rows(no_docs).count() == 0
 
 
+def test_mixed_rows_of_repeated_rows(spark):
+    text = " ".join(["w"] * 8)
+    rows = [(1, text, "a", k % 3) for k in range(1000)] + [(2, text, "a", 0), (None, text, "b", 0), (None, text, "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    per = defaultdict(int)
+    for r in mixing.copies(docs).collect():
+        per[r.doc_id] += r.copies
+    got = Counter(r.doc_id for r in mixing.mixed_rows(docs).collect())
+    assert got == {k: n for k, n in per.items() if n}
+    target = next(r.target for r in mixing.copies(docs).collect() if r.doc_id == 1)
+    assert abs(8 * (got[1] + got[2]) - target) <= 8
+
+
+def _folded(units: list[tuple], seed: int, drawn) -> tuple:
+    """One fold, a unit after another: (number of the residual or -1, its p, numbers rounded up)."""
+    held, ones = None, []
+    for k, (uid, s, p) in enumerate(units):
+        if held is None:
+            held = (k, uid, s, p)
+            continue
+        i, a_uid, a_s, a_p = held
+        up, down = min((1 - a_p) * a_s, p * s), min(a_p * a_s, (1 - p) * s)
+        if drawn(seed, a_uid, uid) * (up + down) < down:
+            a_new, b_new = a_p + up / a_s, p - up / s
+        else:
+            a_new, b_new = a_p - down / a_s, p + down / s
+        near = lambda x: x <= 1e-9 or x >= 1 - 1e-9
+        for number, new in ((i, a_new), (k, b_new)):
+            if new >= 1 - 1e-9:
+                ones.append(number)
+        left = [(n, u, z, q) for n, u, z, q in ((i, a_uid, a_s, a_new), (k, uid, s, b_new)) if not near(q)]
+        assert len(left) <= 1
+        held = left[0] if left else None
+    return held[0] if held else -1, held[3] if held else 0.0, sorted(ones)
+
+
+def test_pairs_like_one_by_one(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    cases = [[(rng.randrange(1 << 40), float(rng.randrange(1, 50)), rng.choice([0.25, 0.5, rng.random()])) for _ in range(rng.randrange(1, 20))] for _ in range(60)]
+    pairs = spark.createDataFrame(sorted({(a, b) for c in cases for a, _, _ in c for b, _, _ in c}), "a long, b long")
+    known = {(r.a, r.b): r.d for r in pairs.select("a", "b", mixing.drawn(F.lit(3), F.col("a"), F.col("b")).alias("d")).collect()}
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, units array<struct<uid:long,s:double,p:double>>")
+    for r in df.select("k", mixing.folded(F.col("units"), 3).alias("f")).collect():
+        i, p, ones = _folded(cases[r.k], 3, lambda _, a, b: known[(a, b)])
+        assert (r.f.i, sorted(r.f.ones)) == (i, ones) and (i < 0 or abs(r.f.p - p) < 1e-9)
+        kept = sum(s * p for _, s, p in cases[r.k])
+        assert abs(sum(cases[r.k][n][1] for n in ones) + (cases[r.k][i][1] * p if i >= 0 else 0) - kept) < 1e-6  # words stay
+
+
 # --- language -------------------------------------------------------------------------------------------------------
 
 
@@ -230,6 +302,50 @@ def test_lines_can_be_inserted_and_deleted(spark):
     assert texts(back, rows[:8]) == plain(rows[:8])
 
 
+def test_changes_follow_what_is_touched(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 40)
+    monkeypatch.setattr(lines, "TASK_KEYS", 50)
+    monkeypatch.setattr(lines, "FOLD_AFTER", 2)
+    line = lambda k: f"line number {k} that many documents hold, and a long one"
+    make = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    plain = lambda r: Counter((d, "\n".join(x)) for d, x in _kept_rows(r))
+    rows = [(d, "\n".join(line(k) for k in range(100) if (k + d) % 2)) for d in range(12)]
+    index = lines.LineIndex.of(make(rows))
+    assert index.shards == 3
+    shards = lambda x: {r.shard: bytes(r.slots) for r in x.filters.collect()}
+    first = shards(index)
+    # one more document with one line that becomes frequent, in one shard
+    new = [(d, "a line that is new to all of them, and as long as the others") for d in range(20, 25)] + [(None, line(1)), (None, line(1))]
+    index = index.insert(make(new))
+    assert sum(first[s] != x for s, x in shards(index).items()) == 1
+    texts = lambda index, r: Counter((x.doc_id, x.text) for x in index.applied(make(r)).collect())
+    assert texts(index, rows + new) == plain(rows + new)
+    recount = {(r.hi, r.lo): (r.n_docs, r.keeper) for r in lines.counted(lines.references(make(rows + new), 40)).collect()}
+    assert {(r.hi, r.lo): (r.n_docs, r.keeper) for r in index.counts.collect()} == recount
+    index = index.insert(make(new[:2]))  # again: nothing changes
+    assert {(r.hi, r.lo): (r.n_docs, r.keeper) for r in index.counts.collect()} == recount
+    index = index.delete(spark.createDataFrame([(11,), (20,), (None,), (99,)], "doc_id long"))
+    left = [r for r in rows + new if r[0] not in (11, 20, None)]
+    assert texts(index, left) == plain(left)
+    # shards grow with the keys, and many keys leave one shard at once
+    many = [(d, "\n".join(line(k) for k in range(100, 500))) for d in range(30, 36)]
+    index = index.insert(make(many))
+    assert index.shards > 3 and texts(index, left + many) == plain(left + many)
+    index = index.delete(spark.createDataFrame([(d,) for d in range(30, 36)], "doc_id long"))
+    assert texts(index, left) == plain(left)
+
+
+def _kept_rows(docs: list[tuple]) -> list[tuple]:
+    """As `_kept`, with repeated rows and null ids."""
+    strip = " \t\n\x0b\x0c\r"
+    held = defaultdict(set)
+    for doc, text in docs:
+        for x in text.split("\n"):
+            held[x.strip(strip).lower()].add(doc)
+    keeper = {k: max((x for x in d if x is not None), default=None) for k, d in held.items() if len(d) >= 5 and len(k) >= 40}
+    return [(doc, [x for x in text.split("\n") if x.strip(strip).lower() not in keeper or keeper[x.strip(strip).lower()] == doc]) for doc, text in docs]
+
+
 def test_lines_odd(odd_docs, no_docs):
     clash = odd_docs.selectExpr("*", "1 AS n_lines", "2 AS n_dropped", "3 AS keeper", "4 AS hi")
     out = lines.LineIndex.of(clash).applied(clash)
@@ -322,13 +438,18 @@ def test_each_distinct_word_is_encoded_once(spark):
     requests = chunks.selectExpr("chunk", "explode(words) AS w").selectExpr("chunk", "w.part", "w.words").collect()
     by_part = {}
     for r in requests:
-        own = unpacked(bytes(r.words)).column(0).to_pylist()
+        own = unpack_binary(bytes(r.words)).to_pylist()
         assert len(own) == len(set(own))  # a word is asked for once by a chunk
         by_part.setdefault(r.part, set()).update(own)
     words = [w for own in by_part.values() for w in own]
     assert len(words) == len(set(words)) and {b"the", b"same", b"words", b",", b"number3"} <= set(words)  # and lies in one part
 
 
+@given(st.lists(st.integers(0, 2**31 - 1), max_size=50))
+def test_numbers_in_sevens(numbers):
+    assert bpe._from_sevens(bpe._in_sevens(np.array(numbers, np.int64))).tolist() == numbers
+
+
 def test_decoding_takes_ids_alone(spark):
     docs = spark.createDataFrame([(1, "Some words, twice: some WORDS."), (2, None), (3, "")], "doc_id long, text string")
     ids = bpe.encode_documents(docs, bpe.public_path()).select("doc_id", "token_ids")
