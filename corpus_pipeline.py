@@ -26,15 +26,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked ones: of the least doc_id, nulls last, and of rows repeated with it any one."""
+    """One row of each group of linked ones: of the least doc_id, nulls last, and of rows repeated with it the least one."""
     linked = jaccard.linked_rows(docs.select("doc_id", "text"), COPY_WORDS, COPY_PERCENT)
-    gone = linked.filter(F.col("node") != F.col("first")).select("node").distinct()
-    repeated = cut(linked.filter(F.col("node") == F.col("first")).groupBy("node").count().filter("count > 1").select("node"))
-    rows = docs.select(*COLUMNS).withColumn("node", F.xxhash64("doc_id", "text"))
-    if not repeated.count():
-        return rows.join(gone, "node", "left_anti").select(*COLUMNS)
-    one = rows.join(repeated, "node").groupBy("node").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
-    return rows.join(gone.unionByName(repeated), "node", "left_anti").select(*COLUMNS).unionByName(one)
+    linked = cut(linked.select("uid", "first").filter("first IS NOT NULL").groupBy("uid", "first").count())
+    gone = linked.filter("uid <> first").select("uid")
+    repeated = linked.filter("uid = first AND count > 1").select("uid")
+    rows = docs.select(*COLUMNS).withColumn("uid", F.xxhash64("doc_id", "text"))
+    once = rows.join(gone.unionByName(repeated), "uid", "left_anti").select(*COLUMNS)
+    if not repeated.limit(1).count():
+        return once
+    return once.unionByName(rows.join(repeated, "uid").groupBy("uid").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
