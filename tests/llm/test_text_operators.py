@@ -462,3 +462,33 @@ def test_encoding_odd(odd_docs, no_docs):
     assert out.count() == odd_docs.count() and "token_ids" in out.columns
     assert bpe.digests(no_docs, bpe.public_path()).count() == 0
     assert bpe.digests(odd_docs.select("text"), bpe.public_path()).count() == odd_docs.count()
+
+
+# --- licences, odd input --------------------------------------------------------------------------------------------
+
+
+def test_licences_over_paragraphs_and_of_one_family(spark):
+    full = licences.TEMPLATES["MIT"][3]
+    at = [full.index(x) for x in ("The above copyright", "THE SOFTWARE IS PROVIDED")]
+    mit = "\n\n".join(full[a:b].strip() for a, b in zip([0, *at], [*at, None], strict=True))
+    bsd = licences.TEMPLATES["BSD-3-Clause"][1].replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ").replace(" THIS SOFTWARE", "\n\nTHIS SOFTWARE")
+    gpl = {name: licences.TEMPLATES[name][-1] for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0")}
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + mit), (2, "Copyright 2021, Jane Roe\n\n" + bsd)] + [(10 + k, f"words before it. {t} And words after it.") for k, t in enumerate(gpl.values())]
+    got: dict = {}
+    for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, {})[r.licence] = r.score
+    assert got[1]["MIT"] == 1.0 and set(got[1]) == {"MIT"}
+    assert "BSD-3-Clause" in got[2]
+    assert [set(got[10 + k]) for k in range(5)] == [{name} for name in gpl]
+
+
+def test_licences_odd(spark, odd_docs, no_docs):
+    assert licences.scanned(odd_docs).count() == 0 and licences.scanned(no_docs).count() == 0
+    notice = "Released under the MIT License."
+    rows = [(None, notice), (None, notice), (1, notice), (1, notice), (2, "x " * 400_000 + notice)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' AS licence", "1 AS score", "2 AS gram", "3 AS row")
+    got = {r.doc_id: (r.licence, r.score, r.n_matches) for r in licences.scanned(df).collect()}
+    assert got == {None: ("MIT", 1.0, 2), 1: ("MIT", 1.0, 2), 2: ("MIT", 1.0, 1)}
+    many = {f"L{k}": [f"number {k} of many made up licences w{k}"] for k in range(300)}
+    found = licences.scanned(spark.createDataFrame([(1, "prose\nnumber 7 of many made up licences w7")], "doc_id long, text string"), many)
+    assert {(r.licence, r.score) for r in found.collect()} >= {("L7", 1.0)}
