@@ -27,6 +27,42 @@ def big_endian(number: Column, size: int) -> Column:
     return F.unhex(F.right(F.lpad(F.hex(number), 16, "0"), F.lit(2 * size)))
 
 
+def little_endian(number: Column, size: int) -> Column:
+    """The low `size` bytes of a whole number, least significant first."""
+    digits = F.lpad(F.hex(number), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 15 - 2 * k, 2) for k in range(size))))
+
+
+def framed(ts_ns: Column, data: Column) -> Column:
+    """A frame of a log: mark, time, size, the bytes, and a checksum of all that."""
+    head = F.concat(F.unhex(F.lit("CAFEBABE")), big_endian(ts_ns, 8), big_endian(F.length(data), 4), data)
+    return F.concat(head, big_endian(F.crc32(head), 4))
+
+
+def kv_record(op: Column, raft_index: Column, key: Column, value: Column) -> Column:
+    """A keyed store's record: 1 sets, 2 deletes, 3 marks how far the store has applied."""
+    short = lambda text: F.concat(little_endian(F.octet_length(text), 2), F.encode(text, "UTF-8"))
+    kind = F.when(op == "set", F.unhex(F.lit("01"))).when(op == "del", F.unhex(F.lit("02"))).otherwise(F.unhex(F.lit("03")))
+    return F.concat(kind, little_endian(raft_index, 8), short(key), F.when(op == "set", short(F.coalesce(value, F.lit("")))).otherwise(F.unhex(F.lit(""))))
+
+
+def log_record(rec_type: Column, index: Column, term: Column, entry_type: Column, data: Column, from_index: Column, version: Column) -> Column:
+    """A replicated log's record: an entry in one of three layouts, or a marker that cuts the log off."""
+    kind = F.when(version > 1, F.unhex(F.lpad(F.hex(entry_type), 2, "0"))).otherwise(F.unhex(F.lit("")))
+    mark = F.when(version == 3, F.unhex(F.lit("FFC0"))).otherwise(F.unhex(F.lit("")))
+    entry = F.concat(F.unhex(F.lit("01")), mark, little_endian(index, 8), little_endian(term, 8), kind, little_endian(F.length(data), 4), data)
+    return F.when(rec_type == 2, F.concat(F.unhex(F.lit("02")), little_endian(from_index, 8))).otherwise(entry)
+
+
+def meta_record(term: Column, voted_for: Column) -> Column:
+    """A node's term and vote in a record of one size."""
+    vote = F.encode(voted_for, "UTF-8")
+    fits = F.when(F.length(vote) > 255, F.raise_error(F.lit("a vote's name is longer than 255 bytes")).cast("binary")).otherwise(vote)
+    padded = F.unhex(F.rpad(F.hex(fits), 510, "0"))
+    body = F.concat(F.unhex(F.lit("01")), little_endian(term, 8), F.unhex(F.lpad(F.hex(F.length(vote)), 2, "0")), padded)
+    return F.concat(body, little_endian(F.crc32(body), 4))
+
+
 def prefixed(text: Column) -> Column:
     """A two-byte length and the UTF-8 bytes; strings of 65,536 bytes or more are refused, not wrapped."""
     data = F.encode(text, "UTF-8")

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _logs(by: tuple) -> list[str]:
+    if not by:
+        raise ValueError("name the columns that tell logs apart: a log goes through one task, and all logs as one would, too")
+    return list(by)
+
+
 def truncated(records: DataFrame, *by: str) -> DataFrame:
     """The entries that no later marker cuts off.
 
@@ -15,7 +21,7 @@ def truncated(records: DataFrame, *by: str) -> DataFrame:
     least from_index that was met so far is not above its own index; that is a
     running minimum in each log (`by`), not a join of all pairs.
     """
-    later = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*_logs(by)).orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
     marked = records.withColumn("__cut", F.min(F.when(F.col("rec_type") == 2, F.col("from_index"))).over(later))
     return marked.filter((F.col("rec_type") == 1) & (F.col("__cut").isNull() | (F.col("__cut") > F.col("index")))).drop("__cut")
 
@@ -47,7 +53,7 @@ def merged(follower: DataFrame, leader: DataFrame, by: str) -> DataFrame:
 
 def run_starts(entries: DataFrame, *by: str) -> DataFrame:
     """Each entry with the first index of its run of one term."""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("index")
+    order = Window.partitionBy(*_logs(by)).orderBy("index")
     starts = F.when(F.lag("term").over(order).isNull() | (F.lag("term").over(order) != F.col("term")), F.col("index"))
     return entries.withColumn("__start", starts).withColumn("run_start", F.last("__start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("__start")
 
@@ -102,12 +108,16 @@ def commit_limit(matches: Column, new_matches: Column, last: Column, joint: Colu
 def committed(states: DataFrame, entries: DataFrame, by: str) -> DataFrame:
     """Each state's commit index: the highest entry of the current term within the majority's limit.
 
-    Entries of earlier terms commit only along with one of the current term.
+    Entries of earlier terms commit only along with one of the current term. A
+    term's entries follow each other without gaps, so its first and last index
+    say which of them is the highest within the limit: entries are summed up
+    once, and states meet a row for each term.
     """
     limited = states.withColumn("__limit", commit_limit(F.col("matches"), F.col("new_matches"), F.col("last_index"), F.col("joint")))
-    log = entries.select(F.col(by).alias("__by"), "index", "term")
-    found = limited.join(log, (F.col(by) == F.col("__by")) & (F.col("term") == F.col("current_term")) & (F.col("index") > F.col("commit_index")) & (F.col("index") <= F.col("__limit")), "left")
-    return found.groupBy(by).agg(F.coalesce(F.max("index"), F.first("commit_index")).alias("commit_index"))
+    terms = entries.groupBy(F.col(by).alias("__by"), F.col("term").alias("__term")).agg(F.min("index").alias("__first"), F.max("index").alias("__last"))
+    found = limited.join(terms, (F.col(by) == F.col("__by")) & (F.col("current_term") == F.col("__term")), "left")
+    highest = F.when(F.col("__limit") >= F.col("__first"), F.least("__limit", "__last"))
+    return found.select(by, F.greatest(F.col("commit_index"), F.coalesce(highest, F.col("commit_index"))).alias("commit_index"))
 
 
 def all_peers(voters: Column, new_voters: Column) -> Column:
@@ -139,11 +149,19 @@ def after_snapshot(entries: DataFrame, snapshot: DataFrame, snapshot_index: int)
     return rows.unionByName(after(entries, snapshot_index).select("index", "op", "key", "value"))
 
 
-def reassembled(chunks: DataFrame, by: str) -> DataFrame:
-    """(by, size, data): chunks (offset, data as bytes) of one transfer put together in order, each offset once.
+def reassembled(chunks: DataFrame, by: str, received: str | None = None) -> DataFrame:
+    """(by, size, data): chunks (offset, data as bytes) of one transfer put together in order of offset.
 
-    A transfer is a snapshot file and becomes one row.
+    With `received`, a column that grows with the time of arrival: a chunk of
+    offset 0 starts the transfer anew, so what came before the last such chunk is
+    dropped, and of chunks of one offset the last counts. Without it the greatest
+    data of an offset counts. A transfer is a snapshot file and becomes one row.
     """
-    parts = F.array_sort(F.collect_set(F.struct("offset", F.hex("data").alias("hex"))))
-    whole = F.unhex(F.array_join(F.col("parts.hex"), ""))
-    return chunks.groupBy(by).agg(parts.alias("parts")).select(by, F.length(whole).alias("size"), whole.alias("data"))
+    if received:
+        start = chunks.filter("offset = 0").groupBy(F.col(by).alias("__of")).agg(F.max(received).alias("__start"))
+        chunks = chunks.join(start, F.col(by) == F.col("__of"), "left").filter(F.col("__start").isNull() | (F.col(received) >= F.col("__start")))
+    once = chunks.groupBy(by, "offset").agg((F.max_by("data", received) if received else F.max("data")).alias("data"))
+    # bytes as characters of one byte each
+    parts = F.array_sort(F.collect_list(F.struct("offset", F.decode("data", "ISO-8859-1").alias("part"))))
+    whole = F.encode(F.array_join(F.col("parts.part"), ""), "ISO-8859-1")
+    return once.groupBy(by).agg(parts.alias("parts")).select(by, whole.alias("data")).select(by, F.length("data").alias("size"), "data")

@@ -40,27 +40,35 @@ def intervals(ring: DataFrame) -> DataFrame:
 
 
 def route(keys: DataFrame, ring: DataFrame, key: str = "source") -> DataFrame:
-    """keys with key_hash and node_id.
+    """keys with key_hash and node_id, both null for a null key, node_id null on an empty ring.
 
-    Each distinct key is hashed once. Intervals are spread over the cells that
-    they touch, so that keys meet them by an equality of cells.
+    Keys are hashed where they are scanned. Intervals are spread over the cells
+    of the hash space that they touch, so that keys meet them by an equality of
+    cells; a ring of up to POINTS goes to every task, and keys stay where they
+    are. For larger ones the distinct keys are shuffled.
     """
     cells = intervals(ring).withColumn("cell", F.explode(F.sequence(F.shiftright(F.col("low") + 1, CELL), F.shiftright("high", CELL))))
-    few = ring.limit(POINTS + 1).count() <= POINTS
-    hashed = keys.select(key).distinct().withColumn("key_hash", fnv1a(F.col(key))).withColumn("cell", F.shiftright("key_hash", CELL))
     inside = (F.col("key_hash") > F.col("low")) & (F.col("key_hash") <= F.col("high"))
-    owned = hashed.join(F.broadcast(cells) if few else cells, "cell").filter(inside).select(key, "key_hash", "node_id")
-    return keys.join(owned, key)
+
+    def owned(rows: DataFrame, places: DataFrame) -> DataFrame:
+        hashed = rows.withColumn("key_hash", fnv1a(F.col(key))).withColumn("__cell", F.shiftright("key_hash", CELL))
+        met = hashed.join(places, (F.col("__cell") == F.col("cell")) & inside, "left")
+        return met.select(*(c for c in rows.columns if c not in ("key_hash", "node_id")), "key_hash", "node_id")
+
+    if ring.limit(POINTS + 1).count() <= POINTS:
+        return owned(keys, F.broadcast(cells))
+    by_key = owned(keys.select(key).filter(F.col(key).isNotNull()).distinct(), cells).withColumnRenamed(key, "__key")
+    return keys.join(by_key, F.col(key) == F.col("__key"), "left").drop("__key")
 
 
 def load(keys: DataFrame, ring: DataFrame, key: str = "source") -> DataFrame:
-    return route(keys.select(key).distinct(), ring, key).groupBy("node_id").agg(F.count("*").alias("keys"))
+    return route(keys.select(key).distinct(), ring, key).filter(F.col("node_id").isNotNull()).groupBy("node_id").agg(F.count("*").alias("keys"))
 
 
 def decisions(routed: DataFrame, nodes: DataFrame, own: str) -> DataFrame:
-    """routed with where each write goes: local, forward, or 503 where the owner is unhealthy; never another node."""
+    """routed with where each write goes: local, forward, 503 where the owner is unhealthy (never another node), not_found without an owner."""
     known = nodes.select("node_id", "healthy", "addr")
-    place = F.when(F.col("node_id") == own, "local").when(F.col("healthy"), "forward").otherwise("unavailable")
+    place = F.when(F.col("node_id").isNull(), "not_found").when(F.col("node_id") == own, "local").when(F.col("healthy"), "forward").otherwise("unavailable")
     return routed.join(F.broadcast(known) if nodes.limit(POINTS + 1).count() <= POINTS else known, "node_id", "left").withColumn("route", place)
 
 

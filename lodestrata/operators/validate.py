@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.schema import APPLIED_KEY
 
@@ -37,6 +38,41 @@ def parsed(raw: Column, fields: tuple[str, ...]) -> Column:
     return F.when(raw.rlike(r"^\s*null\b"), empty).when(raw.rlike(_FLAT) & pairs.isNotNull() & known, F.struct(*own))
 
 
+def command_object(raw: Column) -> Column:
+    """struct(op, key, value) of a JSON command, or null where it is malformed."""
+    fields = ("op", "key", "value")
+    alone = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))  # in brackets, so that text after the object shows
+    part = lambda path: F.try_variant_get(alone, path, "variant")
+    kind = F.when(part("$[1]").isNull(), F.schema_of_variant(part("$[0]")))
+    kind_of = lambda f: F.schema_of_variant(part(f"$[0].{f}"))
+    pairs = F.transform(F.map_entries(F.from_json(raw, "map<string,string>")), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
+
+    def last(field: str) -> Column:
+        held = F.filter(pairs, lambda e: (e["k"] == field) & e["v"].isNotNull())
+        return F.coalesce(F.try_element_at(held, F.lit(-1))["v"], F.lit("")).alias(field)
+
+    sound = kind.startswith("OBJECT")
+    for f in fields:
+        sound &= F.coalesce(kind_of(f).isin("STRING", "VOID"), F.lit(True))
+    return F.when(kind == "VOID", F.struct(*(F.lit("").alias(f) for f in fields))).when(sound, F.struct(*map(last, fields)))
+
+
+def outcomes(rows: DataFrame, durable: Column, queued: Column) -> DataFrame:
+    """rows with the outcome of each accepted event, its status, and whether reads see it.
+
+    An event is made durable first and queued then; one that finds the queue
+    full is refused, but what is durable stays visible.
+    """
+    outcome = F.when(~durable, "wal_error").when(~queued, "overloaded").otherwise("ok")
+    return rows.withColumns({"outcome": outcome, "status": F.when(~durable, 500).when(~queued, 429).otherwise(202), "visible": durable})
+
+
+def queued(rows: DataFrame, interval: str, order: str, capacity: int) -> DataFrame:
+    """rows with whether each found room in a queue that takes `capacity` events an interval, first come first served."""
+    place = F.row_number().over(Window.partitionBy(interval).orderBy(order))
+    return rows.withColumn("queued", place <= capacity)
+
+
 def event_status(source: Column, payload: Column, object_ok: Column) -> Column:
     """400 where the object isn't a strict one, 422 where a field is empty, else 202."""
     return F.when(~object_ok, 400).when((source == "") | (payload == ""), 422).otherwise(202)

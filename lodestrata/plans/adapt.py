@@ -2,6 +2,10 @@
 
 An event is a log record: its id is the offset, its user the key, its properties
 the payload, its value a latency. Errors delete, other types set.
+
+Some of these tables take part of the events on purpose: they stand for what a
+service would hold (a follower that lags, a leader whose log was compacted, marks
+that only some records leave). The operators run over all of what they are given.
 """
 
 from __future__ import annotations
@@ -24,6 +28,26 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select((F.col("event_id") + 1).alias("index"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
 
 
+def spelt_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(index, data): commands as JSON in eight spellings; 4 to 6 are malformed."""
+    key, value = F.col("user_id").cast("string"), F.regexp_replace("props", '"', "'")
+    kind = F.col("event_id") % 8
+    made = lambda op, k, v, more="": F.concat(F.lit('{"op":"' + op + '","key":'), k, v, F.lit(more + "}"))
+    text = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    valued = F.concat(F.lit(',"value":'), text(value))
+    data = (
+        F.when(kind == 1, made("del", text(key), F.lit("")))
+        .when(kind == 2, made("incr", text(key), valued))
+        .when(kind == 3, made("set", text(key), valued, ',"by":{"op":1}'))
+        .when(kind == 4, F.concat(F.lit('{"op":"set","key":'), text(key)))
+        .when(kind == 5, made("set", key, valued))
+        .when(kind == 6, F.concat(made("set", text(key), valued), F.lit(" and more")))
+        .when(kind == 7, made("set", text(key), F.lit(',"value":null')))
+        .otherwise(made("set", text(key), valued))
+    )
+    return events(spark, sf_dir).select((F.col("event_id") + 1).alias("index"), data.alias("data"))
+
+
 def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(phase, us, seconds, status): an event's value as a request's milliseconds, its type as the answer."""
     status = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 3 == 0, 503).when(F.col("event_id") % 3 == 1, 429).otherwise(0)).otherwise(202)

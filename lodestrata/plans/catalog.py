@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata import storage
 from lodestrata.functions import binary, text
 from lodestrata.operators import changes, kv, metrics, raftlog, ring, validate
 from lodestrata.plans import adapt
-from lodestrata.sources import files
+from lodestrata.sources import eventlog, files
 from lodestrata.sources import frames as fr
 from lodestrata.streaming import queries as streams
 
@@ -113,6 +113,7 @@ def fold_as_of(spark, d):
 
 @query("last_applied", "SELECT arg_max(event_id + 1, event_id) AS last_applied FROM events WHERE event_type = 'view'")
 def last_applied(spark, d):
+    # views stand for the checkpoint marks among a store's records
     rows = adapt.events(spark, d).filter("event_type = 'view'")
     return kv.last_applied(rows.select((F.col("event_id") + 1).alias("raft_index"), F.col("event_id").alias("offset")))
 
@@ -143,6 +144,54 @@ def user_keys(spark, d):
     return validate.user_keys(adapt.commands(spark, d).select(key.alias("key"))).groupBy("key").agg(F.count("*").alias("n"))
 
 
+_FOLDED = "SELECT key, value, idx AS log_index FROM commands QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'"
+
+
+@query("kv_find", f"WITH {COMMANDS}, f AS ({_FOLDED}), wanted(key) AS (VALUES ('3'), ('8'), ('21'), ('none')) SELECT w.key AS wanted, f.value, f.log_index FROM wanted w JOIN f ON f.key = w.key")
+def kv_find(spark, d):
+    found = [_renamed(kv.find(adapt.commands(spark, d), k), index="log_index", key="wanted") for k in ("3", "8", "21", "none")]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+#: Commands as JSON in eight spellings; 4 to 6 are malformed, 2 and 7 sound but odd.
+SPELT = """spelt AS (SELECT event_id + 1 AS idx, event_id % 8 AS kind, CAST(user_id AS VARCHAR) AS key, replace(props, '"', chr(39)) AS value FROM events),
+decoded AS (SELECT idx, kind NOT IN (4, 5, 6) AS well_formed, CASE WHEN kind IN (4, 5, 6) THEN NULL WHEN kind = 1 THEN 'del' WHEN kind = 2 THEN 'incr' ELSE 'set' END AS op,
+  CASE WHEN kind IN (4, 5, 6) THEN NULL ELSE key END AS key, CASE WHEN kind IN (4, 5, 6) THEN NULL WHEN kind IN (1, 7) THEN '' ELSE value END AS value FROM spelt)"""
+
+
+@query("command_decode", f"WITH {SPELT} SELECT idx AS log_index, op, key, value, well_formed, CASE WHEN NOT well_formed THEN 'skipped' WHEN op = 'incr' THEN 'none' ELSE op END AS effect FROM decoded")
+def command_decode(spark, d):
+    return _renamed(kv.applied(adapt.spelt_commands(spark, d)).select("index", "op", "key", "value", "well_formed", "effect"), index="log_index")
+
+
+@query("command_apply", f"WITH {SPELT} SELECT key, value, idx AS log_index FROM decoded WHERE op IN ('set', 'del') QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'")
+def command_apply(spark, d):
+    return _renamed(kv.fold(kv.decoded(adapt.spelt_commands(spark, d)).filter("well_formed")), index="log_index")
+
+
+@query("command_applied_upto", f"WITH {SPELT} SELECT coalesce(max(idx), 0) AS last_applied FROM decoded WHERE well_formed")
+def command_applied_upto(spark, d):
+    return kv.applied_upto(adapt.spelt_commands(spark, d))
+
+
+@query("admission_with_deletes", """WITH RECURSIVE c AS (SELECT event_id // 100 AS log, event_id % 100 AS idx, CASE WHEN event_type IN ('error', 'purchase') THEN 'del' ELSE 'set' END AS op, CAST(user_id % 12 AS VARCHAR) AS key FROM events),
+steps AS (
+  SELECT DISTINCT log, -1::BIGINT AS idx, NULL::VARCHAR AS op, NULL::VARCHAR AS key, true AS admitted, []::VARCHAR[] AS live FROM c
+  UNION ALL
+  SELECT c.log, c.idx, c.op, c.key, c.op = 'del' OR list_contains(s.live, c.key) OR len(s.live) < 5,
+         CASE WHEN c.op = 'del' THEN list_filter(s.live, lambda x: x <> c.key) WHEN list_contains(s.live, c.key) OR len(s.live) >= 5 THEN s.live ELSE list_append(s.live, c.key) END
+  FROM steps s JOIN c ON c.log = s.log AND c.idx = s.idx + 1)
+SELECT log, idx AS log_index, op, key, admitted FROM steps WHERE idx >= 0""")
+def admission_with_deletes(spark, d):
+    e = adapt.events(spark, d)
+    op = F.when(F.col("event_type").isin("error", "purchase"), "del").otherwise("set")
+    rows = e.select(F.expr("event_id div 100").alias("log"), (F.col("event_id") % 100).alias("index"), op.alias("op"), (F.col("user_id") % 12).cast("string").alias("key"))
+    return _renamed(kv.admitted_with_deletes(rows, 5, "log"), index="log_index")
+
+
 # --- codecs and text ------------------------------------------------------------------------------------------------
 
 
@@ -217,6 +266,21 @@ def magic_check(spark, d):
     return adapt.events(spark, d).select(validate.magic_ok(magic).alias("sound")).groupBy("sound").agg(F.count("*").alias("n"))
 
 
+@query("ingest_outcomes", """WITH t AS (SELECT *, event_id % 13 <> 0 AS durable, sum(CASE WHEN event_id % 13 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY event_id // 50 ORDER BY event_id) AS place FROM events)
+SELECT event_id, CASE WHEN NOT durable THEN 'wal_error' WHEN place > 40 THEN 'overloaded' ELSE 'ok' END AS outcome, CASE WHEN NOT durable THEN 500 WHEN place > 40 THEN 429 ELSE 202 END AS status, durable AS visible FROM t""")
+def ingest_outcomes(spark, d):
+    rows = adapt.events(spark, d).select("event_id", F.expr("event_id div 50").alias("interval"), (F.col("event_id") % 13 != 0).alias("durable"))
+    shed = validate.queued(rows.filter("durable"), "interval", "event_id", 40).unionByName(rows.filter("NOT durable").withColumn("queued", F.lit(False)))
+    return validate.outcomes(shed, F.col("durable"), F.col("queued")).select("event_id", "outcome", "status", "visible")
+
+
+@query("ingest_visible", """WITH t AS (SELECT * FROM events WHERE event_id % 13 <> 0) SELECT CAST(user_id AS VARCHAR) AS source, max(event_id) AS log_offset, arg_max(props, event_id) AS payload FROM t GROUP BY user_id""")
+def ingest_visible(spark, d):
+    rows = adapt.log(spark, d).withColumns({"durable": F.col("offset") % 13 != 0, "queued": F.col("offset") % 7 != 0})
+    seen = validate.outcomes(rows, F.col("durable"), F.col("queued")).filter("visible")
+    return _renamed(kv.latest(seen, values=("payload",)), offset="log_offset")
+
+
 # --- routing --------------------------------------------------------------------------------------------------------
 
 
@@ -271,6 +335,22 @@ def route_read(spark, d):
     return out.select("source", F.when(down, 503).when(F.col("offset").isNull(), 404).otherwise(200).alias("status"), F.when(~down, F.col("payload")).alias("payload"))
 
 
+@query("route_not_found", f"""WITH {LOG}, {NODES}, {RING} SELECT l."offset" AS event_id, CASE WHEN l."offset" % 3 > 0 THEN o.node_id END AS node_id,
+  CASE WHEN l."offset" % 3 = 0 THEN 'not_found' WHEN o.node_id = 'node-0' THEN 'local' WHEN n.healthy THEN 'forward' ELSE 'unavailable' END AS route
+FROM log l JOIN owners o ON o.source = l.source JOIN nodes n ON n.node_id = o.node_id""")
+def route_not_found(spark, d):
+    nodes = adapt.nodes(spark, d)
+    keyed = adapt.log(spark, d).withColumn("source", F.when(F.col("offset") % 3 > 0, F.col("source")))  # null keys have no owner
+    return ring.decisions(ring.route(keyed, ring.points(nodes)), nodes, "node-0").select(F.col("offset").alias("event_id"), "node_id", "route")
+
+
+@query("route_empty_ring", "SELECT CAST(n_nationkey AS VARCHAR) AS source, NULL::VARCHAR AS node_id, 'not_found' AS route FROM nation")
+def route_empty_ring(spark, d):
+    nodes = adapt.nodes(spark, d).limit(0)
+    keys = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("string").alias("source"))
+    return ring.decisions(ring.route(keys, ring.points(nodes)), nodes, "node-0").select("source", "node_id", "route")
+
+
 @query("leader_redirect", "SELECT e.event_id, CASE WHEN n.n_nationkey IS NULL THEN 503 ELSE 307 END AS status, 'http://host-' || n.n_nationkey AS url FROM events e LEFT JOIN nation n ON n.n_nationkey = e.event_id % 30")
 def leader_redirect(spark, d):
     asked = adapt.events(spark, d).select("event_id", F.concat(F.lit("node-"), (F.col("event_id") % 30).cast("string")).alias("leader_id"))
@@ -324,12 +404,30 @@ def load_summary(spark, d):
     return metrics.load_summary(adapt.latencies(spark, d), F.lit(15.0), "phase")
 
 
-@query("load_report", f"""WITH {LATENCIES}, s AS (SELECT phase, {_SUMMARY}, sum(us) // count(*) AS mean_us FROM lat GROUP BY phase)
-SELECT phase, printf('%s | %.1f RPS | mean %s | %.2f%% errors', phase, rps, CASE WHEN mean_us >= 1000 THEN printf('%.2fms', mean_us / 1000.0) ELSE mean_us || 'µs' END, error_rate * 100) AS line FROM s""")
+_PCT = "CASE WHEN min(bucket) FILTER (cum >= greatest(floor(total * {0} / 100), 1)) = 0 THEN 1 ELSE pow(2, min(bucket) FILTER (cum >= greatest(floor(total * {0} / 100), 1))) END::BIGINT"
+_SHOWN = "CASE WHEN {0} >= 1000 THEN printf('%.2fms', {0} / 1000.0) ELSE {0} || 'µs' END"
+PHASES = f"""{LATENCIES}, h AS (SELECT phase, {_BUCKET} AS bucket, count(*) AS cnt FROM lat GROUP BY ALL),
+r AS (SELECT phase, bucket, sum(cnt) OVER (PARTITION BY phase ORDER BY bucket) AS cum, sum(cnt) OVER (PARTITION BY phase) AS total FROM h),
+pc AS (SELECT phase, {_PCT.format(50)} AS p50, {_PCT.format(95)} AS p95, {_PCT.format(99)} AS p99 FROM r GROUP BY phase),
+s AS (SELECT phase, {_SUMMARY}, sum(us) // count(*) AS mean_us FROM lat GROUP BY phase),
+ph AS (SELECT s.*, pc.p50, pc.p95, pc.p99 FROM s JOIN pc ON pc.phase = s.phase)"""
+
+
+@query("load_report", f"""WITH {PHASES}, l AS (SELECT phase, [phase, '  requests: ' || total, printf('  rps: %.1f', rps), '  successes: ' || successes, printf('  failures: %d (%.2f%%)', failures, error_rate * 100),
+  '  503: ' || errors_503, '  429: ' || errors_429, '  network: ' || network_errors, '  mean: ' || {_SHOWN.format('mean_us')}, '  p50: ' || {_SHOWN.format('p50')}, '  p95: ' || {_SHOWN.format('p95')}, '  p99: ' || {_SHOWN.format('p99')}] AS t FROM ph)
+SELECT phase, (generate_subscripts(t, 1) - 1)::INTEGER AS line, unnest(t) AS text FROM l""")
 def load_report(spark, d):
-    rows = adapt.latencies(spark, d)
-    means = rows.groupBy("phase").agg(F.expr("sum(us) div count(*)").alias("mean_us"))
-    return metrics.report_lines(metrics.load_summary(rows, F.lit(15.0), "phase").join(means, "phase"), "phase")
+    return metrics.phase_report(metrics.phase_summaries(adapt.latencies(spark, d), F.lit(15.0), "phase"), "phase")
+
+
+@query("load_comparison", f"""WITH {PHASES} SELECT phase, printf('%-28s | %12.1f | %-8s | %-8s | %-8s | %-8s | %.2f%%', phase, rps, {_SHOWN.format('mean_us')}, {_SHOWN.format('p50')}, {_SHOWN.format('p95')}, {_SHOWN.format('p99')}, error_rate * 100) AS text FROM ph""")
+def load_comparison(spark, d):
+    return metrics.comparison(metrics.phase_summaries(adapt.latencies(spark, d), F.lit(15.0), "phase"), "phase")
+
+
+@query("percentiles_of_nothing", "SELECT unnest([50.0, 99.0])::DOUBLE AS pct, 0::BIGINT AS us")
+def percentiles_of_nothing(spark, d):
+    return metrics.log2_percentiles(metrics.log2_histogram(adapt.latencies(spark, d).limit(0), "us"), (50.0, 99.0))
 
 
 @query("latest_gauge", "SELECT arg_max(value, event_id) AS value FROM events")
@@ -337,9 +435,12 @@ def latest_gauge(spark, d):
     return metrics.latest_value(adapt.events(spark, d), "value", "event_id")
 
 
-@query("stats_json", "SELECT '{\"processed\":' || count(*) || ',\"keys\":' || count(DISTINCT user_id) || '}' AS stats FROM events")
-def stats_json(spark, d):
-    return metrics.stats_json(adapt.events(spark, d).agg(F.count("*").alias("processed"), F.count_distinct("user_id").alias("keys")))
+@query("engine_stats", """SELECT '{"processed_total":' || count(*) FILTER (event_type <> 'error') || ',"queue_depth":' || count(*) FILTER (event_type = 'error')
+  || CASE WHEN max(event_id * 40) > max(event_id * 39 + user_id) THEN ',"replication_lag_bytes":' || (max(event_id * 40) - max(event_id * 39 + user_id)) ELSE '' END || '}' AS stats FROM events""")
+def engine_stats(spark, d):
+    rows = adapt.events(spark, d)
+    progress = rows.select((F.col("event_id") * 40).alias("primary_offset"), (F.col("event_id") * 39 + F.col("user_id")).alias("replica_offset"), F.lit(False).alias("reconnected"))
+    return metrics.engine_stats(rows, F.col("event_type") != "error", progress)
 
 
 @query("exposition", f"WITH {LATENCIES} SELECT 'requests_total{{status=\"' || status || '\"}} ' || count(*) AS line FROM lat GROUP BY status")
@@ -347,6 +448,16 @@ def exposition(spark, d):
     return metrics.exposition(metrics.counters(adapt.latencies(spark, d), "status", F.col("us")).withColumn("status", F.col("status").cast("string")), "requests_total", "status", "n")
 
 
+@query("exposition_histogram", f"""WITH {LATENCIES}, b(le) AS (VALUES {_LE}, (NULL)), c AS (SELECT phase, le, (count(*) FILTER (le IS NULL OR seconds <= le)) AS n FROM lat, b GROUP BY phase, le)
+SELECT phase, 'latency_seconds_bucket{{phase="' || phase || '",le="' || coalesce(le::VARCHAR, '+Inf') || '"}} ' || n AS line FROM c
+UNION ALL SELECT phase, 'latency_seconds_count{{phase="' || phase || '"}} ' || n FROM c WHERE le IS NULL
+UNION ALL SELECT phase, 'latency_seconds_sum{{phase="' || phase || '"}} ' || sum(us)::BIGINT FROM lat GROUP BY phase""")
+def exposition_histogram(spark, d):
+    rows = adapt.latencies(spark, d)
+    sums = rows.groupBy("phase").agg(F.sum("us").alias("sum"))  # whole microseconds: a sum of doubles depends on its order
+    return metrics.exposition_histogram(metrics.cumulative(rows, "phase", F.col("seconds")), sums, "latency_seconds", "phase").select("phase", "line")
+
+
 @query("replication_lag", "SELECT user_id, greatest(max(event_id * 40) - max(event_id * 39 + user_id), 0) AS lag_bytes, count(*) FILTER (event_type = 'error') AS reconnects FROM events GROUP BY user_id")
 def replication_lag(spark, d):
     e = F.col("event_id")
@@ -362,6 +473,24 @@ def snapshot_sizes(spark, d):
     return metrics.cumulative(adapt.snapshots(spark, d), "status", F.col("size"), metrics.SIZE_BOUNDS)
 
 
+_OK = "status = 'ok'"
+_BOUNDED = " UNION ALL ".join(
+    [f"SELECT 'size_bytes_bucket', NULL, {b!r}::DOUBLE, count(*) FILTER ({_OK} AND size <= {b!r}) FROM snaps" for b in metrics.SIZE_BOUNDS]
+    + [f"SELECT 'duration_seconds_bucket', NULL, {b!r}::DOUBLE, count(*) FILTER ({_OK} AND seconds <= {b!r}) FROM snaps" for b in metrics.LATENCY_BOUNDS]
+    + [f"SELECT '{n}_bucket', NULL, 'inf'::DOUBLE, count(*) FILTER ({_OK}) FROM snaps" for n in ("size_bytes", "duration_seconds")]
+    + [f"SELECT '{n}_count', NULL, NULL, count(*) FILTER ({_OK}) FROM snaps" for n in ("size_bytes", "duration_seconds")]
+    + [f"SELECT 'size_bytes_sum', NULL, NULL, coalesce(sum(size) FILTER ({_OK}), 0) FROM snaps"]
+    + [f"SELECT 'created_total', '{x}', NULL, count(*) FILTER (status = '{x}') FROM snaps" for x in ("ok", "error")]
+    + ["SELECT 'install_total', NULL, NULL, count(*) FILTER (idx % 300 = 0) FROM snaps", "SELECT 'compacted_entries_total', NULL, NULL, sum(idx % 700) FROM snaps"]
+)
+
+
+@query("snapshot_metrics", f"WITH {SNAPSHOTS}, m(metric, label, le, value) AS ({_BOUNDED}) SELECT metric, label, le, value::DOUBLE AS value FROM m")
+def snapshot_metrics(spark, d):
+    rows = metrics.snapshot_metrics(adapt.snapshots(spark, d), F.col("index") % 300 == 0, F.col("index") % 700)
+    return rows.filter("metric <> 'duration_seconds_sum'")  # a sum of doubles depends on its order
+
+
 @query("snapshot_gauge", f"WITH {SNAPSHOTS} SELECT coalesce(max(idx), 0) AS snapshot_index FROM snaps")
 def snapshot_gauge(spark, d):
     return metrics.snapshot_gauge(adapt.snapshots(spark, d))
@@ -486,9 +615,14 @@ def snapshot_boundary(spark, d):
 
 @query("chunk_reassembly", "SELECT event_id // 16 AS transfer, sum(strlen(props))::INTEGER AS size, string_agg(props, '' ORDER BY event_id) AS data FROM events GROUP BY 1")
 def chunk_reassembly(spark, d):
-    chunks = adapt.events(spark, d).select(F.floor(F.col("event_id") / 16).alias("transfer"), F.col("event_id").alias("offset"), F.encode("props", "UTF-8").alias("data"))
-    again = chunks.unionByName(chunks.filter("offset % 5 = 0"))
-    return raftlog.reassembled(again, "transfer").select("transfer", "size", F.decode("data", "UTF-8").alias("data"))
+    """A first attempt that was given up, and in the second one chunks that are sent wrongly and then again."""
+    e = F.col("event_id")
+    rows = adapt.events(spark, d).select(F.expr("event_id div 16").alias("transfer"), (e % 16).alias("offset"), F.encode("props", "UTF-8").alias("data"), e)
+    junk = F.encode(F.lit("junk"), "UTF-8")
+    given_up = rows.filter("offset < 5").select("transfer", "offset", junk.alias("data"), e.alias("received"))
+    wrong = rows.filter("offset % 5 = 1").select("transfer", "offset", junk.alias("data"), (2 * e + 1_000_000_000_000 - 1).alias("received"))
+    chunks = rows.select("transfer", "offset", "data", (2 * e + 1_000_000_000_000).alias("received")).unionByName(given_up).unionByName(wrong)
+    return raftlog.reassembled(chunks, "transfer", "received").select("transfer", "size", F.decode("data", "UTF-8").alias("data"))
 
 
 # --- changes --------------------------------------------------------------------------------------------------------
@@ -507,54 +641,83 @@ def health_flips(spark, d):
 # --- byte formats ---------------------------------------------------------------------------------------------------
 
 
-def _segments(spark, d, per: int = 1000) -> DataFrame:
-    """The event log as framed segments; an event's id stands for its time."""
-    rows = adapt.log(spark, d)
-    data = binary.encode_event(F.col("source"), F.col("payload"))
-    return files.framed(rows.select(F.floor(F.col("offset") / per).alias("segment"), F.col("offset").alias("ts_ns"), data.alias("data")), "segment")
+def _log_events(spark, d, per: int = 1000) -> DataFrame:
+    """(segment, ts_ns, data): the events as payloads of framed logs; an event's id stands for its time."""
+    return adapt.log(spark, d).select(F.expr(f"`offset` div {per}").alias("segment"), F.col("offset").alias("ts_ns"), binary.encode_event(F.col("source"), F.col("payload")).alias("data"))
+
+
+def _in_files(rows: DataFrame, segment_by: str = "segment", order: str = "ts_ns") -> str:
+    """rows appended through the log sink to a new folder, a segment for each value of segment_by."""
+    path = storage.scratch(rows.sparkSession, "log")
+    eventlog.written(rows, path, segment_by, order)
+    return path
+
+
+def _segment(file: str = "file"):
+    return F.regexp_extract(file, r"([^/]+)-[0-9a-f]{32}-\d+\.wal$", 1)
 
 
-@query("wal_roundtrip", f"""WITH {LOG} SELECT "offset" AS ts_ns, source, payload,
-  coalesce(sum({SIZE}) OVER (PARTITION BY "offset" // 1000 ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS byte_offset FROM log""")
+_BEFORE = f'coalesce(sum({SIZE}) OVER (PARTITION BY "offset" // 1000 ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT'
+
+
+@query("wal_roundtrip", f'WITH {LOG} SELECT "offset" AS ts_ns, source, payload, {_BEFORE} AS byte_offset FROM log')
 def wal_roundtrip(spark, d):
-    return files.events_in(_segments(spark, d)).select("ts_ns", "source", "payload", F.col("offset").alias("byte_offset"))
+    return files.read_events(spark, _in_files(_log_events(spark, d))).select("ts_ns", "source", "payload", F.col("offset").alias("byte_offset"))
 
 
-@query("wal_torn_tail", """SELECT CASE WHEN event_id % 100 = 99 THEN 'truncated' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1""")
-def wal_torn_tail(spark, d):
-    torn = _segments(spark, d, 100).withColumn("content", F.expr("substring(content, 1, length(content) - 10)"))
-    return files.frames_in(torn).groupBy("status").agg(F.count("*").alias("n"))
+@query("wal_append_offsets", f'WITH {LOG} SELECT "offset" // 1000 AS segment, "offset" AS ts_ns, {_BEFORE} AS byte_offset, source, payload FROM log')
+def wal_append_offsets(spark, d):
+    rows = adapt.log(spark, d).select(F.expr("`offset` div 1000").alias("segment"), F.col("offset").alias("ts_ns"), "source", "payload")
+    back = eventlog.written(rows, storage.scratch(spark, "log"), "segment")
+    return back.select(_segment().cast("long").alias("segment"), "ts_ns", F.col("offset").alias("byte_offset"), "source", "payload")
 
 
-def _mapped(rows: DataFrame, encode, columns: list[str], keep: list[str]) -> DataFrame:
-    """rows with `data`, the bytes that encode(*columns) makes."""
+@query("wal_start_offset", f'WITH {LOG} SELECT "offset" AS ts_ns, source, payload, {_BEFORE} + 29 AS byte_offset FROM log')
+def wal_start_offset(spark, d):
+    """Each segment begins with a record of 29 bytes, which the reader goes past."""
+    rows = _log_events(spark, d)
+    heads = rows.select("segment").distinct().select("segment", F.lit(-1).cast("long").alias("ts_ns"), binary.encode_event(F.lit("head"), F.lit("h")).alias("data"))
+    path = _in_files(rows.unionByName(heads).withColumn("order", F.col("ts_ns")).withColumn("ts_ns", F.greatest("ts_ns", F.lit(0))), order="order")
+    found = spark.read.format("eventlog").option("startOffset", 29).load(path)
+    return found.select("ts_ns", "source", "payload", F.col("offset").alias("byte_offset"))
 
-    def run(batches):
-        for batch in batches:
-            made = [encode(*x) for x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(made, pa.binary())], names=[*keep, "data"])
 
-    kept = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in keep)
-    return rows.mapInArrow(run, f"{kept}, data binary")
+@query("wal_torn_tail", """SELECT CASE WHEN event_id % 100 = 99 THEN 'truncated' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1""")
+def wal_torn_tail(spark, d):
+    rows = _log_events(spark, d, 100).select("segment", "ts_ns", binary.framed(F.col("ts_ns"), F.col("data")).alias("frame"))
+    torn = F.when(F.col("ts_ns") % 100 == 99, F.expr("substring(frame, 1, length(frame) - 10)")).otherwise(F.col("frame"))
+    return files.read_frames(spark, _in_files(rows.withColumn("frame", torn))).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("wal_damage", """WITH p AS (SELECT event_id // 100 % 3 AS kind, event_id % 100 AS pos FROM events)
+SELECT CASE WHEN kind = 0 AND pos = 99 THEN 'truncated' WHEN kind = 1 AND pos = 60 THEN 'bad_crc' WHEN kind = 2 AND pos = 60 THEN 'bad_magic' ELSE 'ok' END AS status, count(*) AS n
+FROM p WHERE kind = 0 OR pos <= 60 GROUP BY 1""")
+def wal_damage(spark, d):
+    """A third of the segments each with a torn tail, a wrong checksum and a wrong mark, after which a reader stops."""
+    kind, pos = F.col("segment") % 3, F.col("ts_ns") % 100
+    rows = _log_events(spark, d, 100).select("segment", "ts_ns", binary.framed(F.col("ts_ns"), F.col("data")).alias("frame"))
+    torn = F.expr("substring(frame, 1, length(frame) - 3)")
+    crc = F.concat(F.expr("substring(frame, 1, length(frame) - 4)"), F.unhex(F.lit("00000000")))
+    magic = F.concat(F.unhex(F.lit("00")), F.expr("substring(frame, 2, length(frame) - 1)"))
+    made = F.when((kind == 0) & (pos == 99), torn).when((kind == 1) & (pos == 60), crc).when((kind == 2) & (pos == 60), magic).otherwise(F.col("frame"))
+    found = spark.read.format("eventlog").option("mode", "PERMISSIVE").load(_in_files(rows.withColumn("frame", made)))
+    return found.groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("raft_log_scan", f"WITH {RECORDS} SELECT log::VARCHAR AS log, idx AS log_index, term FROM records e WHERE rec_type = 1 AND {_SURVIVES}")
 def raft_log_scan(spark, d):
-    def encode(seq, kind, index, term, cut):
-        return fr.truncate_marker(cut) if kind == 2 else fr.log_entry(index, term, 0, b"x" * (seq % 5), version=1 + seq % 3)
-
-    rows = _mapped(adapt.records(spark, d), encode, ["seq", "rec_type", "index", "term", "from_index"], ["log", "seq"])
-    scanned = files.log_in(files.framed(rows.withColumnRenamed("seq", "ts_ns"), "log"))
-    return _renamed(raftlog.truncated(scanned, "file").select("file", "index", "term"), file="log", index="log_index")
+    data = F.repeat(F.lit("x"), (F.col("seq") % 5).cast("int")).cast("binary")
+    record = binary.log_record(F.col("rec_type"), F.col("index"), F.col("term"), F.lit(0), data, F.col("from_index"), 1 + F.col("seq") % 3)
+    rows = adapt.records(spark, d).select("log", F.col("seq").alias("ts_ns"), record.alias("data"))
+    scanned = files.read_log(spark, _in_files(rows, "log"))
+    return _renamed(raftlog.truncated(scanned, "file").select(_segment().alias("log"), "index", "term"), index="log_index")
 
 
-@query("kv_recover", f"WITH {COMMANDS} SELECT key, value, idx AS log_index FROM commands QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'")
+@query("kv_recover", f"WITH {COMMANDS} {_FOLDED}")
 def kv_recover(spark, d):
-    def encode(index, op, key, value):
-        return fr.kv_record(fr.SET, index, key, value) if op == "set" else fr.kv_record(fr.DEL, index, key)
-
-    rows = _mapped(adapt.commands(spark, d).withColumn("segment", F.floor(F.col("index") / 1000)), encode, ["index", "op", "key", "value"], ["segment", "index"])
-    records = files.kv_in(files.framed(rows.withColumnRenamed("index", "ts_ns"), "segment"))
+    record = binary.kv_record(F.col("op"), F.col("index"), F.col("key"), F.col("value"))
+    rows = adapt.commands(spark, d).select(F.expr("index div 1000").alias("segment"), F.col("index").alias("ts_ns"), record.alias("data"))
+    records = files.read_kv(spark, _in_files(rows))
     return _renamed(kv.fold(records.withColumnRenamed("raft_index", "index").select("index", "op", "key", "value")), index="log_index")
 
 
@@ -572,8 +735,7 @@ def snapshot_roundtrip(spark, d):
 @query("meta_roundtrip", "SELECT event_id AS term, CASE WHEN event_id % 4 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS voted_for FROM events")
 def meta_roundtrip(spark, d):
     vote = F.when(F.col("event_id") % 4 == 0, "").otherwise(F.col("user_id").cast("string"))
-    rows = adapt.events(spark, d).select("event_id", vote.alias("vote"), F.col("event_id").cast("string").alias("file"))
-    made = _mapped(rows, fr.meta, ["event_id", "vote"], ["file"]).withColumnRenamed("data", "content")
+    made = adapt.events(spark, d).select(F.col("event_id").cast("string").alias("file"), binary.meta_record(F.col("event_id"), vote).alias("content"))
     return files.meta_in(made).select("term", "voted_for")
 
 
@@ -585,19 +747,43 @@ def _followed(spark, d) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
 
 
-@query("stream_kv_latest", f"WITH {LOG} SELECT source, max(\"offset\") AS log_offset, arg_max(payload, \"offset\") AS payload FROM log GROUP BY source")
+def _folders(spark, name: str) -> tuple[str, str]:
+    path = storage.scratch(spark, name)
+    return f"{path}/table", f"{path}/state"
+
+
+@query("stream_kv_latest", f'WITH {LOG} SELECT source, max("offset") AS log_offset, arg_max(payload, "offset") AS payload FROM log GROUP BY source')
 def stream_kv_latest(spark, d):
     rows = _followed(spark, d).select(F.col("event_id").alias("offset"), F.col("user_id").cast("string").alias("source"), F.col("props").alias("payload"), F.col("ts").alias("received_at"))
-    name = f"latest_{uuid.uuid4().hex}"
-    streams.latest_view(rows, name).awaitTermination()
-    return spark.table(name).select("source", F.col("offset").alias("log_offset"), "payload")
+    path, state = _folders(spark, "latest")
+    streams.upsert(rows, path, state).awaitTermination()
+    return streams.view(spark, path).select("source", F.col("offset").alias("log_offset"), "payload")
 
 
-@query("stream_apply_state", f"WITH {COMMANDS} SELECT key, value, idx AS log_index FROM commands QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1 AND op = 'set'")
-def stream_apply_state(spark, d):
+def _followed_commands(spark, d) -> DataFrame:
     op = F.when(F.col("event_type") == "error", "del").otherwise("set")
-    rows = _followed(spark, d).select((F.col("event_id") + 1).alias("index"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
-    name = f"applied_{uuid.uuid4().hex}"
-    streams.applied(rows).writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    last = spark.table(name).groupBy("key").agg(F.max_by(F.struct("value", "live"), "index").alias("s"), F.max("index").alias("log_index"))
-    return last.filter("s.live").select("key", "s.value", "log_index")
+    return _followed(spark, d).select((F.col("event_id") + 1).alias("index"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"))
+
+
+@query("stream_apply_state", f"WITH {COMMANDS} {_FOLDED}")
+def stream_apply_state(spark, d):
+    path, state = _folders(spark, "applied")
+    streams.applied_table(_followed_commands(spark, d), path, state).awaitTermination()
+    table = streams.view(spark, path, "key", "index", ("value", "live"))
+    return table.filter("live").select("key", "value", F.col("index").alias("log_index"))
+
+
+@query("stream_restore", f"WITH {COMMANDS} SELECT key, value FROM ({_FOLDED})")
+def stream_restore(spark, d):
+    path, state = _folders(spark, "snapshots")
+    streams.snapshots(_followed_commands(spark, d), path, state, threshold=300).awaitTermination()
+    return streams.restored(spark, path).select("key", "value")
+
+
+@query("wal_follow", f'WITH {LOG} SELECT "offset" AS ts_ns, source, payload FROM log')
+def wal_follow(spark, d):
+    """A stream over segments that the sink wrote, appended to a table."""
+    log = _in_files(_log_events(spark, d))
+    path, state = _folders(spark, "followed")
+    streams.append(spark.readStream.format("eventlog").load(log), path, state).awaitTermination()
+    return spark.read.parquet(path).select("ts_ns", "source", "payload")

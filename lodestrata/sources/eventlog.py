@@ -1,12 +1,24 @@
 """`eventlog`: framed logs as a Spark data source, in batches and as a stream.
 
-Registered with `register(spark)`. Reading: a partition for each file; option
-startOffset skips records before a byte offset, mode as in `files`. Streaming
-follows one file: an offset is the number of bytes taken, and an epoch that
-counts how often the file was replaced by a shorter one (compaction), so that a
-follower starts the new file at 0 and never takes a record twice within an
-epoch. A torn tail waits for its rest. Writing appends a segment for each task,
-renamed into place when the job commits.
+Registered with `register(spark)`.
+
+Reading: a partition for each file, read through a buffer record by record;
+option startOffset goes to a byte offset of each file without reading what is
+before it, mode as in `files`.
+
+Streaming follows a file, or a folder of segments that are read in the order of
+their names. An offset names a segment, the file that it was (so that a
+replacement is known, however long it is) and the bytes taken of it. The driver
+walks the headers of the last segment only, to find where its last whole frame
+ends; records are read by the tasks, a partition for each segment. A follower
+that meets a replaced segment takes it from its start. A batch that was planned
+on a file that was replaced since can't run again and fails, instead of giving
+other records. A torn tail waits for its rest.
+
+Writing appends segments, renamed into place when the job commits. Rows hold
+(ts_ns, source, payload), or (ts_ns, data) for raw payloads, or frame for what is
+framed already. Option segmentBy names a column: a task starts a new segment
+where its value changes, and the segment's name begins with it.
 
 Paths are opened by Python, so they must be mounted on all machines; `files`
 reads from any file system that Spark reads.
@@ -19,40 +31,52 @@ import os
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, SimpleDataSourceStreamReader, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from lodestrata.sources import frames as fr
 
 SCHEMA = "file string, offset long, ts_ns long, source string, payload string, status string"
+_BUFFER = 1 << 20
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, start: int):
-        self.path, self.start = path, start
+class _Part(InputPartition):
+    """Bytes `start` to `end` (to the end of the file if None) of a file; identity: the file that it must still be, if given."""
 
+    def __init__(self, path: str, start: int, end: int | None = None, identity: str = ""):
+        self.path, self.start, self.end, self.identity = path, start, end, identity
 
-class _Segment(WriterCommitMessage):
-    def __init__(self, path: str):
-        self.path = path
+
+class _Segments(WriterCommitMessage):
+    def __init__(self, paths: list[tuple[str, str]]):
+        self.paths = paths
 
 
 def _files(path: str) -> list[str]:
+    path = path.removeprefix("file:")
     return sorted(p for p in glob.glob(f"{path}/*") if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_"))) if os.path.isdir(path) else sorted(glob.glob(path))
 
 
-def _events(path: str, raw: bytes, start: int, mode: str) -> Iterator[tuple]:
-    for offset, ts_ns, data, _, status in fr.frames(raw, start):
-        source = payload = None
-        if status == fr.OK:
-            try:
-                source, payload = fr.parse_event(data)
-            except (ValueError, UnicodeDecodeError):
-                status = "bad_event"
-        if status in (fr.OK,) or mode == "PERMISSIVE":
-            yield path, offset, ts_ns, source, payload, status
-        elif mode == "FAILFAST" and status != fr.TRUNCATED:
-            raise ValueError(f"{path}, byte {offset}: {status}")
+def _identity(f) -> str:
+    at = os.fstat(f.fileno())
+    return f"{at.st_dev}-{at.st_ino}"
+
+
+def _read(part: _Part, mode: str) -> Iterator[tuple]:
+    with open(part.path, "rb", _BUFFER) as f:
+        if part.identity and _identity(f) != part.identity:
+            raise ValueError(f"{part.path} was replaced after this batch was planned")
+        for offset, ts_ns, data, _, status in fr.frames_of(f, part.start, part.end):
+            source = payload = None
+            if status == fr.OK:
+                try:
+                    source, payload = fr.parse_event(data)
+                except (ValueError, UnicodeDecodeError):
+                    status = "bad_event"
+            if status == fr.OK or mode == "PERMISSIVE":
+                yield part.path, offset, ts_ns, source, payload, status
+            elif mode == "FAILFAST" and status != fr.TRUNCATED:
+                raise ValueError(f"{part.path}, byte {offset}: {status}")
 
 
 class _Reader(DataSourceReader):
@@ -60,46 +84,74 @@ class _Reader(DataSourceReader):
         self.path, self.start, self.mode = options["path"], int(options.get("startOffset", 0)), options.get("mode", "FAILFAST").upper()
 
     def partitions(self):
-        return [_File(p, self.start) for p in _files(self.path)] or [_File("", 0)]
+        return [_Part(p, self.start) for p in _files(self.path)] or [_Part("", 0)]
 
     def read(self, partition):
         if partition.path:
-            with open(partition.path, "rb") as f:
-                yield from _events(partition.path, f.read(), partition.start, self.mode)
+            yield from _read(partition, self.mode)
+
+
+def whole_upto(path: str, start: int = 0) -> tuple[str, int]:
+    """What file a path is, and where its last whole frame ends, by its headers from a frame's start on."""
+    with open(path, "rb") as f:
+        size, at = os.fstat(f.fileno()).st_size, start
+        while at + fr.HEADER.size <= size:
+            f.seek(at)
+            magic, _, length = fr.HEADER.unpack(f.read(fr.HEADER.size))
+            end = at + fr.HEADER.size + length + 4
+            if magic != fr.MAGIC or end > size:
+                break
+            at = end
+        # damage is for the reader to report
+        return _identity(f), size if at + fr.HEADER.size <= size and magic != fr.MAGIC else at
 
 
-class _Follower(SimpleDataSourceStreamReader):
+class _Follower(DataSourceStreamReader):
     def __init__(self, options):
         self.path, self.mode = options["path"], options.get("mode", "FAILFAST").upper()
-        self.start = int(options.get("startOffset", 0))
+        self.first = int(options.get("startOffset", 0))
+        self.walked: tuple[str, str, int] | None = None
 
     def initialOffset(self):
-        return {"epoch": 0, "bytes": self.start}
-
-    def read(self, start):
-        """All whole frames after `start`, and where they end."""
-        if not os.path.exists(self.path):
-            return iter([]), start
-        if os.path.getsize(self.path) < start["bytes"]:
-            start = {"epoch": start["epoch"] + 1, "bytes": 0}
-        with open(self.path, "rb") as f:
-            f.seek(start["bytes"])
-            raw = f.read()
-        rows, end = [], 0
-        for offset, ts_ns, data, _, status in fr.frames(raw):
-            if status != fr.OK:
-                if self.mode == "FAILFAST" and status != fr.TRUNCATED:
-                    raise ValueError(f"{self.path}, byte {start['bytes'] + offset}: {status}")
-                break
-            source, payload = fr.parse_event(data)
-            rows.append((self.path, start["bytes"] + offset, ts_ns, source, payload, status))
-            end = offset + fr.HEADER.size + len(data) + 4
-        return iter(rows), {"epoch": start["epoch"], "bytes": start["bytes"] + end}
+        return {"segment": "", "file": "", "bytes": self.first}
+
+    def latestOffset(self):
+        found = _files(self.path)
+        if not found:
+            return self.initialOffset()
+        last = found[-1]
+        start = 0
+        if self.walked and self.walked[0] == last:
+            with open(last, "rb") as f:
+                start = self.walked[2] if _identity(f) == self.walked[1] and os.fstat(f.fileno()).st_size >= self.walked[2] else 0
+        identity, upto = whole_upto(last, start)
+        self.walked = (last, identity, upto)
+        return {"segment": os.path.basename(last), "file": identity, "bytes": upto}
+
+    def partitions(self, start, end):
+        """The segments after the start up to the end, each from where it was left."""
+        parts = []
+        for path in _files(self.path):
+            name = os.path.basename(path)
+            if name < start["segment"] or name > end["segment"]:
+                continue
+            with open(path, "rb") as f:
+                identity, size = _identity(f), os.fstat(f.fileno()).st_size
+            # the first segment of all may be asked for from a byte on
+            begin = start["bytes"] if not start["segment"] and not parts else 0
+            if name == start["segment"] and identity == start["file"]:
+                begin = start["bytes"]
+            last = name == end["segment"]
+            upto = end["bytes"] if last else size
+            if last and identity != end["file"]:
+                raise ValueError(f"{path} was replaced after this batch was planned")
+            if begin < upto:
+                parts.append(_Part(path, begin, upto, identity))
+        return parts or [_Part("", 0)]
 
-    def readBetweenOffsets(self, start, end):
-        """The same records again, after a failure."""
-        rows, _ = self.read(start)
-        return (r for r in rows if r[1] < end["bytes"])
+    def read(self, partition):
+        if partition.path:
+            yield from _read(partition, self.mode)
 
     def commit(self, end):
         pass
@@ -107,28 +159,42 @@ class _Follower(SimpleDataSourceStreamReader):
 
 class _Writer(DataSourceWriter):
     def __init__(self, options, columns: list[str]):
-        self.path, self.columns = options["path"], columns
+        self.path, self.columns = options["path"].removeprefix("file:"), columns
+        self.segment_by = options.get("segmentBy", "")
         self.run = uuid.uuid4().hex
 
+    def _frame(self, row) -> bytes:
+        if "frame" in self.columns:
+            return bytes(row["frame"])
+        data = bytes(row["data"]) if "data" in self.columns else fr.event(row["source"], row["payload"])
+        return fr.frame(row["ts_ns"], data)
+
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
-        made = f"{self.path}/.{self.run}-{uuid.uuid4().hex}"
-        with open(made, "wb") as f:
+        made, out, now = [], None, None
+        try:
             for row in rows:
-                f.write(fr.frame(row["ts_ns"], fr.event(row["source"], row["payload"])))
-        return _Segment(made)
+                value = str(row[self.segment_by]) if self.segment_by else ""
+                if out is None or value != now:
+                    if out is not None:
+                        out.close()
+                    now, hidden = value, f"{self.path}/.{self.run}-{uuid.uuid4().hex}"
+                    out = open(hidden, "wb", _BUFFER)  # noqa: SIM115
+                    made.append((hidden, value))
+                out.write(self._frame(row))
+        finally:
+            if out is not None:
+                out.close()
+        return _Segments(made)
 
     def commit(self, messages):
-        for k, m in enumerate(m for m in messages if m is not None):
-            if os.path.getsize(m.path):
-                os.rename(m.path, f"{self.path}/{self.run}-{k:05d}.wal")
-            else:
-                os.remove(m.path)
+        for k, (path, value) in enumerate(x for m in messages if m is not None for x in m.paths):
+            os.rename(path, f"{self.path}/{value + '-' if value else ''}{self.run}-{k:05d}.wal")
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        for path, _ in (x for m in messages if m is not None for x in m.paths):
+            if os.path.exists(path):
+                os.remove(path)
 
 
 class EventLogSource(DataSource):
@@ -142,7 +208,7 @@ class EventLogSource(DataSource):
     def reader(self, schema):
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return _Follower(self.options)
 
     def writer(self, schema, overwrite):
@@ -151,3 +217,19 @@ class EventLogSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(EventLogSource)
+
+
+def written(rows: DataFrame, path: str, segment_by: str = "", order: str = "ts_ns") -> DataFrame:
+    """Append rows to the log at a path, and read back where they are: (file, offset, ts_ns, source, payload, status) of the new segments.
+
+    With segment_by, each of its values becomes a segment, in the given order.
+    """
+    spark = rows.sparkSession
+    register(spark)
+    before = set(_files(path))
+    if segment_by:
+        rows = rows.repartition(segment_by).sortWithinPartitions(segment_by, order)
+    rows.write.format("eventlog").mode("append").option("path", path).option("segmentBy", segment_by).save()
+    found = spark.read.format("eventlog").option("mode", "PERMISSIVE").load(path)
+    return found.filter(~found["file"].isin(sorted(before))) if before else found
+

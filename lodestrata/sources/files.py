@@ -27,22 +27,25 @@ def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
 
 
 def _unpacked(files: DataFrame, rows, schema: str, mode: str) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
-    target = pa.schema([(n, _ARROW[t]) for n, t in (f.split() for f in schema.split(", "))])
+    names, types = zip(*((n, _ARROW[t]) for n, t in (f.split() for f in schema.split(", "))), strict=True)
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*held, strict=True)) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     def unpack(batches):
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held = []
-                for row in rows(content):
+                for row in rows(content.as_buffer().to_pybytes() if content.is_valid else b""):
                     if row[-1] != fr.OK and mode == "FAILFAST" and row[-1] != fr.TRUNCATED:
                         raise ValueError(f"{file}: {row[-1]}")
                     if row[-1] == fr.OK or mode == "PERMISSIVE":
                         held.append((file, *row))
                     if len(held) >= 8192:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema=target)
+                        yield batch_of(held)
                         held = []
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema=target)
+                yield batch_of(held)
 
     return files.mapInArrow(unpack, schema)
 

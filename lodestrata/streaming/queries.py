@@ -1,16 +1,23 @@
-"""The engine on unbounded input: ingest, the keyed view, ordered application, snapshots."""
+"""The engine on unbounded input: ingest, the keyed view, ordered application, snapshots.
+
+State lies in the checkpoint location that a call names; give one in a folder
+that all executors share (`storage.scratch` makes one).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestrata.operators import kv
+from lodestrata import storage
+from lodestrata.operators import kv, validate
+from lodestrata.schema import APPLIED_KEY
+
+#: Batches whose changes are kept apart before they are folded into the table.
+FOLD_AFTER = 16
 
 
 def ingested(requests: DataFrame) -> DataFrame:
@@ -18,74 +25,125 @@ def ingested(requests: DataFrame) -> DataFrame:
     return requests.withColumn("received_at", F.when(F.col("status") == 202, F.current_timestamp()))
 
 
-def append(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Events to Parquet, each once; the trigger stands for how often a log is made durable."""
-    return events.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(**(trigger or {"availableNow": True})).start(path)
+def ingest(requests: DataFrame, log: str, checkpoint: str, capacity: int, order: str, **trigger) -> StreamingQuery:
+    """Accepted requests to a log, each batch with its outcomes: what finds no room among `capacity` events a batch is overloaded, but in the log all the same."""
+
+    def take(batch: DataFrame, number: int) -> None:
+        rows = ingested(batch).filter("status = 202").withColumn("batch", F.lit(number))
+        rows = validate.outcomes(validate.queued(rows, "batch", order, capacity), F.lit(True), F.col("queued"))
+        rows.drop("batch").write.mode("overwrite").parquet(f"{log}/batch={number}")
+
+    return requests.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
+
 
+def _when(trigger: dict) -> dict:
+    return trigger or {"availableNow": True}
 
-def latest_view(log: DataFrame, name: str, checkpoint: str | None = None, **trigger) -> StreamingQuery:
-    """The keyed table over a stream, as a table in memory; for more keys than that, `upsert`."""
-    writer = kv.latest(log).writeStream.format("memory").queryName(name).outputMode("complete")
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+def append(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Events to Parquet, each once; the trigger stands for how often a log is made durable."""
+    return events.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(**_when(trigger)).start(path)
 
 
-def upsert(log: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """The keyed table as Parquet, one version for each batch; a batch that runs again writes the same version.
+def upsert(log: DataFrame, path: str, checkpoint: str, key: str = "source", order: str = "offset", values: tuple = ("payload", "received_at"), **trigger) -> StreamingQuery:
+    """The keyed table as Parquet: a base, and the changes of the batches since.
 
-    Each version is folded from the one before and the batch. The table's readers
-    take the newest version that is whole (its _SUCCESS file is written last).
+    A batch writes the keys that it touches and no others; every FOLD_AFTER
+    batches the changes are folded into a new base, and what it replaces but one
+    is removed. A batch that runs again writes the same. `view` reads the table.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("source", "offset", "payload", "received_at")
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{path}/version={number - 1}"))
-        kv.latest(rows).select("source", "offset", "payload", "received_at").write.mode("overwrite").parquet(f"{path}/version={number}")
+        kv.latest(batch, key, order, values).write.mode("overwrite").parquet(f"{path}/delta={number:09d}")
+        if number % FOLD_AFTER == FOLD_AFTER - 1 and not storage.is_whole(spark, f"{path}/base={number:09d}"):
+            kv.latest(view(spark, path, key, order, values), key, order, values).write.mode("overwrite").parquet(f"{path}/base={number:09d}")
+            for name in storage.listed(spark, path):
+                if name < f"base={number - FOLD_AFTER:09d}" or f"delta={0:09d}" <= name < f"delta={number - FOLD_AFTER:09d}":
+                    storage.removed(spark, f"{path}/{name}")
+
+    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
+
+
+def view(spark: SparkSession, path: str, key: str = "source", order: str = "offset", values: tuple = ("payload", "received_at")) -> DataFrame:
+    """The table that `upsert` keeps: the last whole base and the changes after it."""
+    names = [n for n in storage.listed(spark, path) if storage.is_whole(spark, f"{path}/{n}")]
+    bases = [n for n in names if n.startswith("base=")]
+    since = bases[-1].removeprefix("base=") if bases else ""
+    used = bases[-1:] + [n for n in names if n.startswith("delta=") and n.removeprefix("delta=") > since]
+    if not used:
+        raise ValueError(f"nothing was written to {path}")
+    return kv.latest(spark.read.parquet(*(f"{path}/{n}" for n in used)).select(key, order, *values), key, order, values)
+
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def read_own(query: StreamingQuery, read: Callable[[], DataFrame]) -> DataFrame:
+    """read() once a running query has taken all that was there when this was called, so that a writer finds its writes."""
+    query.processAllAvailable()
+    return read()
 
 
 def each_batch(rows: DataFrame, use: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     """A user's processor, given every batch and its number."""
-    return rows.writeStream.foreachBatch(use).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return rows.writeStream.foreachBatch(use).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
 
 
 def applied(commands: DataFrame) -> DataFrame:
-    """(key, value, index, live): each key's state after each batch, commands applied in index order.
+    """(key, value, index, live): each key's state, commands applied in index order; a streaming aggregation.
 
-    The state of a key is its last index, value and whether it is set. A command
-    that arrives again, or late with a lower index, changes nothing.
+    A command that arrives again, or late with a lower index, changes nothing.
     """
+    rows = commands.filter(F.col("op").isin("set", "del") & (F.col("key") != APPLIED_KEY))
+    last = rows.groupBy("key").agg(F.max_by(F.struct("op", "value"), "index").alias("last"), F.max("index").alias("index"))
+    live = F.col("last.op") == "set"
+    return last.select("key", F.when(live, F.col("last.value")).alias("value"), "index", live.alias("live"))
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        index, value, live = state.get if state.exists else (-1, None, False)
-        for rows in batches:
-            for op, new, at in rows.sort_values("index")[["op", "value", "index"]].itertuples(index=False):
-                if at > index and op in ("set", "del"):
-                    index, value, live = int(at), new if op == "set" else None, op == "set"
-        state.update((index, value, live))
-        yield pd.DataFrame({"key": [key[0]], "value": [value], "index": [index], "live": [live]})
 
-    return commands.groupBy("key").applyInPandasWithState(step, "key string, value string, index long, live boolean", "index long, value string, live boolean", "update", GroupStateTimeout.NoTimeout)
+def applied_table(commands: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """`applied`, kept as `upsert` keeps a table: view(spark, path, "key", "index", ("value", "live"))."""
+    rows = commands.filter(F.col("op").isin("set", "del") & (F.col("key") != APPLIED_KEY))
+    live = F.col("op") == "set"
+    return upsert(rows.select("key", "index", F.when(live, F.col("value")).alias("value"), live.alias("live")), path, checkpoint, "key", "index", ("value", "live"), **trigger)
+
+
+def _last_snapshot(spark: SparkSession, path: str) -> int:
+    kept = [int(n.removeprefix("snapshot-")) for n in storage.listed(spark, path) if n.startswith("snapshot-") and storage.is_whole(spark, f"{path}/{n}")]
+    return max(kept, default=0)
+
+
+def _log_since(spark: SparkSession, path: str, index: int) -> DataFrame | None:
+    where = f"{path}/log-{index}"
+    names = [n for n in storage.listed(spark, where) if storage.is_whole(spark, f"{where}/{n}")]
+    return spark.read.parquet(*(f"{where}/{n}" for n in names)).filter(F.col("index") > index) if names else None
 
 
 def snapshots(commands: DataFrame, path: str, checkpoint: str, threshold: int = 10_000, **trigger) -> StreamingQuery:
-    """A snapshot of the folded state whenever `threshold` more indices were applied; the log is kept beside it.
+    """A snapshot of the folded state whenever `threshold` more indices were applied, and the log since the last one.
 
-    Indices are dense from 1. A snapshot waits until none below it is missing.
+    Indices are dense from 1. A snapshot waits until none below it is missing. A
+    batch reads the log since the last snapshot only, and a snapshot is folded
+    from the one before and that.
     """
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.select("index", "op", "key", "value").write.mode("overwrite").parquet(f"{path}/log/batch={number}")
-        log = spark.read.option("basePath", f"{path}/log").parquet(f"{path}/log/batch=*")
+        last = _last_snapshot(spark, path)
+        rows = batch.select("index", "op", "key", "value")
+        rows.filter(F.col("index") > last).write.mode("overwrite").parquet(f"{path}/log-{last}/batch={number}")
+        log = _log_since(spark, path, last)
         top = log.agg(F.max("index")).first()[0]
-        if top is not None:
-            kept = top - top % threshold
-            if kept and log.filter(F.col("index") <= kept).select("index").distinct().count() == kept:
-                kv.fold(log, kept).select("key", "value").write.mode("ignore").parquet(f"{path}/snapshot-{kept}")
-
-    return commands.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        kept = (top or 0) - (top or 0) % threshold
+        if kept > last and log.filter(F.col("index") <= kept).select("index").distinct().count() == kept - last:
+            state = kv.fold(log, kept) if not last else kv.recovered(spark.read.parquet(f"{path}/snapshot-{last}"), last, log.filter(F.col("index") <= kept))
+            log.filter(F.col("index") > kept).write.mode("overwrite").parquet(f"{path}/log-{kept}/before={number}")
+            state.select("key", "value").write.mode("overwrite").parquet(f"{path}/snapshot-{kept}")
+
+    return commands.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(**_when(trigger)).start()
+
+
+def restored(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value, index): the state from the last snapshot that `snapshots` took and the log after it."""
+    last = _last_snapshot(spark, path)
+    log = _log_since(spark, path, last)
+    empty = spark.createDataFrame([], "index long, op string, key string, value string")
+    base = spark.read.parquet(f"{path}/snapshot-{last}") if last else empty.select("key", "value")
+    return kv.recovered(base, last, empty if log is None else log)

@@ -27,6 +27,7 @@ def test_entry_imports_without_llm(monkeypatch, tmp_path):
 
     root = Path(catalog.__file__).resolve().parents[2]
     shutil.copytree(root / "lodestrata", tmp_path / "lodestrata", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'kv_latest' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})

@@ -50,20 +50,66 @@ def test_write_and_read_back(spark, tmp_path):
     assert sorted(back.collect()) == sorted(rows.collect())
 
 
-def test_follow_waits_for_torn_tail_and_restarts_after_compaction(spark, tmp_path):
+def _taken(reader, start, end) -> list[str]:
+    return [r[4] for part in reader.partitions(start, end) for r in reader.read(part)]
+
+
+def test_follow_waits_for_torn_tail_and_restarts_after_compaction(tmp_path):
     log = tmp_path / "a.wal"
     raw = b"".join(_event(k) for k in range(5))
     log.write_bytes(raw[:-4])
     reader = eventlog._Follower({"path": str(log)})
-    rows, at = reader.read(reader.initialOffset())
-    assert [r[4] for r in rows] == ["v0", "v1", "v2", "v3"]
-    log.write_bytes(raw)
-    rows, end = reader.read(at)
-    assert [r[4] for r in rows] == ["v4"]
-    assert [r[4] for r in reader.readBetweenOffsets(at, end)] == ["v4"]
-    log.write_bytes(_event(9))
-    rows, last = reader.read(end)
-    assert [r[4] for r in rows] == ["v9"] and last["epoch"] == end["epoch"] + 1
+    at = reader.latestOffset()
+    assert _taken(reader, reader.initialOffset(), at) == ["v0", "v1", "v2", "v3"]
+    with log.open("ab") as f:
+        f.write(raw[-4:])
+    end = reader.latestOffset()
+    assert _taken(reader, at, end) == ["v4"] == _taken(eventlog._Follower({"path": str(log)}), at, end)
+    # replaced by a file that is longer than what was taken: it is another file, and read from its start
+    (tmp_path / "new").write_bytes(b"".join(_event(k) for k in range(20, 30)))
+    (tmp_path / "new").rename(log)
+    last = reader.latestOffset()
+    assert _taken(reader, end, last) == [f"v{k}" for k in range(20, 30)]
+    with pytest.raises(ValueError, match="replaced"):  # the batch before can't be read any more, and doesn't pass for another
+        reader.partitions(at, end)
+
+
+def test_follow_segments(tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.wal").write_bytes(b"".join(_event(10 * k + j) for j in range(4)))
+    reader = eventlog._Follower({"path": str(tmp_path)})
+    one = reader.latestOffset()
+    assert len(reader.partitions(reader.initialOffset(), one)) == 3 and len(_taken(reader, reader.initialOffset(), one)) == 12
+    with (tmp_path / "2.wal").open("ab") as f:
+        f.write(_event(24))
+    (tmp_path / "3.wal").write_bytes(_event(30) + _event(31)[:-1])
+    two = reader.latestOffset()
+    assert _taken(reader, one, two) == ["v24", "v30"] and _taken(reader, two, two) == []
+
+
+def test_damage_in_a_followed_log_fails(tmp_path):
+    (tmp_path / "a.wal").write_bytes(_event(0) + b"\0" * 40)
+    reader = eventlog._Follower({"path": str(tmp_path)})
+    with pytest.raises(ValueError, match="bad_magic"):
+        _taken(reader, reader.initialOffset(), reader.latestOffset())
+
+
+def test_frames_of_a_file_like_frames_in_memory(tmp_path):
+    raw = b"".join(_event(k) for k in range(4))
+    for content in (raw, raw[:-3], raw + b"\0" * 30, raw[:-1] + b"\0", b"", raw[:10]):
+        (tmp_path / "f").write_bytes(content)
+        with (tmp_path / "f").open("rb") as f:
+            assert list(fr.frames_of(f)) == list(fr.frames(content))
+
+
+def test_raw_payloads_and_segments(spark, tmp_path):
+    rows = spark.range(30).selectExpr("id % 3 AS part", "id AS ts_ns", "cast(concat('raw', id) AS binary) AS data")
+    eventlog.written(rows, str(tmp_path / "log"), "part")
+    back = files.read_frames(spark, str(tmp_path / "log"))
+    assert sorted((r.ts_ns, bytes(r.data), r.status) for r in back.collect()) == [(k, f"raw{k}".encode(), "ok") for k in range(30)]
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "log").glob("*.wal")) == ["0", "1", "2"]
+    again = eventlog.written(spark.createDataFrame([(99, "s", "p")], "ts_ns long, source string, payload string"), str(tmp_path / "log"))
+    assert [(r.offset, r.source, r.payload) for r in again.collect()] == [(0, "s", "p")]
 
 
 def test_follow_as_a_stream(spark, tmp_path):
