@@ -1,4 +1,15 @@
-"""A corpus through five of the operators: what each stage decides takes effect on the next."""
+"""A corpus through five of the operators: what each stage decides takes effect on the next.
+
+Every stage takes rows with nulls in any column, empty and very long texts, equal
+rows, and tables without rows. Rows without a doc_id are scored, cut, compared,
+mixed and encoded like others; they are never learned from, and lose the lines
+that any document with an id keeps. A null or empty text is never toxic by its
+words, is one empty line, is nobody's near copy, takes no words of a mix (it is
+kept or not by its source's rate), and has no tokens. Of a group of near copies
+the row of the least doc_id stays, nulls last, of equal ids the row of the least
+hash, and of rows equal in doc_id and text the least one, so exactly one. Columns
+but those of `documents` are dropped, whatever their names.
+"""
 
 from __future__ import annotations
 
