@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestrata.llm import bpe, chat, language, licences, lines, mixing, toxicity
-from lodestrata.llm.common import WHITE, hashed_words, unpack_binary
+from lodestrata.llm.common import ALNUM, WHITE, hashed_words, unpack_binary
 from lodestrata.llm.cuckoo import CuckooFilter, Full
 
 
@@ -217,6 +217,70 @@ def test_language_odd(odd_docs, no_docs):
     assert {r.lang_pred for r in language.identified(odd_docs, None).collect()} == {"und"}
 
 
+def _plain_prediction(model: language.Model, text: str) -> tuple[str, float]:
+    """A trigram, a family and a pair of languages after another."""
+    fold = [b if b >= 128 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256)]
+    data = [32] + [fold[b] for b in text.lower().encode()] + [32]
+    counts: Counter = Counter()
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        if b != 32 or (a != 32 and c != 32):
+            counts[((a | b << 8 | c << 16) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - language.BITS] += 1
+    x = {k: (n / sum(counts.values())) ** 0.5 for k, n in counts.items()}
+    margin = lambda w, b: sum(float(w[k]) * v for k, v in x.items()) + b
+    sure = lambda gap: 1 / (1 + np.exp(-np.clip(4 * gap, -30, 30)))
+    margins = [margin(w, b) for w, b in zip(model.family_w, model.family_b, strict=True)]
+    first = max(range(len(margins)), key=lambda k: margins[k])
+    rest = max([m for k, m in enumerate(margins) if k != first], default=margins[first] - 10)
+    score, family = sure(margins[first] - rest), model.families[first]
+    names = model.languages[family]
+    pairs, w, b = model.pairs[family]
+    if not pairs:
+        return names[0], score
+    votes, sums = [0] * len(names), [0.0] * len(names)
+    for p, (i, j) in enumerate(pairs):
+        m = margin(w[p], b[p])
+        votes[i if m > 0 else j] += 1
+        sums[i] += m
+        sums[j] -= m
+    best = max(range(len(names)), key=lambda k: votes[k] + np.tanh(sums[k] / len(pairs)) / 4)
+    return names[best], score * sure(sums[best] / max(1, len(names) - 1))
+
+
+def test_language_like_one_by_one(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = language.fit(docs)
+    texts = [(r.doc_id, r.text) for r in docs.filter("length(text) BETWEEN 1 AND 3000").limit(25).collect()] + [(-1, "Ça VA été. 12 x"), (-2, "ab")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identified(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for k, text in texts:
+        lang, score = _plain_prediction(model, text)
+        assert got[k][0] == lang and abs(got[k][1] - score) < 1e-3, (k, got[k], lang, score)
+
+
+def test_language_sample(spark, monkeypatch):
+    rows = [(k, "the words of one language", "en") for k in range(3000)] + [(7, "the words of one language", "en")] * 3000 + [(k, "les mots d'une autre", "fr") for k in range(5000, 5050)] + [(None, "x", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'x' AS lang_pred", "'y' AS score", "1 AS share")
+    chosen = [(r["__of"], r["__lang"]) for r in language.sampled(docs).collect()]
+    per = Counter(lang for _, lang in chosen)
+    assert len(set(chosen)) == len(chosen) and per["en"] == language.PER_LANGUAGE and 25 <= per["fr"] <= 50 and "de" not in per
+    assert all(zlib.crc32(str(k).encode()) % 4 != 2 for k, _ in chosen)
+    model = language.fit(docs)
+    got = language.identified(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "share", "lang_pred", "score"]
+    assert {(r.lang, r.lang_pred) for r in got.filter("doc_id IS NOT NULL").collect()} == {("en", "en"), ("fr", "fr")}
+    assert len({r.score for r in got.filter("doc_id = 7").collect()}) == 1
+    monkeypatch.setattr(language, "ROWS", 5)  # more languages than rows: the most frequent, ties by name
+    many = spark.createDataFrame([(10 * k + j, f"w{k}", f"l{k}") for k in range(9) for j in range(k + 1)], "doc_id long, text string, lang string")
+    assert {r["__lang"] for r in language.sampled(many).collect()} <= {"l8", "l7", "l6", "l5", "l4"}
+
+
+def test_language_of_a_long_text(spark):
+    text = "the words of a language " * 150_000  # 3.6 MB
+    data = np.frombuffer(text.encode(), np.uint8)
+    pieces = language.features(data, np.array([0, len(data)]))
+    short = np.frombuffer(("the words of a language " * 100).encode(), np.uint8)
+    assert np.allclose(pieces, language.features(short, np.array([0, len(short)])), atol=1e-3)
+
+
 # --- licences -------------------------------------------------------------------------------------------------------
 
 
@@ -401,6 +465,61 @@ def test_toxicity_among_clean_copies(spark):
     assert len(found & held - toxic) <= 0.03 * len(held - toxic)
 
 
+def test_risk_like_one_by_one():
+    rng = np.random.default_rng(3)
+    xp, xu = rng.integers(0, 2, (7, 4)).astype(float), rng.integers(0, 2, (11, 4)).astype(float)
+    loss = lambda z: np.log1p(np.exp(-z))
+    negative = 0
+    for prior in (0.1, 0.4, 0.8):
+        for _ in range(20):
+            w = rng.normal(size=4) * 2
+            zp, zu = [float(sum(a * b for a, b in zip(x, w, strict=True))) for x in xp], [float(sum(a * b for a, b in zip(x, w, strict=True))) for x in xu]
+            caught = prior * sum(loss(z) for z in zp) / len(zp)
+            away = sum(loss(-z) for z in zu) / len(zu) - prior * sum(loss(-z) for z in zp) / len(zp)
+            assert np.allclose(toxicity.risk(np.array(zp), np.array(zu), prior), (caught, away))
+            negative += away < 0
+            # the gradient is the risk's own: of both parts, or of the negative part, the other way round
+            whole = lambda v: (lambda r: sum(r) if away >= 0 else -r[1])(toxicity.risk(xp @ v, xu @ v, prior))  # noqa: E731, B023
+            steps = np.eye(4) * 1e-6
+            slopes = [(whole(w + e) - whole(w - e)) / 2e-6 for e in steps]
+            assert np.allclose(toxicity.gradient(xp, xu, xp @ w, xu @ w, prior), slopes, atol=1e-5)
+    assert 0 < negative < 60
+
+
+def test_scores_like_one_by_one(spark):
+    vocabulary = ["nasty", "vile", "été", "x1"]
+    hashes = {w: int(hashed_words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), ALNUM)[0][0]) for w in vocabulary}
+    weight = {"nasty": 3.0, "vile": 1.0, "été": -2.0, "x1": 0.5}
+    order = sorted(vocabulary, key=hashes.get)
+    members = [(1.0, -1.5), (0.5, -0.5)]
+    model = toxicity.Model.of(np.array([hashes[w] for w in order], np.uint64), np.array([[f * weight[w] for w in order] for f, _ in members]), np.array([b for _, b in members]))
+    texts = [(1, "Nasty, NASTY words"), (2, "vile-été x1"), (3, None), (4, ""), (5, "nastyx vile"), (6, "vile " * 600_000 + "nasty")]
+    got = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    import re
+
+    for k, text in texts:
+        held = set(re.findall(r"[^\W_]+", (text or "").lower())) & set(vocabulary)
+        want = sum(1 / (1 + np.exp(-(b + sum(f * weight[w] for w in held)))) for f, b in members) / len(members)
+        assert abs(got[k] - want) < 1e-6
+
+
+def test_toxicity_sample_is_bounded_and_fair(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UNLABELLED", 300)
+    monkeypatch.setattr(toxicity, "POSITIVES", 50)
+    monkeypatch.setattr(toxicity, "HELD_WORDS", 5)
+    rows = [(k, f"text number{k} " + " ".join(f"w{k}x{j}" for j in range(20))) for k in range(2000)] + [(3, "the same id again")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(2000)] + [(None, 1), (5, None)], "doc_id long, toxic int")
+    chosen = toxicity.sampled(docs, labels)
+    kinds = {r.doc_id: r.what for r in chosen.collect()}
+    drawn = [k for k, what in kinds.items() if what & toxicity.DRAWN]
+    assert len(drawn) == 300 and sum(bool(w & toxicity.POSITIVE) for w in kinds.values()) == 50
+    assert 0.15 < np.mean([k % 4 == 0 for k in drawn]) < 0.35  # toxic rows are as frequent in the draw as in the table
+    assert all(zlib.crc32(str(k).encode()) % 5 != 0 for k in kinds)
+    rows = toxicity.sample_rows(docs, chosen)
+    assert len(rows) == len(kinds) and max(len(w) for w, _ in rows) == 5
+
+
 def test_toxicity_odd(odd_docs, no_docs, spark):
     labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
     model = toxicity.fit(odd_docs, labels)

@@ -25,7 +25,7 @@ def test_bit_sliced_is_exact(spark):
     rows = _odd(spark)
     df = _vectors(spark, rows)
     got = {}
-    for r in bitsliced.search(df.filter("vec_id % 20 = 0 or vec_id >= 405"), df, 10).collect():
+    for r in bitsliced.search(df.filter("vec_id % 20 = 0 or vec_id >= 405"), df, 10, blocks=3).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = {k: np.floor(1024 * np.array(v, np.float64)).astype(int) for k, v, *_ in rows if k is not None and v and None not in v and np.isfinite(v).all()}
     for q in [k for k in good if k % 20 == 0 or k >= 405]:
