@@ -11,9 +11,8 @@ _FNV_START, _FNV_PRIME, _LOW32 = 2166136261, 16777619, 0xFFFFFFFF
 def fnv1a(text: Column) -> Column:
     """FNV-1a over the UTF-8 bytes of a string, as a long from 0 to 2**32 - 1."""
     data = F.encode(text, "UTF-8")
-    byte = lambda i: F.ascii(F.decode(F.substring(data, i, F.lit(1)), "ISO-8859-1")).cast("long")
-    steps = F.transform(F.sequence(F.lit(1), F.length(data)), byte)
-    hashed = F.aggregate(steps, F.lit(_FNV_START).cast("long"), lambda a, b: (a.bitwiseXOR(b) * _FNV_PRIME).bitwiseAND(F.lit(_LOW32)))
+    characters = F.split(F.decode(data, "ISO-8859-1"), "")  # one for each byte
+    hashed = F.aggregate(characters, F.lit(_FNV_START).cast("long"), lambda a, c: (a.bitwiseXOR(F.ascii(c).cast("long")) * _FNV_PRIME).bitwiseAND(F.lit(_LOW32)))
     return F.when(F.length(data) == 0, F.lit(_FNV_START).cast("long")).otherwise(hashed)
 
 

@@ -20,7 +20,7 @@ def test_fnv_of_any_text(spark):
             h = (h ^ b) * 16777619 & 0xFFFFFFFF
         return h
 
-    texts = ["", "a", "node-1#0", "é", "日本", "x" * 300]
+    texts = ["", "a", "node-1#0", "é", "日本", "x" * 300, "\x00a\n", " "]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fnv1a(F.col("t")).alias("h")).collect()
     assert {r.t: r.h for r in rows} == {t: plain(t) for t in texts}
 
