@@ -50,20 +50,6 @@ def _unpacked(files: DataFrame, rows, schema: str, mode: str) -> DataFrame:
     return files.mapInArrow(unpack, schema)
 
 
-def framed(events: DataFrame, by: str) -> DataFrame:
-    """(file, content): events (ts_ns, data) as framed logs, a segment for each value of `by`, in order of ts_ns.
-
-    A segment is one value in memory, so `by` is chosen to hold some thousands of events.
-    """
-
-    def build(group: pa.Table) -> pa.Table:
-        rows = group.sort_by("ts_ns")
-        content = b"".join(fr.frame(t, d) for t, d in zip(rows["ts_ns"].to_pylist(), rows["data"].to_pylist(), strict=True))
-        return pa.table({"file": pa.array([str(rows[by][0].as_py())], pa.string()), "content": pa.array([content], pa.binary())})
-
-    return events.select(by, "ts_ns", "data").groupBy(by).applyInArrow(build, "file string, content binary")
-
-
 _ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}
 
 
