@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ALNUM, hashed_words, mixed, table, text_slices
+from lodestrata.llm.common import ALNUM, hashed_words, mixed, released, table, text_slices
 
 #: Bounds of the training sample, in rows.
 POSITIVES, UNLABELLED = 3000, 9000
@@ -42,8 +42,8 @@ LIKELY = 0.4
 #: ... and in what share of the positives it is at least.
 SUPPORT = 0.01
 MEMBERS, STEPS, RATE, DECAY = 3, 600, 0.1, 1e-4
-#: Bound of the labelled rows that the prior is taken from, and of a sampled text's words.
-LABELLED, HELD_WORDS = 9000, 2048
+#: Bound of the labelled rows that the prior is taken from, and of a sampled text's words: to learn from, and to tell near copies among the labelled ones.
+LABELLED, HELD_WORDS, TOLD_WORDS = 9000, 2048, 128
 #: Near copies in the sample are told by equal groups of minimal hashes: groups, hashes in each.
 GROUPS, HASHES = 6, 4
 #: Every FOLDS-th hash value is held out.
@@ -101,7 +101,9 @@ def _without_copies(rows: list[np.ndarray]) -> list[int]:
 
 
 def _presence(rows: list[np.ndarray], words: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(rows), len(words)), np.float32)
+    """Which of the words each row has, and a 1 for the offset."""
+    x = np.zeros((len(rows), len(words) + 1), np.float32)
+    x[:, -1] = 1
     for k, own in enumerate(rows):
         at = np.minimum(np.searchsorted(words, own), len(words) - 1)
         x[k, at[words[at] == own]] = 1
@@ -139,10 +141,9 @@ def gradient(xp: np.ndarray, xu: np.ndarray, zp: np.ndarray, zu: np.ndarray, pri
 
 
 def _train(xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative risk with the logistic loss."""
-    w = np.zeros(xp.shape[1] + 1)
+    """Adam on the non-negative risk with the logistic loss; the last column is the offset's."""
+    w = np.zeros(xp.shape[1])
     first, second = np.zeros_like(w), np.zeros_like(w)
-    xp, xu = np.c_[xp, np.ones(len(xp), np.float32)], np.c_[xu, np.ones(len(xu), np.float32)]
     w[-1] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
         grad = gradient(xp, xu, xp @ w.astype(np.float32), xu @ w.astype(np.float32), prior).astype(np.float64)
@@ -167,14 +168,15 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def sample_rows(docs: DataFrame, chosen: DataFrame) -> list[tuple[np.ndarray, int]]:
-    """(hashes of distinct words, what) of each chosen id, in a fixed order: of at most as many ids, and HELD_WORDS words each."""
+    """(hashes of distinct words, what) of each chosen id, in a fixed order: of at most as many ids, and HELD_WORDS or TOLD_WORDS words each."""
 
     def words(batches):
         for batch in batches:
-            own = []
-            for _, data, offsets in text_slices(batch.column(2)):
+            own, learnt = [], (np.asarray(batch.column(1)) & (DRAWN | POSITIVE)) > 0
+            for first, data, offsets in text_slices(batch.column(2)):
                 hashes, counts = hashed_words(data, offsets, ALNUM)
-                own += [np.unique(x)[:HELD_WORDS].tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+                whats = learnt[first : first + len(counts)]
+                own += [np.unique(x)[: HELD_WORDS if full else TOLD_WORDS].tobytes() for x, full in zip(np.split(hashes, np.cumsum(counts)[:-1]), whats, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(own, pa.binary())], names=["of", "what", "words"])
 
     chosen = chosen.select(F.col("doc_id").alias("__of"), "what")
@@ -192,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def kept(kind: int) -> list[tuple[np.ndarray, int]]:
         own = [r for r in rows if r[1] & kind]
-        return [own[k] for k in _without_copies([w for w, _ in own])]
+        return [own[k] for k in _without_copies([w[:TOLD_WORDS] if kind == KNOWN else w for w, _ in own])]
 
     positives, unlabelled = [w for w, _ in kept(POSITIVE)], [w for w, _ in kept(DRAWN)]
     if not sum(map(len, positives)):
@@ -206,6 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         rng = np.random.default_rng(member)
         pick = lambda x: x[np.sort(rng.permutation(len(x))[: max(1, len(x) * 4 // 5)])]
         made.append(_train(pick(xp), pick(xu), prior))
+    del rows, positives, unlabelled, xp, xu
+    released()
     return Model.of(words, np.array([w for w, _ in made]), np.array([b for _, b in made]))
 
 

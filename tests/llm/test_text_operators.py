@@ -507,6 +507,7 @@ def test_toxicity_sample_is_bounded_and_fair(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "UNLABELLED", 300)
     monkeypatch.setattr(toxicity, "POSITIVES", 50)
     monkeypatch.setattr(toxicity, "HELD_WORDS", 5)
+    monkeypatch.setattr(toxicity, "TOLD_WORDS", 3)
     rows = [(k, f"text number{k} " + " ".join(f"w{k}x{j}" for j in range(20))) for k in range(2000)] + [(3, "the same id again")] * 3000
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(2000)] + [(None, 1), (5, None)], "doc_id long, toxic int")
