@@ -239,7 +239,7 @@ def _through(docs: DataFrame, path: str, names: list[str], types: list, made, dr
     parts = parts_for(size, PART_BYTES)
     chunks = cut(numbered(docs.select(*kept, F.col("text").alias("__text")), parts))
     number = max(1, chunks.count())
-    requests = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.part", "w.words").repartition(parts, "part")
+    requests = chunks.select("chunk", F.explode("words").alias("w")).select("chunk", "w.part", "w.words").repartitionById(parts, "part")
     replies = word_ids(requests, source).repartition(number, "chunk")
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lodestrata.storage import scratch, shared_folder
+
 #: The six ASCII white-space bytes: space and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text scanned at once; temporaries take about 60 times as much.
@@ -29,22 +28,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Where it is unset, a temporary folder if all of Spark is one process; a cluster must name one."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestrata-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    path = scratch(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

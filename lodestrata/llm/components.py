@@ -25,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     alone = now.filter("u = v").select(F.col("u").alias("node"), F.col("u").alias("label"))
     now, last = cut(now.filter("u <> v")), None
+    if not now.limit(1).count():
+        return alone
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -329,8 +329,8 @@ def _gathered(percent: int):
 def linkable_sets(docs: DataFrame, rows: int, words: int, percent: int, clashes: list[int]) -> DataFrame:
     """(node, n, lone, prefix, tokens): a row for each distinct set that can be linked with another."""
     parts = parts_for(rows, DOCS_IN_PART)
-    sent = _packed(docs, parts, words, frequent_shingles(docs, rows, words), clashes).repartition(2 * parts, "part")
-    shared = sent.groupBy("part").applyInArrow(_shared(parts), _SHARED).repartition(parts, "home")
+    sent = _packed(docs, parts, words, frequent_shingles(docs, rows, words), clashes).repartitionById(2 * parts, "part")  # a task for each part, and for each home from its end on
+    shared = sent.groupBy("part").applyInArrow(_shared(parts), _SHARED).repartitionById(parts, "home")
     return cut(shared.groupBy("home").applyInArrow(_gathered(percent), _SETS))
 
 
@@ -570,7 +570,7 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lon
         yield from lists.found(lists.open_pairs())
 
     def paired(sets, settled, through):
-        entries = _in_blocks(_entries(sets, shards), shards, settled, long).repartition(2 * shards, "shard")
+        entries = _in_blocks(_entries(sets, shards), shards, settled, long).repartitionById(2 * shards, "shard")
         return entries.groupBy("shard").applyInArrow(through, "a long, b long").distinct()
 
     unled = sets.withColumns({"label": F.col("node"), "lead": F.lit(None).cast("long"), "far": F.lit(None).cast("double")})
@@ -587,7 +587,9 @@ def linked_rows(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, lon
     settled = cut(settled_by_leaders(left, seen, percent))
     verified = _verified(settled.filter("linked IS NULL").select("a", "b"), sets).filter(is_link).select("a", "b")
     more = cut(settled.filter("linked").select("a", "b").unionByName(verified))
-    final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+    final = labels
+    if more.limit(1).count():
+        final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     # sets, not rows, get their components; then rows theirs by sets
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     own = rows.filter("n > 0").groupBy("node").agg(F.count("*").alias("rows"), F.min(order).alias("least"))

@@ -196,7 +196,8 @@ class LineIndex:
     def screened(self, keys: DataFrame) -> DataFrame:
         """Those of the keys (hi, lo, doc_id, uid) that the filter of their shard lets pass."""
         keys = cut(keys.withColumn("shard", shard_of(self.shards)))
-        sizes = keys.groupBy("shard").agg(F.ceil(F.count("*") / TASK_KEYS).cast("int").alias("tasks"))  # a row for each shard
+        sizes = keys.groupBy("shard").agg(F.ceil(F.count("*") / TASK_KEYS).cast("int").alias("tasks"))
+        # a row for each shard, which is one for SHARD_KEYS frequent keys: 16 bytes against their 10 MB of texts at least
         sizes = cut(self.filters.select("shard").join(sizes, "shard"))
         shared = F.broadcast(sizes)
         dealt = keys.join(shared, "shard").withColumn("task", F.pmod(F.xxhash64("uid", "hi"), "tasks").cast("int")).drop("tasks")
