@@ -2,18 +2,20 @@
 
 Registered with `register(spark)`.
 
-Reading: a partition for each file, read through a buffer record by record;
-option startOffset goes to a byte offset of each file without reading what is
-before it, mode as in `files`.
+Reading: files are read through a buffer record by record; option startOffset
+goes to a byte offset of each file without reading what is before it, mode as in
+`files`. A file is never cut. Up to 128 files have a partition each; of more,
+neighbours by name share one, so that partitions grow with the bytes and not with
+the segments.
 
 Streaming follows a file, or a folder of segments that are read in the order of
 their names. An offset names a segment, the file that it was (so that a
 replacement is known, however long it is) and the bytes taken of it. The driver
 walks the headers of the last segment only, to find where its last whole frame
-ends; records are read by the tasks, a partition for each segment. A follower
-that meets a replaced segment takes it from its start. A batch that was planned
-on a file that was replaced since can't run again and fails, instead of giving
-other records. A torn tail waits for its rest.
+ends; records are read by the tasks, in partitions as above. A follower that meets a
+replaced segment takes it from its start. A batch that was planned on a file that
+was replaced since can't run again and fails, instead of giving other records. A
+torn tail waits for its rest.
 
 Writing appends segments, renamed into place when the job commits. Rows hold
 (ts_ns, source, payload), or (ts_ns, data) for raw payloads, or frame for what is
@@ -30,6 +32,7 @@ import glob
 import os
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -38,13 +41,24 @@ from lodestrata.sources import frames as fr
 
 SCHEMA = "file string, offset long, ts_ns long, source string, payload string, status string"
 _BUFFER = 1 << 20
+# A task's start costs more than reading a small segment: beyond LEAST_PARTS files, a partition takes PART_BYTES, and to open a file counts as OPEN_BYTES.
+_LEAST_PARTS, _PART_BYTES, _OPEN_BYTES = 128, 32 << 20, 1 << 16
 
 
-class _Part(InputPartition):
+class _Span(NamedTuple):
     """Bytes `start` to `end` (to the end of the file if None) of a file; identity: the file that it must still be, if given."""
 
-    def __init__(self, path: str, start: int, end: int | None = None, identity: str = ""):
-        self.path, self.start, self.end, self.identity = path, start, end, identity
+    path: str
+    start: int
+    end: int | None = None
+    identity: str = ""
+
+
+class _Part(InputPartition):
+    """Files, or parts of them, that one task reads one after the other."""
+
+    def __init__(self, spans: list[_Span]):
+        self.spans = spans
 
 
 class _Segments(WriterCommitMessage):
@@ -57,16 +71,31 @@ def _files(path: str) -> list[str]:
     return sorted(p for p in glob.glob(f"{path}/*") if os.path.isfile(p) and not os.path.basename(p).startswith((".", "_"))) if os.path.isdir(path) else sorted(glob.glob(path))
 
 
+def _packed(spans: list[_Span], sizes: list[int]) -> list[InputPartition]:
+    """Every span in one of the partitions, in the given order; one without spans if there are none."""
+    costs = [size + _OPEN_BYTES for size in sizes]
+    total = sum(costs)
+    count = max(_LEAST_PARTS, -(-total // _PART_BYTES))
+    if len(spans) <= count:
+        return [_Part([s]) for s in spans] or [_Part([])]
+    held: list[list[_Span]] = [[] for _ in range(count)]
+    before = 0
+    for span, cost in zip(spans, costs, strict=True):
+        held[(2 * before + cost) * count // (2 * total)].append(span)  # by where its middle lies
+        before += cost
+    return [_Part(h) for h in held if h]
+
+
 def _identity(f) -> str:
     at = os.fstat(f.fileno())
     return f"{at.st_dev}-{at.st_ino}"
 
 
-def _read(part: _Part, mode: str) -> Iterator[tuple]:
-    with open(part.path, "rb", _BUFFER) as f:
-        if part.identity and _identity(f) != part.identity:
-            raise ValueError(f"{part.path} was replaced after this batch was planned")
-        for offset, ts_ns, data, _, status in fr.frames_of(f, part.start, part.end):
+def _read(span: _Span, mode: str) -> Iterator[tuple]:
+    with open(span.path, "rb", _BUFFER) as f:
+        if span.identity and _identity(f) != span.identity:
+            raise ValueError(f"{span.path} was replaced after this batch was planned")
+        for offset, ts_ns, data, _, status in fr.frames_of(f, span.start, span.end):
             source = payload = None
             if status == fr.OK:
                 try:
@@ -74,9 +103,9 @@ def _read(part: _Part, mode: str) -> Iterator[tuple]:
                 except (ValueError, UnicodeDecodeError):
                     status = "bad_event"
             if status == fr.OK or mode == "PERMISSIVE":
-                yield part.path, offset, ts_ns, source, payload, status
+                yield span.path, offset, ts_ns, source, payload, status
             elif mode == "FAILFAST" and status != fr.TRUNCATED:
-                raise ValueError(f"{part.path}, byte {offset}: {status}")
+                raise ValueError(f"{span.path}, byte {offset}: {status}")
 
 
 class _Reader(DataSourceReader):
@@ -84,11 +113,12 @@ class _Reader(DataSourceReader):
         self.path, self.start, self.mode = options["path"], int(options.get("startOffset", 0)), options.get("mode", "FAILFAST").upper()
 
     def partitions(self):
-        return [_Part(p, self.start) for p in _files(self.path)] or [_Part("", 0)]
+        found = _files(self.path)
+        return _packed([_Span(p, self.start) for p in found], [max(0, os.path.getsize(p) - self.start) for p in found])
 
     def read(self, partition):
-        if partition.path:
-            yield from _read(partition, self.mode)
+        for span in partition.spans:
+            yield from _read(span, self.mode)
 
 
 def whole_upto(path: str, start: int = 0) -> tuple[str, int]:
@@ -130,7 +160,7 @@ class _Follower(DataSourceStreamReader):
 
     def partitions(self, start, end):
         """The segments after the start up to the end, each from where it was left."""
-        parts = []
+        spans: list[_Span] = []
         for path in _files(self.path):
             name = os.path.basename(path)
             if name < start["segment"] or name > end["segment"]:
@@ -138,7 +168,7 @@ class _Follower(DataSourceStreamReader):
             with open(path, "rb") as f:
                 identity, size = _identity(f), os.fstat(f.fileno()).st_size
             # the first segment of all may be asked for from a byte on
-            begin = start["bytes"] if not start["segment"] and not parts else 0
+            begin = start["bytes"] if not start["segment"] and not spans else 0
             if name == start["segment"] and identity == start["file"]:
                 begin = start["bytes"]
             last = name == end["segment"]
@@ -146,12 +176,12 @@ class _Follower(DataSourceStreamReader):
             if last and identity != end["file"]:
                 raise ValueError(f"{path} was replaced after this batch was planned")
             if begin < upto:
-                parts.append(_Part(path, begin, upto, identity))
-        return parts or [_Part("", 0)]
+                spans.append(_Span(path, begin, upto, identity))
+        return _packed(spans, [s.end - s.start for s in spans])
 
     def read(self, partition):
-        if partition.path:
-            yield from _read(partition, self.mode)
+        for span in partition.spans:
+            yield from _read(span, self.mode)
 
     def commit(self, end):
         pass

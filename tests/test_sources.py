@@ -87,6 +87,36 @@ def test_follow_segments(tmp_path):
     assert _taken(reader, one, two) == ["v24", "v30"] and _taken(reader, two, two) == []
 
 
+def test_many_segments_share_partitions(tmp_path):
+    for k in range(1000):
+        (tmp_path / f"{k:04d}.wal").write_bytes((_event(2 * k) + _event(2 * k + 1))[: -3 if k % 3 == 0 else None])
+    (tmp_path / "0500.wal").write_bytes(_event(1000) + b"\0" * 40)
+    want = [f"v{k}" for k in range(2000) if k % 6 != 1 and k != 1001]
+    reader = eventlog._Reader({"path": str(tmp_path), "mode": "PERMISSIVE"})
+    parts = reader.partitions()
+    assert len(parts) == 128 and {len(p.spans) for p in parts} == {7, 8}
+    rows = [r for p in parts for r in reader.read(p)]
+    assert [r[4] for r in rows if r[5] == "ok"] == want  # damage ends its own segment only
+    assert sorted(r[5] for r in rows if r[5] != "ok") == ["bad_magic"] + ["truncated"] * 334
+    assert {r[1] for r in rows if r[2] == 24} == {0} and {r[1] for r in rows if r[2] == 23} == {len(_event(22))}
+    (tmp_path / "0500.wal").write_bytes(_event(1000))
+    follower = eventlog._Follower({"path": str(tmp_path)})
+    end = follower.latestOffset()
+    assert len(follower.partitions(follower.initialOffset(), end)) == 128 and _taken(follower, follower.initialOffset(), end) == want
+
+
+def test_partitions_grow_with_bytes():
+    spans = [eventlog._Span(f"{k:04d}", 0) for k in range(2000)]
+    for sizes in ([100] * 2000, [16 << 20] * 2000, [(64 << 20) * (k == 700) + 100 for k in range(2000)], [(k % 50) << 20 for k in range(2000)]):
+        parts = eventlog._packed(spans, sizes)
+        assert [s for p in parts for s in p.spans] == spans
+        assert 64 <= len(parts) <= max(128, 1 + sum(size + (1 << 16) for size in sizes) // (32 << 20))
+        held = [sum(sizes[int(s.path)] for s in p.spans) for p in parts]
+        assert max(held) <= max(sizes) + (32 << 20)
+    assert [p.spans for p in eventlog._packed(spans[:100], [1 << 40] + [1] * 99)] == [[s] for s in spans[:100]]
+    assert [p.spans for p in eventlog._packed([], [])] == [[]]
+
+
 def test_damage_in_a_followed_log_fails(tmp_path):
     (tmp_path / "a.wal").write_bytes(_event(0) + b"\0" * 40)
     reader = eventlog._Follower({"path": str(tmp_path)})
