@@ -654,7 +654,8 @@ def _in_files(rows: DataFrame, segment_by: str = "segment", order: str = "ts_ns"
 
 
 def _segment(file: str = "file"):
-    return F.regexp_extract(file, r"([^/]+)-[0-9a-f]{32}-\d+\.wal$", 1)
+    """The segment that a file's name begins with; folders are cut off first, or the pattern would be tried at each of their characters."""
+    return F.regexp_extract(F.substring_index(file, "/", -1), r"^([^/]+)-[0-9a-f]{32}-\d+\.wal$", 1)
 
 
 _BEFORE = f'coalesce(sum({SIZE}) OVER (PARTITION BY "offset" // 1000 ORDER BY "offset" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT'

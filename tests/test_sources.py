@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import kv
+from lodestrata.plans import catalog
 from lodestrata.sources import eventlog, files, requests
 from lodestrata.sources import frames as fr
 
@@ -142,6 +143,16 @@ def test_raw_payloads_and_segments(spark, tmp_path):
     assert [(r.offset, r.source, r.payload) for r in again.collect()] == [(0, "s", "p")]
 
 
+def test_many_appended_segments_are_read_back(spark, tmp_path):
+    rows = spark.range(1200).selectExpr("id div 3 AS part", "id AS ts_ns", "concat('s', id % 7) AS source", "repeat('é', cast(id % 5 AS int)) AS payload")
+    back = eventlog.written(rows, str(tmp_path / "log"), "part")
+    assert back.rdd.getNumPartitions() <= 128 and len(list((tmp_path / "log").glob("*.wal"))) == 400
+    size = lambda k: len(fr.frame(k, fr.event(f"s{k % 7}", "é" * (k % 5))))
+    want = [(k, sum(size(j) for j in range(k - k % 3, k)), f"s{k % 7}", "é" * (k % 5), "ok") for k in range(1200)]
+    assert sorted((r.ts_ns, r.offset, r.source, r.payload, r.status) for r in back.collect()) == want
+    assert back.filter(catalog._segment() != (F.col("ts_ns") / 3).cast("int").cast("string")).count() == 0
+
+
 def test_follow_as_a_stream(spark, tmp_path):
     eventlog.register(spark)
     log = tmp_path / "a.wal"
